@@ -111,8 +111,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     @F.arrow_udf("array<struct<start:long,length:long,ids_crc32:long,doc_tokens:long" + ",ids:array<int>" * with_ids + ">>")
     def cut(texts: pa.Array) -> pa.Array:
         ids_of, last, out = word_ids(tokenizer or public_tokenizers.path(TOKENIZER)), np.array([end], dtype="<u4").tobytes(), []
-        for t in texts.to_pylist():
-            ids = memoryview(ids_of(t or "") + last)
+        for t in texts:
+            ids = memoryview(ids_of(t.as_py() or "") + last)
             n = len(ids) // 4
             row = []
             for start, size in pieces_of(n, longest):

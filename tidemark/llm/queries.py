@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, warc
+from . import html, langid, mixing, packing, secrets, simhash, warc
 from .common import shared_dir, staged, table
 
 
@@ -65,14 +65,37 @@ from f left join g on f.doc_id = g.doc_id
 """
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(langid.fold() != 2))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(langid.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", secrets.secret_spans(F.col("text")).alias("found"))
+    base = F.filter("found", lambda s: s["via"] == "")
+    kinds = F.transform(base, lambda s: s["kind"])
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *count, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("found")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.extract(F.col("html")).alias("text"))
+    return pages.select("*", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
     "op4_mixing": op4_mixing,
+    "op6_language": op6_language,
+    "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
+    "op10_html": op10_html,
 }
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_mixing": OP4_SQL}
