@@ -41,7 +41,7 @@ def simhash(text: Column, k: int = 3, seed: int = 42) -> Column:
 
     @F.arrow_udf("long")
     def apply(batch: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_of(t or b"", k, seed) for t in batch.cast(pa.binary()).to_pylist()], pa.int64())
+        return pa.array([fingerprint_of(t.as_py() or b"", k, seed) for t in batch.cast(pa.binary())], pa.int64())
 
     return apply(text)
 
@@ -70,7 +70,7 @@ def masks(radius: int = 2) -> list[tuple[int, list[int]]]:
     return out
 
 
-def bucket_links(prints: np.ndarray, radius: int) -> list[dict]:
+def bucket_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links within one bucket of distinct fingerprints: each one but the first of its class to that first."""
     prints = np.sort(prints)
     left, out = prints, []
@@ -80,7 +80,7 @@ def bucket_links(prints: np.ndarray, radius: int) -> list[dict]:
             near = np.bitwise_count((left ^ frontier.pop()).view(np.uint64)) <= radius
             found, left = left[near], left[~near]
             frontier += list(found)
-            out += [{"a": int(x), "b": int(root)} for x in found]
+            out += [(int(x), int(root)) for x in found]
     return out
 
 
@@ -105,7 +105,8 @@ def links(prints: DataFrame, col: str, radius: int = 2, direct: int = DIRECT) ->
     @F.arrow_udf("array<struct<a:long,b:long>>")
     def connect(groups: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        return pa.array([bucket_links(np.array(g, dtype=np.int64), radius) for g in groups.to_pylist()], kind)
+        prints, at = groups.values.to_numpy(), groups.offsets.to_numpy()
+        return pa.array([bucket_links(prints[a:b], radius) for a, b in zip(at, at[1:])], kind)
 
     groups = small.union(large).groupBy("t", "u", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return groups.select(F.explode(connect("fps")).alias("l")).select("l.a", "l.b").distinct()
