@@ -197,7 +197,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: Column |
 
     Documented bound: 2 * per_lang rows of each of the max_langs most frequent languages, those with the smallest hash of key
     (by default doc_id). Half are counted in Spark, by n-gram; the other half calibrates rejection: a language's limit is
-    the mean of its texts' cross-entropy under its own model plus 6 standard deviations and 0.5. None if there is no such row.
+    the mean of its texts' cross-entropy under its own model plus 6 standard deviations, and at least that of letters drawn
+    evenly from the alphabet, which a text of no learned language exceeds. None if there is no such row.
     """
     key = F.col("doc_id") if key is None else key
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(key, F.col(lang)).alias("h"), F.col(text).alias("text"))
@@ -217,7 +218,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: Column |
     own = sample.where(F.col("place") % 2 == 0).select("lang", "text")
     own = predict(own, model, "text").where("lang = lang_pred")
     for r in own.groupBy("lang").agg(F.avg("entropy").alias("m"), F.coalesce(F.stddev_pop("entropy"), F.lit(0.0)).alias("s")).collect():
-        model.limits[model.langs.index(r["lang"])] = r["m"] + 6 * r["s"] + 0.5
+        model.limits[model.langs.index(r["lang"])] = max(r["m"] + 6 * r["s"], -np.log(model.floor))
     return model
 
 
