@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, mixing, packing, secrets, simhash, warc
+from . import html, langid, mixing, multiset, packing, secrets, simhash, warc
 from .common import shared_dir, staged, table
 
 
@@ -41,6 +41,10 @@ from q
 """
 
 
+def op3_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.edited(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
+    "op3_multiset": op3_multiset,
     "op4_mixing": op4_mixing,
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
