@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, mixing, multiset, packing, secrets, simhash, warc
+from . import html, langid, licenses, mixing, multiset, packing, quality, secrets, simhash, warc
 from .common import shared_dir, staged, table
 
 
@@ -69,6 +69,10 @@ from f left join g on f.doc_id = g.doc_id
 """
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(langid.fold() != 2))
@@ -88,6 +92,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html.extract(F.col("html")).alias("text"))
     return pages.select("*", F.length("text").cast("long").alias("n_chars"))
@@ -98,9 +106,11 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_multiset": op3_multiset,
     "op4_mixing": op4_mixing,
+    "op5_licenses": op5_licenses,
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_html": op10_html,
 }
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_mixing": OP4_SQL}
