@@ -115,17 +115,19 @@ def links(prints: DataFrame, col: str, radius: int = 2, direct: int = DIRECT) ->
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """doc_id, fp (signed), component_id: the smallest id reachable through fingerprints that differ in at most radius bits.
 
-    One row for each input row. Null and word-free texts have fingerprint 0 and are linked like any other; a null id is
-    never a component's smallest id unless all its ids are null; repeated rows and ids are kept; an empty table gives an
-    empty result; other columns are ignored, whatever their names.
+    Further columns: class, the component's smallest fingerprint, and text_hash. One row for each input row. Null and
+    word-free texts have fingerprint 0 and are linked like any other; a null id is never a component's smallest id unless
+    all its ids are null; repeated rows and ids are kept; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp")), "prints")
+    text = F.col(text_col)
+    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), simhash(text).alias("fp")), "prints")
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     found = staged(connected_components(links(rows, "fp", radius), "a", "b"), "nodes")
     named = found.join(first, found.node == first.fp).groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = found.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    labels = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    linked = found.join(named, "component").select(F.col("node").alias("fp"), F.col("component").alias("class"), "component_id")
+    labels = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("class", "fp").alias("class"))
+    return rows.join(labels, "fp").select("doc_id", "fp", "component_id", "class", "text_hash")
 
 
 def hex_print(fp: Column) -> Column:
