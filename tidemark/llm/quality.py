@@ -82,7 +82,8 @@ def js_distance(df: DataFrame, p: str, q: str, out: str) -> DataFrame:
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = F.zip_with(share(p), share(q), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
     total = F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) / 2
-    return df.withColumn(out, F.sqrt(F.greatest(total, F.lit(0.0)))).drop(f"__{p}", f"__{q}")
+    both = (F.col(f"__{p}") > 0) & (F.col(f"__{q}") > 0)
+    return df.withColumn(out, F.when(both, F.sqrt(F.greatest(total, F.lit(0.0))))).drop(f"__{p}", f"__{q}")
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
