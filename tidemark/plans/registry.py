@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import feature_queries
+
 FLAGSHIP = "xs_pct_rank"
-QUERIES: dict = {}
-ORACLES: dict = {}
+MODULES = (feature_queries,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
