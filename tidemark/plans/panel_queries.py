@@ -90,10 +90,10 @@ def clean_actions(spark, sf_dir):
     return panel.clean_actions(first, low=0.6).select("code", "dt", "split", "dividend")
 
 
-@query(f"with {src.NATION_SQL}, {CALENDAR}, {ALIGN}, {UNIVERSE} select code, dt, round(tv, 6) + 0.0 as tv, round(adv20, 6) + 0.0 as adv20 from un")
+@query(f"with {src.NATION_SQL}, {CALENDAR}, {ALIGN}, {UNIVERSE} select code, dt, round(ln(1 + tv), 6) + 0.0 as tv_log, round(ln(1 + adv20), 6) + 0.0 as adv20_log from un")
 def adv20(spark, sf_dir):
     df = universe_rows(spark, sf_dir)
-    return df.select("code", "dt", *[r6(c).alias(c) for c in ("tv", "adv20")])
+    return df.select("code", "dt", *[r6(F.log1p(c)).alias(f"{c}_log") for c in ("tv", "adv20")])
 
 
 _BANDS = ", ".join(f"({lo}::double, {hi}::double, {w}::double)" for (lo, hi, w) in zip(["'-inf'", *[b for b, _ in panel.LIMIT_BANDS]], [*[b for b, _ in panel.LIMIT_BANDS], "'inf'"], [*[w for _, w in panel.LIMIT_BANDS], panel.LIMIT_ABOVE]))
