@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small_batches
+
 #: Letters and other word characters but digits and the underscore.
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
@@ -19,9 +21,9 @@ UND = "und"
 PER_LANG, MAX_LANGS = 600, 64
 ORDER = 4
 #: Words whose scores a Python worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 #: Characters scored at once.
-STEP = 1 << 21
+STEP = 1 << 20
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,7 +153,7 @@ class Scorer:
         words = [w for t in texts for w in t]
         ids = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
         new, self.index.new = self.index.new, []
-        parts = [self.scores] + [self.model.word_scores(new[i : i + 50_000]).astype(np.float32) for i in range(0, len(new), 50_000)]
+        parts = [self.scores] + [self.model.word_scores(new[i : i + 8_000]).astype(np.float32) for i in range(0, len(new), 8_000)]
         self.scores = np.concatenate(parts)
         size = np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=len(words))
         out, at = [], 0
@@ -233,6 +235,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     rejected holds for und and for texts whose entropy is above their language's calibrated limit. Columns of these names
     in docs are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
 

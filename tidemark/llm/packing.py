@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import small_batches
+
 TOKENIZER = "word_bpe_49k.json"
 END = 1
-#: Words whose ids a Python worker keeps; about 120 MB.
-CACHE = 500_000
+#: Words, and parts of words, whose ids a Python worker keeps; about 50 MB each.
+CACHE = 200_000
 #: Words of these characters are the same after NFC, and their lower case is the same everywhere.
 PLAIN = re.compile(r"[\x21-\x7EÀ-įı-ž]+")
 
@@ -105,6 +107,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    small_batches(docs.sparkSession)
     fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     kind = pa.list_(pa.struct(fields))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html, langid, licenses, mixing, multiset, packing, quality, secrets, simhash, warc
-from .common import shared_dir, staged, table
+from .common import shared_dir, small_batches, staged, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = table(spark, sf_dir, "documents").select("doc_id", secrets.secret_spans(F.col("text")).alias("found"))
     base = F.filter("found", lambda s: s["via"] == "")
     kinds = F.transform(base, lambda s: s["kind"])
@@ -97,6 +98,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html.extract(F.col("html")).alias("text"))
     return pages.select("*", F.length("text").cast("long").alias("n_chars"))
 

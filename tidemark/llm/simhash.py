@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .components import connected_components
 
 BITS = 64
@@ -120,6 +120,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all its ids are null; repeated rows and ids are kept; an empty table gives an empty result; other columns are
     ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     text = F.col(text_col)
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), simhash(text).alias("fp")), "prints")
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
