@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import r6
-from ..operators import membership, panel
+from ..operators import membership, panel, selection
 from ..sources import bars as src
 from ..sources import fixtures as fx
 from .feature_queries import lag, roll
@@ -233,6 +233,4 @@ _SPEC = "split_part(spec, '|', {})"
 @query(f"""with {fx.cte('fx_spec')} select {_SPEC.format(1)} as family, substr({_SPEC.format(2)}, 2)::bigint as n, substr({_SPEC.format(3)}, 2)::bigint as k, substr({_SPEC.format(4)}, 3)::double as theta,
 try_cast(substr({_SPEC.format(5)}, 2) as double) as gmax, {_SPEC.format(6)} as regime from fx_spec""")
 def spec_parse(spark, sf_dir):
-    p = F.split("spec", r"\|")
-    tail = lambda i, a, t: F.substring(F.get(p, F.lit(i)), a, 99).try_cast(t)
-    return fx.table(spark, "fx_spec").select(F.get(p, F.lit(0)).alias("family"), tail(1, 2, "long").alias("n"), tail(2, 2, "long").alias("k"), tail(3, 3, "double").alias("theta"), tail(4, 2, "double").alias("gmax"), F.get(p, F.lit(5)).alias("regime"))
+    return selection.spec_columns(fx.table(spark, "fx_spec")).drop("spec")
