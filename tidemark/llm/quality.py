@@ -91,7 +91,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     A document that passes the base rules is kept unless its character classes are further than CLASS_LIMIT from all those
     of its language (texts of MIN_CHARS on), or its shares of common words further than WORD_LIMIT (texts of MIN_WORDS
-    on, languages with a list). A null or unseen language is compared with all documents' classes. Null texts have no
+    on, languages with a list). A null language is compared with all documents' classes. Null texts have no
     words and fail the base rules; repeated rows are judged each; an empty table gives an empty result.
     """
     stats = staged(measures(docs, doc_id, text, lang), "quality")

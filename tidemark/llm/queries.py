@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, licenses, mixing, multiset, packing, quality, secrets, simhash, warc
+from . import html, langid, licenses, mixing, multiset, oracles, packing, quality, secrets, simhash, warc
 from .common import shared_dir, small_batches, staged, table
 
 
@@ -94,7 +94,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("char_distance", "word_distance")})
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,4 +116,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_html": op10_html,
 }
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_mixing": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_mixing": OP4_SQL, "op5_licenses": oracles.licenses(), "op9_quality": oracles.quality()}
