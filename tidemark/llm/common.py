@@ -65,7 +65,7 @@ def bucket_of(col: Column, bounds: list) -> Column:
     return F.when(col.isNull(), F.lit(-1)).otherwise(F.size(F.filter(cuts, lambda b: b <= col)))
 
 
-def parts_for(n_rows: int, per_part: int = 50_000) -> int:
+def parts_for(n_rows: int, per_part: int = 2_000) -> int:
     return max(1, -(-n_rows // per_part))
 
 
