@@ -22,6 +22,9 @@ T = "A paragraph of the story, with commas, and enough words to count for someth
         ("<article><div class='cookie-notice'>c</div><p>x</p></p></div></article></body>", "x"),
         ("<article><p>open <a href='", "open"),
         ("<title>t</title><script>only()", ""),
+        (f"<h1>Head</h1><article>{P}</article><section class=discussion>{P}{P}</section><section>{P}{P}</section>", f"Head {T}"),
+        (f"<div id=page><div class=topnav>{P}</div><h1>Head</h1><div class=story>{P}{P}</div><div id=usercomments>{P}{P}{P}</div><p class=footer-note>{T}</p></div>", f"Head {T} {T}"),
+        (f"<div class=cookieconsent>{P}</div><div><div>{P}<blockquote>Said.</blockquote></div></div><div role=complementary>{P}{P}</div>", f"{T} Said."),
     ],
 )
 def test_pages(page, want):

@@ -23,7 +23,10 @@ ENDS_P = BLOCK - {"br", "caption", "html", "body", "tbody", "td", "tfoot", "th",
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"})}
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id that mark what is not article, always or unless a word of CONTENT stands beside them.
-NOISE = set("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr comment comments disqus respond replies reply sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay paywall pagination pager masthead topbar".split())
+NOISE = set("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr comment comments disqus respond replies reply sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay paywall pagination pager masthead topbar discussion feedback guestbook reviews responses teaser teasers trending outbrain taboola".split())
+#: Beginnings and ends of such words.
+NOISE_START = ("comment", "cookie", "advert", "sponsor", "navbar", "navig", "sidebar", "breadcrumb", "newsletter", "footer", "discuss", "disqus")
+NOISE_END = ("nav", "comments", "sidebar", "menu", "footer", "advert")
 WEAK = set("header notice notices alert widget aside toolbar tools meta hidden disclaimer".split())
 CONTENT = set("article content main post entry body story text page".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -57,7 +60,7 @@ def _noise(tag: str, attrs: str) -> bool:
             return True
         if name in ("class", "id"):
             words.update(re.split(r"[^a-z]+", value))
-    return bool(words & NOISE) or bool(words & WEAK and not words & CONTENT)
+    return bool(words & NOISE) or any(w.startswith(NOISE_START) or w.endswith(NOISE_END) for w in words) or bool(words & WEAK and not words & CONTENT)
 
 
 def tree(html: str) -> Node:
@@ -201,6 +204,8 @@ def best_nodes(root: Node) -> list[Node]:
             return True
         if s.tag in ("h1", "h2"):
             return density(s) < 0.3
+        if best.tag in ("article", "main"):
+            return False
         if s.tag in CONTAINERS and score[id(s)] >= least:
             return True
         return s.tag == "p" and density(s) < 0.25 and (s.chars > 80 or s.commas > 0)
