@@ -24,7 +24,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), "capture_id", "refers_to_record",
     )
     found = staged(found, "warc-captures")
-    first = found.where("record_type = 'response'").select(F.col("capture_id").alias("first"), F.col("page_id").alias("refers_to")).distinct()
+    first = found.where("record_type = 'response'").select(F.col("capture_id").alias("first"), F.col("page_id").alias("refers_to"))
+    first = staged(first.distinct(), "warc-responses")  # a plain exchange in the join: a response with many revisits is split
     again = found.where("refers_to_record is not null").join(first, F.col("refers_to_record") == F.col("first"), "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     alone = found.where("refers_to_record is null").select(*columns, F.lit(None).cast("long").alias("refers_to"))

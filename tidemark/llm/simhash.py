@@ -128,6 +128,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = found.join(first, found.node == first.fp).groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = found.join(named, "component").select(F.col("node").alias("fp"), F.col("component").alias("class"), "component_id")
     labels = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("class", "fp").alias("class"))
+    labels = staged(labels, "labels")  # both sides of the join are plain exchanges then: a hot fingerprint's documents are split
     return rows.join(labels, "fp").select("doc_id", "fp", "component_id", "class", "text_hash")
 
 
