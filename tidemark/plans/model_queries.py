@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, models, panel, research, simulate
 from ..sources import bars as src
+from ..sources import stores
 from ..streaming import stream_bars
 from .panel_queries import universe_rows
 from .research_queries import CAPITAL, RANKS, _folds, week
@@ -84,5 +85,4 @@ def stream_bars_hourly(spark, sf_dir):
     """Hourly bars of the event stream; the windows that the watermark has closed."""
     events = spark.readStream.schema(stream_bars.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"bars_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return stream_bars.available_now(stream_bars.windowed_bars(events), name, f"{folder.rstrip('/')}/{name}")
+    return stream_bars.available_now(stream_bars.windowed_bars(events), name, f"{stores.work_dir(spark)}/{name}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,14 @@ def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.agg(F.sha2(F.array_join(ordered, ""), 256).alias("combined"))))
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder shared by driver and executors (spark.checkpoint.dir); on a local master without one a new temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (path or tempfile.mkdtemp(prefix="spark-work-")).rstrip("/")
+
+
 def append_log(rows: DataFrame, path: str, order: list[str]) -> None:
     """Appends rows to a Parquet log with ids that go on from its largest; one writer at a time."""
     spark = rows.sparkSession
