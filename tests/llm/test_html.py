@@ -32,7 +32,7 @@ def test_pages(page, want):
 
 
 def test_columns_and_depth(spark):
-    deep = "<div>" * 5000 + P
+    deep = "<div>" * 50_000 + P + "</div>" * 50_000
     rows = [(1, None), (2, ""), (3, deep), (4, "<article>" + P * 2000 + "</article>")]
     got = [r.t for r in spark.createDataFrame(rows, "page_id long, html string").select(html.extract(F.col("html")).alias("t")).collect()]
     assert got == ["", "", T, " ".join([T] * 2000)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -67,16 +68,16 @@ def tree(html: str) -> Node:
     """A tolerant tree of the page: unclosed and stray tags, raw-text elements, comments."""
     root = Node("html", None, False)
     at, pos, n = root, 0, len(html)
-    stack_tags: list[str] = ["html"]
+    depth: Counter[str] = Counter()  # open elements of each kind
 
     def close_to(node: Node) -> None:
         nonlocal at
         while at is not node:
+            depth[at.tag] -= 1
             at = at.parent
-            stack_tags.pop()
         if at.parent:
+            depth[at.tag] -= 1
             at = at.parent
-            stack_tags.pop()
 
     def nearest(tags: set, stops: set) -> Node | None:
         found, x = None, at
@@ -113,7 +114,7 @@ def tree(html: str) -> Node:
             continue
         pos, tag, attrs = m.end(), m[2].lower(), m[3]
         if m[1]:
-            if tag in stack_tags[1:]:
+            if depth[tag]:
                 x = at
                 while x.tag != tag:
                     x = x.parent
@@ -121,15 +122,15 @@ def tree(html: str) -> Node:
             elif tag == "p":
                 at.items.append(Node("br", at, False))
             continue
-        if tag in ("html", "body") and tag in stack_tags[1:] or tag == "html":
+        if tag == "html" or tag == "body" and depth[tag]:
             continue
-        if tag in ENDS_P and "p" in stack_tags and (p := nearest({"p"}, {"table", "td", "th", "button", "caption", "object"})):
+        if tag in ENDS_P and depth["p"] and (p := nearest({"p"}, {"table", "td", "th", "button", "caption", "object"})):
             close_to(p)
         if tag in HEADINGS and at.tag in HEADINGS:
             close_to(at)
-        if tag in CLOSES and (x := nearest(*CLOSES[tag])):
+        if tag in CLOSES and any(depth[t] for t in CLOSES[tag][0]) and (x := nearest(*CLOSES[tag])):
             close_to(x)
-        if tag == "body" and "head" in stack_tags and (x := nearest({"head"}, set())):
+        if tag == "body" and depth["head"] and (x := nearest({"head"}, set())):
             close_to(x)
         node = Node(tag, at, at.drop or _noise(tag, attrs))
         at.items.append(node)
@@ -141,7 +142,7 @@ def tree(html: str) -> Node:
             pos = pos or n
             continue
         at = node
-        stack_tags.append(tag)
+        depth[tag] += 1
     return root
 
 
