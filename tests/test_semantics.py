@@ -212,3 +212,25 @@ def test_stream_equals_batch(spark, tmp_path):
     last = means.sort_values("n").groupby("code").last()
     for code, g in pdf.groupby("code"):
         assert math.isclose(last.loc[code, "mean"], g["value"].ewm(alpha=0.1, adjust=False).mean().iloc[-1])
+
+
+def test_universe_does_not_look_ahead(spark, bars):
+    """The universe of a date is the same when the bars end there."""
+    _, df = bars
+    holidays = spark.createDataFrame([(DAY,)], "dt date")
+
+    def members(b, at):
+        rows = panel.traded_value(panel.align(b, panel.business_days(b, holidays)))
+        u = panel.universe(rows, 40_000.0, 90.0, 30).where((F.col("dt") == F.lit(at)) & F.col("in_univ"))
+        return {r.code for r in u.collect()}
+
+    for at in (DAY + dt.timedelta(days=k) for k in (120, 204)):
+        assert members(df, at) == members(df.where(F.col("dt") <= F.lit(at)), at)
+
+
+def test_alignment_carries_closes_and_counts_days(spark):
+    df = fixtures.table(spark, "fx_bars").dropDuplicates(["code", "dt"])
+    rows = panel.align(df, panel.business_days(df, fixtures.table(spark, "fx_holidays"))).where("code = 'A'").orderBy("dt").collect()
+    assert [r.dt.day for r in rows] == [6, 7, 8, 9, 10, 13, 14] and [r.listed_days for r in rows] == list(range(1, 8))
+    halted = [r for r in rows if not r.tradable]
+    assert [(r.dt.day, r.close, r.open, r.volume) for r in halted] == [(9, 53.0, None, 0.0), (13, 59.0, None, 0.0)]
