@@ -17,8 +17,8 @@ from .common import small_batches
 #: Letters and other word characters but digits and the underscore.
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
-#: Training documents of each language, and languages (the most frequent ones), that a model is fitted on.
-PER_LANG, MAX_LANGS = 600, 64
+#: Half the labelled documents taken of each language (so many fit and so many calibrate), and languages (the most frequent ones), that a model is fitted on.
+PER_LANG, MAX_LANGS = 500, 64
 ORDER = 4
 #: Words whose scores a Python worker keeps.
 CACHE = 150_000
