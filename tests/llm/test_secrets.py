@@ -2,7 +2,9 @@ import base64
 import bz2
 import gzip
 import hashlib
+import random
 import re
+import textwrap
 import urllib.parse
 import zlib
 
@@ -68,3 +70,25 @@ def test_query_over_nulls_and_repeats(spark, tmp_path):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k + ":") for x in want) for k in secrets.KINDS)
     df = spark.createDataFrame([(None,), (KEY,)], "t string").select(secrets.redact(F.col("t")).alias("r"))
     assert [r.r for r in df.collect()] == [None, "[REDACTED]"]
+
+
+def test_base64_in_any_place_and_form():
+    b64 = lambda x: base64.b64encode(x).decode()
+    rnd = random.Random(2)
+    pad = "".join(f"line {rnd.random()}\n" for _ in range(40)).encode()
+    inner = KEY.encode()
+    cases = {f"{prefix}{b64(inner)}": inner for prefix in ("https://x.org/f/", "id-", "a_", "xx", "abcdefghij/klmnopq/")}
+    cases |= {f"{prefix}{b64(pack(pad + inner))}": None for prefix in ("https://x.org/f/", "id-", "xyz") for pack in (gzip.compress, zlib.compress, bz2.compress, zstandard.compress)}
+    cases |= {base64.encodebytes(pack(pad + inner + pad)).decode().strip(): None for pack in (bytes, gzip.compress, zlib.compress, bz2.compress, zstandard.compress)}
+    for at in range(40, 76):  # the secret lies across the end of a line
+        cases["\r\n".join(textwrap.wrap(b64(b"-" * at + inner + b"." * 60), 76))] = None
+    cases |= {b64(raw): None for raw in (b"\0" * 5 + inner, b"\xff\xfe" + KEY.encode("utf-16-le"), KEY.encode("utf-16"), KEY.encode("utf-16-be"), b"\x01" + inner + b"\x02\xe9")}
+    cases |= {b64(pack(b"hello ") + pack(b"pass") + pack(b"word=hunter2hunter2")): None for pack in (gzip.compress, zlib.compress, bz2.compress, zstandard.compress)}
+    for code in cases:
+        text = f"\u00e9t\u00e9 {code}"
+        spans = [s for s in secrets.find(text) if s[0] == "assign"]
+        assert spans and all(4 <= a < b <= len(text) for *_, a, b in spans), code
+        assert any(b - a >= 4 * len(KEY) // 3 for *_, a, b in spans), code
+        assert not secrets.find(secrets.redacted_text(text)), code
+    text = f"id-{b64(inner)} tail"
+    assert secrets.find(text) == [("assign", "base64", 3, 3 + len(b64(inner)) - 1)]

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs whose digits go on in the next lines, which may be indented or quoted.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t>]*[A-Za-z0-9+/_-]++)++={0,2}")
+DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
+MAGIC = re.compile(rb"(?P<gzip>\x1f\x8b\x08)|(?P<zlib>\x78[\x01\x5e\x9c\xda])|(?P<bz2>BZh[1-9](?:1AY&SY|\x17rE8P\x90))|(?P<zstd>\x28\xb5\x2f\xfd)")
+#: The shortest secret has 14 characters.
+PRINTABLE = re.compile(rb"[\t\r\n\x20-\x7e]{14}")
+UTF16 = re.compile(rb"(?:[\t\r\n\x20-\x7e]\0){14,}|(?:\0[\t\r\n\x20-\x7e]){14,}")
 #: A compressed layer that unpacks to more than this many bytes is not unpacked but reported as a span of kind oversize.
 MAX_UNPACKED = 64 << 20
+#: So is what would take the blocks in one base64 run over this many bytes together.
+MAX_TOTAL = 4 * MAX_UNPACKED
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -102,63 +111,101 @@ def _escape(run: str) -> list[tuple[str, int, int]]:
     return [("�" if "\ud800" <= c <= "\udfff" else c, a, n) for c, a, n in out]
 
 
-def _unpacked(raw: bytes) -> tuple[str, bytes | None] | None:
-    """The name and content of a compressed block (None: too large), or None if it is none."""
+def _unpacked(raw: bytes, at: int) -> tuple[str, bytes | None, int] | None:
+    """Name, content (None: too large) and end of the compressed block at a place of raw, with those that follow at once.
+
+    A block that breaks off gives what was read of it; None if nothing was.
+    """
+    name = MAGIC.match(raw, at).lastgroup
+    make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}[name]
+    out, d = bytearray(), make()
     try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and int.from_bytes(raw[:2], "big") % 31 == 0):
-            d = zlib.decompressobj(47)
-            out, name, more = d.decompress(raw, MAX_UNPACKED), "gzip" if raw[:1] == b"\x1f" else "zlib", bool(d.unconsumed_tail)
-        elif raw[:3] == b"BZh":
-            b = bz2.BZ2Decompressor()
-            out, name, more = b.decompress(raw, MAX_UNPACKED), "bz2", not b.eof and not b.needs_input
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            z = zstandard.ZstdDecompressor().stream_reader(raw)
-            out, name = z.read(MAX_UNPACKED), "zstd"
-            more = bool(z.read(1))
-        else:
-            return None
+        while at < len(raw):
+            piece = raw[at : at + 512]  # so that one step can't unpack to more than some 20 MB
+            out += d.decompress(piece)
+            at += len(piece)
+            if len(out) > MAX_UNPACKED:
+                return name, None, len(raw)
+            if d.eof:
+                at -= len(d.unused_data)
+                if not ((more := MAGIC.match(raw, at)) and more.lastgroup == name):
+                    break
+                d = make()
     except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
-        return None
-    return name, None if more else out
+        pass
+    return (name, bytes(out), at) if out else None
 
 
-def _readable(raw: bytes) -> str | None:
-    """raw as text, if it is UTF-8 of printable characters."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _contents(raw: bytes) -> Iterator[tuple[str, bytes | None]]:
+    """What the compressed blocks in raw hold, and those in them, each with the names of its codings; None: too large."""
+    work, room, seen = [("", raw)], MAX_TOTAL, set()
+    while work:
+        name, data = work.pop()
+        end = 0
+        for m in MAGIC.finditer(data):
+            if m.start() < end or (more := _unpacked(data, m.start())) is None:
+                continue
+            inner, content, end = f"{name}+{more[0]}", more[1], more[2]
+            if content is not None:
+                mark = hashlib.blake2b(content, digest_size=16).digest()
+                if mark in seen and len(inner) <= 200:
+                    continue
+                seen.add(mark)
+                room -= len(content)
+            if content is None or room < 0 or len(inner) > 200:
+                yield inner, None
+                if room < 0:
+                    return
+                continue
+            yield inner, content
+            work.append((inner, content))
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts in raw with the first byte of each character and the one after: all bytes as characters, and UTF-16 runs.
+
+    Secrets and codings are ASCII, so that other bytes only stand between them, whatever the encoding.
+    """
+    if PRINTABLE.search(raw):
+        at = np.arange(len(raw))
+        yield raw.decode("latin-1"), at, at + 1
+    for m in UTF16.finditer(raw):
+        at = np.arange(m.start(), m.end(), 2)
+        yield m.group().replace(b"\0", b"").decode("latin-1"), at, at + 2
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 digits and their places in text: of each run, and of runs that go on over line ends."""
+    for m in BASE64.finditer(text):
+        yield m.group(), np.arange(m.start(), m.end())
+    for m in WRAPPED.finditer(text):
+        places = [np.arange(k.start(), k.end()) for k in DIGITS.finditer(text, *m.span())]
+        yield "".join(k.group() for k in DIGITS.finditer(text, *m.span())), np.concatenate(places)
 
 
 def _blocks(layer: Layer, found: set) -> list[Layer]:
-    """Layers inside base64 runs. Text maps byte by byte to its base64 digits, compressed text to the whole run."""
+    """Layers inside base64 runs, read from each of the four alignments: a token may follow other digits.
+
+    Text maps byte by byte to its base64 digits, compressed text to the whole run.
+    """
     out = []
-    for m in BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            raw, name = base64.b64decode(run + "=" * (-len(run) % 4)), "base64"
-        except (binascii.Error, ValueError):
-            continue
-        whole = False
-        while (more := _unpacked(raw)) is not None:
-            name, whole = f"{name}+{more[0]}", True
-            if more[1] is None or len(name) > 200:  # too large, or a block that unpacks to itself
-                found.add((*layer.span(*m.span()), "oversize", "/".join((*layer.via, name))))
-                raw = b""
-                break
-            raw = more[1]
-        if (text := _readable(raw)) is None:
-            continue
-        if whole:
-            at, to = np.full(len(text), m.start()), np.full(len(text), m.end())
-        else:
-            ends = np.cumsum([len(c.encode()) for c in text])
-            starts = np.concatenate([[0], ends[:-1]])
-            at, to = m.start() + starts * 4 // 3, np.minimum(m.start() + -(-ends * 4 // 3), m.end())
-        out.append(layer.inner(text, name, at, to))
+    for digits, place in _runs(layer.text):
+        digits = digits.rstrip("=").replace("-", "+").replace("_", "/")
+        first, last = place[0], place[-1] + 1
+        for skip in range(4):
+            run = digits[skip:]
+            if len(run) % 4 == 1:
+                run = run[:-1]
+            raw = base64.b64decode(run + "=" * (-len(run) % 4))
+            for text, at, to in _texts(raw):
+                start, end = place[skip + at * 4 // 3], place[np.minimum(skip - (-to * 4 // 3), len(digits)) - 1] + 1
+                out.append(layer.inner(text, "base64", start, end))
+            for name, content in _contents(raw):
+                if content is None:
+                    found.add((*layer.span(first, last), "oversize", "/".join((*layer.via, "base64" + name))))
+                    continue
+                for text, *_ in _texts(content):
+                    out.append(layer.inner(text, "base64" + name, np.broadcast_to(first, len(text)), np.broadcast_to(last, len(text))))
     return out
 
 
@@ -166,7 +213,7 @@ def find(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, via, start, end) of all spans of a text, by start, kind and end; via is empty for the text itself.
 
     A worklist holds the layers still to be read. Each is scanned, then unwrapped once for each coding it holds: percent
-    codes, backslash escapes, base64 and what is compressed in it. A layer text that was read before is not read again, so
+    codes, backslash escapes, base64 (wrapped or not, in any alignment) and what is compressed in it. A layer text that was read before is not read again, so
     codings that unwrap to one another end. A span found in a layer is reported at the original characters it came from,
     unless the same span was found there already.
     """
