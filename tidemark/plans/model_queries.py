@@ -24,9 +24,10 @@ def query(fn):
 
 
 def _training(spark, sf_dir) -> tuple[DataFrame, list]:
+    """The rows of all weeks, and every walk-forward fold that has training days."""
     df = models.prepared(week(spark, sf_dir), RANKS).withColumn("up", (F.col("y") > 0.008).cast("double")).select("dt", "code", "x", "y", "up").cache()
     folds = [r.asDict() for r in _folds(spark, sf_dir)[0].where("train_end is not null").orderBy("fold").collect()]
-    return df, folds[-2:]
+    return df, folds
 
 
 @query
@@ -37,8 +38,9 @@ def m3_logistic(spark, sf_dir):
 
 @query
 def gbt_regression(spark, sf_dir):
+    """Five rounds of trees for each fold, fitted on at most 300 rows a day."""
     df, folds = _training(spark, sf_dir)
-    return models.walk_forward(df, folds, "y", lambda t, y: models.boosted(models.daily_sample(t, 20, 42), y, rounds=5))
+    return models.walk_forward(df, folds, "y", lambda t, y: models.boosted(models.daily_sample(t, 300, 42), y, rounds=5))
 
 
 def _inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
