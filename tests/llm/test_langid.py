@@ -1,8 +1,12 @@
+import collections
 import math
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import langid, queries
 
@@ -74,3 +78,55 @@ def test_rejection_and_no_model(spark):
     assert not any(r.rejected for r in langid.predict(docs, model).collect())
     assert langid.train(docs.where("false")) is None
     assert [r.lang_pred for r in langid.predict(other, None).collect()] == ["und", "und"]
+
+
+def test_calibrated_rejection_of_foreign_texts(spark):
+    """Long texts of a language that wasn't learned are rejected, those of learned ones, short or long, are not."""
+    rnd = random.Random(12)
+    made = lambda parts, n: " ".join("".join(rnd.choices(parts.split(), k=rnd.randint(1, 3))) for _ in range(n))
+    known = {"aa": "ba na ka to mi re so", "bb": "ben nak tom rim sok kar", "cc": "ank otb erm ist nor abk"}
+    docs = [(i, made(known[lang], rnd.choice([1, 4, 40, 200])), lang) for i, lang in enumerate(rnd.choices(list(known), k=900))]
+    model = langid.train(spark.createDataFrame(docs[:600], "doc_id long, text string, lang string"))
+    even = -math.log(model.floor)
+    assert all(x < even for x in model.limits)
+    fresh = langid.predict(spark.createDataFrame(docs[600:], "doc_id long, text string, lang string"), model).collect()
+    assert not any(r.rejected for r in fresh) and sum(r.lang == r.lang_pred for r in fresh) > 290
+    foreign = [(made("tiot aebr kmoa sinb oern", n),) for n in (40, 80, 200)]  # the same letters, otherwise arranged
+    got = langid.predict(spark.createDataFrame(foreign, "text string"), model).collect()
+    assert all(r.rejected for r in got)
+
+
+def test_sample_is_bounded_and_takes_repeats_once(spark):
+    rows = [(i, f"kato {i}", "aa") for i in range(3000)] + [(1, "same text", "bb")] * 500 + [(None, "other text", "bb")] * 2 + [(7, "x", f"l{i}") for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    named = df.select("lang", F.xxhash64("doc_id", "lang", "text").alias("h"), "text")
+    got = collections.Counter(r.lang for r in langid.sample(named, {"aa": 3000, "bb": 502, **{f"l{i}": 1 for i in range(70)}}, 100).collect())
+    assert 140 < got["aa"] < 260 and got["bb"] <= 2 and all(got[f"l{i}"] == 1 for i in range(70))
+    assert len(langid.train(df, per_lang=100).langs) >= 71  # no language is dropped
+
+
+def test_frequent_grams_are_kept(spark):
+    fit = spark.createDataFrame([("aa", "kato kato kato mina"), ("bb", "x")], "lang string, text string")
+    every = langid._counted(fit, 4, 1000)
+    assert every["aa"]["kato"] == 3 and every["aa"]["   m"] == 1
+    assert set(langid._counted(fit, 4, 5)["aa"]) == {g for g, n in every["aa"].items() if n == 3}
+
+
+def test_edge_cases_and_ties(spark):
+    """Clashing columns are replaced or kept, a tie goes to the first language, very long texts and empty tables work."""
+    model = langid.Model({"x": {"   a": 3, "  a ": 3}, "w": {"   a": 3, "  a ": 3}})
+    schema = "m string, at long, best string, c0 long, text string, score string, e double"
+    rows = [("m", 1, "b", 2, "a a", "old", 0.5), ("m", 1, "b", 2, "a " * 400_000 + "b" * 100_000, "old", 0.5), ("m", 1, "b", 2, None, None, None)]
+    got = langid.predict(spark.createDataFrame(rows, schema), model).collect()
+    assert [r.lang_pred for r in got] == ["w", "w", "und"] and [r.m for r in got] == ["m"] * 3 and got[0].score == 0.5
+    empty = langid.predict(spark.createDataFrame([], schema), model)
+    assert empty.count() == 0 and empty.columns.count("score") == 1
+
+
+def test_accuracy_on_the_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    got = queries.op6_language(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right, n, gone = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*"), F.count_if(F.col("rejected"))).first()
+    assert right >= 0.99 * n and gone <= 0.005 * n

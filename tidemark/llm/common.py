@@ -38,9 +38,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows that Python gets at once. Texts are long: the default of 10,000 would be up to 64 MB twice for each core."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Rows and bytes that Python gets at once. Texts are long: the defaults would be up to 64 MB twice for each core.
+
+    The settings hold for the rest of the session, since the plans that need them run later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -48,23 +52,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def id_bounds(df: DataFrame, key: str, parts: int) -> list:
-    """At most parts - 1 ascending cut points of an orderable numeric column, from its approximate quantiles."""
-    if parts < 2:
-        return []
-    at = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(key, at, 20 * parts)).first()[0]
-    return sorted(set(got or []))
-
-
-def bucket_of(col: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are at or below the value; null goes to bucket -1."""
-    if not bounds:
-        return F.when(col.isNull(), F.lit(-1)).otherwise(F.lit(0))
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    return F.when(col.isNull(), F.lit(-1)).otherwise(F.size(F.filter(cuts, lambda b: b <= col)))
-
-
 def parts_for(n_rows: int, per_part: int = 2_000) -> int:
     return max(1, -(-n_rows // per_part))
 

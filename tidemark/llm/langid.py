@@ -8,20 +8,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import small_batches
+from .common import small_batches, staged
 
 #: Letters and other word characters but digits and the underscore.
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
-#: Half the labelled documents taken of each language (so many fit and so many calibrate), and languages (the most frequent ones), that a model is fitted on.
-PER_LANG, MAX_LANGS = 500, 64
+#: About half the labelled documents taken of each language: so many fit and so many calibrate. All of a language of at most FEW fit.
+PER_LANG, FEW = 500, 20
+#: n-grams of the highest order kept of a language, and cells (n-grams times languages) that a table is to hold at most.
+MAX_GRAMS, MAX_CELLS = 400_000, 1 << 25
+#: Letters from which a held-back text counts as long.
+LONG = 100
 ORDER = 4
-#: Words whose scores a Python worker keeps.
-CACHE = 150_000
+#: Words whose scores a task keeps.
+CACHE = 100_000
 #: Characters scored at once.
 STEP = 1 << 20
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -64,10 +68,10 @@ class Model:
         tables = [self._orders(counts[x]) for x in self.langs]
         for k in range(order):
             grams = sorted({g for t in tables for g in t[k]})
-            share = np.zeros((len(grams), len(self.langs)))
+            share = np.zeros((len(grams), len(self.langs)), dtype=np.float32)
             rows = {g: i for i, g in enumerate(grams)}
             contexts = sorted({g[:-1] for g in grams})
-            weight = np.ones((len(contexts), len(self.langs)))
+            weight = np.ones((len(contexts), len(self.langs)), dtype=np.float32)
             at = {c: i for i, c in enumerate(contexts)}
             for j, t in enumerate(tables):
                 values = Counter(t[k].values())
@@ -83,7 +87,7 @@ class Model:
                     weight[at[c], j] = d * types[c] / n
             self.grams.append(self._sorted(grams, share))
             self.contexts.append(self._sorted(contexts, weight))
-        self.limits = np.full(len(self.langs), np.inf)
+        self.limits, self.slack, self.scale = np.full(len(self.langs), -np.log(self.floor)), 0.0, 1.0
 
     @staticmethod
     def _orders(counts: dict[str, int]) -> list[dict[str, int]]:
@@ -149,7 +153,7 @@ class Scorer:
     def _clear(self) -> None:
         self.index, self.scores = _Index(), np.zeros((0, len(self.model.langs)), dtype=np.float32)
 
-    def _flush(self, texts: list[list[str]]) -> list[np.ndarray | None]:
+    def _flush(self, texts: list[list[str]]) -> list[tuple[int, np.ndarray | None]]:
         words = [w for t in texts for w in t]
         ids = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
         new, self.index.new = self.index.new, []
@@ -159,14 +163,15 @@ class Scorer:
         out, at = [], 0
         for t in texts:
             n = len(t)
-            out.append(-self.scores[ids[at : at + n]].sum(axis=0, dtype=np.float64) / size[at : at + n].sum() if n else None)
+            letters = int(size[at : at + n].sum())
+            out.append((letters, -self.scores[ids[at : at + n]].sum(axis=0, dtype=np.float64) / letters if n else None))
             at += n
         if len(self.index) > CACHE:
             self._clear()
         return out
 
-    def entropies(self, texts: Iterator[str | None]) -> Iterator[np.ndarray | None]:
-        """Nats a character in each language; None for a text without letters."""
+    def entropies(self, texts: Iterator[str | None]) -> Iterator[tuple[int, np.ndarray | None]]:
+        """Letters, with a word end each, and nats a letter in each language; 0 and None for a text without letters."""
         wait, n = [], 0
         for t in texts:
             words = words_of(t) if t else []
@@ -174,7 +179,7 @@ class Scorer:
                 words = []
             wait.append(words)
             n += len(t or "")
-            if n >= STEP:
+            if n >= STEP:  # so that the words of many texts are scored together
                 yield from self._flush(wait)
                 wait, n = [], 0
         yield from self._flush(wait)
@@ -194,69 +199,130 @@ def _grams(rows: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in grams], pa.string()), pa.array([k[1] for k in grams], pa.string()), pa.array(list(grams.values()), pa.int64())], schema=kind)
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: Column | None = None, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, order: int = ORDER) -> Model | None:
-    """A model of the languages named in lang, from rows with a language and a text.
+def sample(rows: DataFrame, sizes: dict[str, int], per_lang: int) -> DataFrame:
+    """lang, text, fit of the rows (lang, h, text) whose hash h is under their language's threshold, equal ones once.
 
-    Documented bound: 2 * per_lang rows of each of the max_langs most frequent languages, those with the smallest hash of key
-    (by default doc_id). Half are counted in Spark, by n-gram; the other half calibrates rejection: a language's limit is
-    the mean of its texts' cross-entropy under its own model plus 6 standard deviations, and at least that of letters drawn
-    evenly from the alphabet, which a text of no learned language exceeds. None if there is no such row.
+    The threshold lets about 2 * per_lang rows of a language through, whatever its size, so that no language is sorted or
+    gathered. fit is the lowest bit of h; it holds for all rows of a language of at most FEW.
+    """
+    rates = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(2.0 * per_lang / n))])
+    few = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(n <= FEW))])
+    draw = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    chosen = rows.where(draw < F.element_at(rates, F.col("lang"))).dropDuplicates(["lang", "h"])
+    return chosen.select("lang", "text", ((F.col("h") % 2 != 0) | F.element_at(few, F.col("lang"))).alias("fit"))
+
+
+def _counted(fit: DataFrame, order: int, most: int) -> dict[str, dict[str, int]]:
+    """The n-gram counts of each language, of its most frequent n-grams if it has over `most`."""
+    grams = staged(fit.mapInArrow(lambda rows: _grams(rows, order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    least: dict[str, int] = {}
+    total: Counter = Counter()
+    for r in grams.groupBy("lang", "n").count().orderBy("lang", F.desc("n")).collect():
+        total[r["lang"]] += r["count"]
+        if total[r["lang"]] <= most:
+            least[r["lang"]] = r["n"]
+        else:
+            least.setdefault(r["lang"], r["n"] + 1)
+    counts: dict[str, dict[str, int]] = defaultdict(dict)
+    if least:
+        floor = F.create_map(*[x for lang, n in least.items() for x in (F.lit(lang), F.lit(n))])
+        for r in grams.where(F.col("n") >= F.element_at(floor, F.col("lang"))).collect():
+            counts[r["lang"]][r["gram"]] = r["n"]
+    return counts
+
+
+def calibrate(model: Model, held: list) -> None:
+    """Sets the model's limits and scale from held-back rows (lang, letters, entropy array).
+
+    own are the cross-entropies of a language's texts that it describes best, other those of texts of other languages under its
+    model. A long text is within the limit up to midway between the highest hundredth of own and the lowest of other
+    (of evenly drawn letters where that is less), and in any case up to all but the highest thousandth of own. A text of n
+    letters has slack / sqrt(n) more; slack is half as much again as any held-back text of any language needs. scale is such that the margin
+    which all but the lowest hundredth of the held-back texts reach gives 99 to 1.
+    """
+    even = -np.log(model.floor)
+    model.limits, needs, margins = np.full(len(model.langs), even), [0.0], []
+    rows = [(model.langs.index(r["lang"]), r["letters"], np.array(r["e"])) for r in held if r["lang"] in model.langs and r["e"] is not None]
+    for i in range(len(model.langs)):
+        own = np.array([(e[i], n) for j, n, e in rows if j == i and e.argmin() == i]).reshape(-1, 2)
+        other = [e[i] for j, n, e in rows if j != i and n >= LONG]
+        margins += [np.partition(e, 1)[1] - e[i] for j, _, e in rows if len(e) > 1 and j == i and e.argmin() == i]
+        if not len(own):
+            continue
+        long = own[own[:, 1] >= LONG, 0] if (own[:, 1] >= LONG).any() else own[:, 0]
+        high, low = np.quantile(long, 0.99), min([np.quantile(other, 0.01), even] if other else [even])
+        model.limits[i] = max(np.quantile(long, 0.999), (high + low) / 2)
+        needs.append(((own[:, 0] - model.limits[i]) * np.sqrt(own[:, 1])).max())
+    model.slack = 1.5 * max(needs)
+    if margins:
+        model.scale = max(float(np.quantile(margins, 0.01)), 1e-3) / np.log(99)
+
+
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: Column | None = None, per_lang: int = PER_LANG, max_grams: int = MAX_GRAMS, order: int = ORDER) -> Model | None:
+    """A model of all languages named in lang, from rows with a language and a text.
+
+    Documented bounds: about 2 * per_lang rows of each language, by a hash of key (by default doc_id), language and text, rows
+    repeated in full once; half are counted in Spark, by n-gram, and half calibrate rejection. Of each language the most
+    frequent max_grams n-grams are kept, fewer if there are so many languages that the tables would have over MAX_CELLS
+    cells. Null keys are as good as any other. None if there is no such row.
     """
     key = F.col("doc_id") if key is None else key
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(key, F.col(lang)).alias("h"), F.col(text).alias("text"))
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not top:
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(key, F.col(lang), F.col(text)).alias("h"), F.col(text).alias("text"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
         return None
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.where(F.col("lang").isin(top)).select("lang", "h").withColumn("place", place).where(F.col("place") <= 2 * per_lang)
-    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "text", "place")  # at most 2 * per_lang * max_langs rows
-    fit = sample.where("place % 2 = 1").select("lang", "text").mapInArrow(lambda rows: _grams(rows, order), "lang string, gram string, n long")
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in fit.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
-        counts[r["lang"]][r["gram"]] = r["n"]
+    small_batches(docs.sparkSession)
+    chosen = staged(sample(rows, sizes, per_lang), "langid-sample")
+    counts = _counted(chosen.where("fit").select("lang", "text"), order, max(100, min(max_grams, MAX_CELLS // len(sizes) ** 2)))
     if not counts:
         return None
     model = Model(counts, order)
-    own = sample.where(F.col("place") % 2 == 0).select("lang", "text")
-    own = predict(own, model, "text").where("lang = lang_pred")
-    for r in own.groupBy("lang").agg(F.avg("entropy").alias("m"), F.coalesce(F.stddev_pop("entropy"), F.lit(0.0)).alias("s")).collect():
-        model.limits[model.langs.index(r["lang"])] = max(r["m"] + 6 * r["s"], -np.log(model.floor))
+    measured, shared = _measured(chosen.where("not fit"), model, "text")
+    calibrate(model, measured.select("lang", "m.*").collect())  # a row of the sample each
+    shared.destroy()
     return model
 
 
-PREDICTION = "struct<lang_pred:string,score:double,entropy:double,rejected:boolean>"
+def _measured(docs: DataFrame, model: Model | None, text: str) -> tuple[DataFrame, Broadcast]:
+    """docs with m, a struct of letters (with a word end each) and e, the cross-entropies in each language; and the broadcast model."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([("letters", pa.int64()), ("e", pa.list_(pa.float64()))])
+
+    @F.arrow_udf("struct<letters:long,e:array<double>>")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value) if shared.value else None
+        for batch in batches:
+            found = scorer.entropies(t.as_py() for t in batch) if scorer else ((0, None) for _ in batch)
+            yield pa.array([{"letters": n, "e": e} for n, e in found], kind)
+
+    # Not deterministic for the optimizer only: a filter on the outcome must not run the model a second time.
+    return docs.withColumn("m", apply.asNondeterministic()(F.col(text))), shared
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score, entropy, rejected from the text alone.
 
     lang_pred is the language of the lowest cross-entropy for each character, the first in order on ties; und for a null text, a
-    text without letters, or without a model. score is that language's share when each has 2 ** (-8 * entropy); 0 for und.
-    rejected holds for und and for texts whose entropy is above their language's calibrated limit. Columns of these names
-    in docs are replaced.
+    text without letters, or without a model. score is that language's share when each has exp(-entropy / scale) with the
+    calibrated scale; 0 for und. rejected holds for und and for texts whose entropy is above their language's calibrated limit
+    for their length. Columns of these names in docs are replaced; an empty table gives an empty result; repeated
+    rows are predicted each.
     """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
-
-    @F.arrow_udf(PREDICTION)
-    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
-        scorer = Scorer(model) if model else None
-        for batch in batches:
-            out = []
-            found = scorer.entropies(t.as_py() for t in batch) if scorer else (None for _ in batch)
-            for e in found:
-                if e is None:
-                    out.append((UND, 0.0, None, True))
-                else:
-                    i = int(e.argmin())
-                    share = np.exp2(-8 * (e - e[i]))
-                    out.append((model.langs[i], float(1 / share.sum()), float(e[i]), bool(e[i] > model.limits[i])))
-            yield pa.array([dict(zip(("lang_pred", "score", "entropy", "rejected"), x)) for x in out], kind)
-
     named = docs.drop("lang_pred", "score", "entropy", "rejected")
-    return named.withColumn("__p", apply(F.col(text))).select(*[named[c] for c in named.columns], "__p.*")
+    columns = [named[c].alias(f"c{i}") for i, c in enumerate(named.columns)]
+    found, _ = _measured(named.select(*columns), model, f"c{named.columns.index(text)}")
+    langs, limits, slack, scale = (model.langs, model.limits, float(model.slack), float(model.scale)) if model else ([UND], [0.0], 0.0, 1.0)
+    e, lit = F.col("m.e"), lambda xs: F.array(*[F.lit(x if isinstance(x, str) else float(x)) for x in xs])
+    found = found.withColumn("best", F.array_min(e)).withColumn("at", F.array_position(e, F.col("best")).cast("int"))
+    share = F.aggregate(F.transform(e, lambda x: F.exp((F.col("best") - x) / scale)), F.lit(0.0), lambda a, x: a + x)
+    over = F.col("best") > F.element_at(lit(limits), F.col("at")) + slack / F.sqrt("m.letters")
+    out = {
+        "lang_pred": F.when(F.col("best").isNull(), UND).otherwise(F.element_at(lit(langs), F.col("at"))), "score": F.when(F.col("best").isNull(), 0.0).otherwise(1 / share),
+        "entropy": F.col("best"), "rejected": F.col("best").isNull() | over,
+    }
+    found = found.withColumns({f"p_{k}": c for k, c in out.items()})  # a step of its own, so that names of docs can't stand for these
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(named.columns)], *[F.col(f"p_{k}").alias(k) for k in out])
 
 
 def fold(doc_id: str = "doc_id") -> Column:
