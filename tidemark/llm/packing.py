@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +20,7 @@ from .common import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
-#: Words, and parts of words, whose ids a Python worker keeps; about 50 MB each.
+#: Words, and parts of words, whose ids a task keeps; about 50 MB each. They go when the task ends, the tokenizer stays.
 CACHE = 200_000
 #: Words of these characters are the same after NFC, and their lower case is the same everywhere.
 PLAIN = re.compile(r"[\x21-\x7EÀ-įı-ž]+")
@@ -70,6 +72,9 @@ class WordIds:
             self.words[word] = ids
         return ids
 
+    def clear(self) -> None:
+        self.words, self.pieces = {"": b""}, {}
+
     def __call__(self, text: str) -> bytes:
         if not self.by_word:
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -98,32 +103,45 @@ def pieces_of(n: int, longest: int = 2048) -> list[tuple[int, int]]:
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = END, longest: int = 2048, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (and ids), one row for each piece.
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, batch_id, slot (and ids), one row for each piece.
 
     A document's ids and the end id are cut into pieces of powers of two, longest at most (itself a power of two). Each piece is a
-    sequence of its own: no sequence crosses documents and none is padded; those of one bucket (log2 of length) batch
-    together. A null text is empty and gives the end id alone; rows repeated in full are packed each; sequence ids are
-    unique. tokenizer is the path of a tokenizers file on every executor; by default that of TOKENIZER.
+    sequence of its own: no sequence crosses documents and none is padded. Pieces of equal length fill the buckets: bucket
+    is log2 of the length, and longest / length pieces of a bucket are a batch of `longest` ids, in slots from 0; each partition
+    leaves at most one batch of each bucket unfilled. A null text is empty and gives the end id alone; rows repeated in
+    full are packed each; sequence ids are unique; an empty table gives an empty result; other columns are ignored.
+    tokenizer is the path of a tokenizers file on every executor; by default that of TOKENIZER.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     small_batches(docs.sparkSession)
-    fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
+    names = ["start", "length", "ids_crc32", "doc_tokens", "batch", "slot"]
+    fields = [(n, pa.int64()) for n in names] + [("ids", pa.list_(pa.int32()))] * with_ids
     kind = pa.list_(pa.struct(fields))
 
-    @F.arrow_udf("array<struct<start:long,length:long,ids_crc32:long,doc_tokens:long" + ",ids:array<int>" * with_ids + ">>")
-    def cut(texts: pa.Array) -> pa.Array:
-        ids_of, last, out = word_ids(tokenizer or public_tokenizers.path(TOKENIZER)), np.array([end], dtype="<u4").tobytes(), []
-        for t in texts:
-            ids = memoryview(ids_of(t.as_py() or "") + last)
-            n = len(ids) // 4
-            row = []
-            for start, size in pieces_of(n, longest):
-                part = ids[4 * start : 4 * (start + size)]
-                row.append((start, size, zlib.crc32(part), n) + (np.frombuffer(part, dtype="<i4"),) * with_ids)
-            out.append([dict(zip([f for f, _ in fields], p)) for p in row])
-        return pa.array(out, kind)
+    @F.arrow_udf("array<struct<" + ",".join(f"{n}:long" for n in names) + ",ids:array<int>" * with_ids + ">>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids_of, last = word_ids(tokenizer or public_tokenizers.path(TOKENIZER)), np.array([end], dtype="<u4").tobytes()
+        filled: Counter[int] = Counter()  # pieces of each bucket so far in this partition
+        try:
+            for texts in batches:
+                out = []
+                for t in texts:
+                    ids = memoryview(ids_of(t.as_py() or "") + last)
+                    n = len(ids) // 4
+                    row = []
+                    for start, size in pieces_of(n, longest):
+                        part = ids[4 * start : 4 * (start + size)]
+                        batch, slot = divmod(filled[size], longest // size)
+                        filled[size] += 1
+                        row.append((start, size, zlib.crc32(part), n, batch, slot) + (np.frombuffer(part, dtype="<i4"),) * with_ids)
+                    out.append([dict(zip([f for f, _ in fields], p)) for p in row])
+                yield pa.array(out, kind)
+        finally:
+            ids_of.clear()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(cut(F.col(text))).alias("p")).select("doc_id", "p.*")
-    bucket = F.log2("length").cast("int").alias("bucket")
-    return rows.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), bucket)
+    bucket = F.log2("length").cast("int")
+    batch = F.concat_ws("-", F.spark_partition_id(), bucket, "batch").alias("batch_id")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    return rows.select(*columns, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), bucket.alias("bucket"), batch, "slot")
