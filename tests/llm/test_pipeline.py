@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_mixing import brute_mix
-from test_simhash import brute_classes, brute_print
+from test_nearcopies import brute_label, brute_sets
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing, secrets
@@ -56,8 +56,8 @@ def test_language_keeps_clean_documents(stages):
 def test_near_dedup_keeps_one_of_each_class(stages):
     before, after, _ = stages["near_dedup"]
     rows = sorted({(r.doc_id is None, r.doc_id or 0, r.text) for r in before})
-    label = brute_classes([(k, brute_print(t)) for k, (_, _, t) in enumerate(rows)])
-    want = sorted(rows[k] for k in set(label.values()))
+    label = brute_label([brute_sets(t) for _, _, t in rows])  # five words, Jaccard similarity 0.8
+    want = sorted(rows[k] for k in set(label))
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in after) == want and len(after) < len(before)
 
 
