@@ -46,8 +46,8 @@ def test_layers_map_to_the_original():
 def test_cycles_bombs_and_clean_texts():
     assert secrets.find("%2525252525 \\u005cu005c 100% sure") == []
     assert secrets.find("") == [] and secrets.redacted_text("plain text") == "plain text"
-    bomb = base64.b64encode(zlib.compress(b"a" * (secrets.MAX_UNPACKED + 10))).decode()
-    assert [k for k, *_ in secrets.find(bomb)] == ["oversize"]
+    bomb = base64.b64encode(zlib.compress(b"a" * ((64 << 20) + 10))).decode()
+    assert secrets.find(bomb) == [("hex", "base64+zlib", 0, len(bomb))]
     long = "lorem ipsum " * 50_000 + KEY
     assert secrets.find(long) == [("assign", "", len(long) - len(KEY), len(long))]
 
@@ -92,3 +92,65 @@ def test_base64_in_any_place_and_form():
         assert not secrets.find(secrets.redacted_text(text)), code
     text = f"id-{b64(inner)} tail"
     assert secrets.find(text) == [("assign", "base64", 3, 3 + len(b64(inner)) - 1)]
+
+
+def test_more_escapes():
+    forms = {
+        "entity": ["".join(f"&#{ord(c)};" for c in KEY), "".join(f"&#x{ord(c):X};" for c in KEY), "password=&quot;hunter2hunter2&quot;"],
+        "url": ["".join(f"%u{ord(c):04x}" for c in KEY), "".join(f"%u{ord(c):04x}" if c == "p" else f"%{ord(c):02x}" for c in KEY)],
+        "escape": ["".join(f"\\U{ord(c):08x}" for c in KEY), "".join(f"\\u{{{ord(c):x}}}" for c in KEY)],
+    }
+    for via, codes in forms.items():
+        for code in codes:
+            got = secrets.find(f"x {code} y")
+            assert [(k, v) for k, v, *_ in got] == [("assign", via)] and 2 <= got[0][2] < got[0][3] <= 2 + len(code), code
+    assert secrets.find("\\ud83d\\ude00 %ud83d &unknown; &#99999999; &#xFFFFFF; \\UFFFFFFFF") == []
+
+
+def test_deep_and_large_layers(monkeypatch):
+    """Layers of any depth and size are read, as streams of overlapping windows."""
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 16)
+    monkeypatch.setattr(secrets, "CARRY", 1 << 15)
+    inner = KEY.encode()
+    deep = inner
+    for _ in range(60):
+        deep = gzip.compress(deep)
+    assert [k for k, *_ in secrets.find(base64.b64encode(deep).decode())] == ["assign"]
+    rnd = random.Random(5)
+    noise = "".join(f"line {rnd.random()}\n" for _ in range(8000)).encode()  # in several windows
+    assert len(noise) > 2 * secrets.WINDOW
+    for content in (noise + inner + noise[:1000], gzip.compress(noise + inner), bz2.compress(noise) + bz2.compress(inner), noise[: secrets.WINDOW - 7] + inner + noise):
+        code = base64.b64encode(zlib.compress(content, 1)).decode()
+        assert [(k, a, b) for k, _, a, b in secrets.find(f"id {code}")] == [("assign", 3, 3 + len(code))]
+    for lead in range(0, 1 << 16, 9000):  # a coded block in a window's middle or over its end
+        far = noise[:lead] + base64.b64encode(zlib.compress(noise[:20_000] + inner, 1)) + b"\n" + noise
+        assert [k for k, *_ in secrets.find(base64.b64encode(gzip.compress(far, 1)).decode())] == ["assign"]
+
+
+def test_random_nestings_against_their_encoder():
+    """Passwords wrapped in random codings, in random surroundings, are all found, and none in the same texts without them."""
+    rnd = random.Random(17)
+    codings = [
+        lambda b: base64.b64encode(b), lambda b: base64.urlsafe_b64encode(b), lambda b: base64.b64encode(gzip.compress(b)), lambda b: base64.b64encode(zlib.compress(b)),
+        lambda b: base64.b64encode(bz2.compress(b)), lambda b: base64.b64encode(zstandard.compress(b)), lambda b: "".join(f"%{c:02x}" for c in b).encode(),
+        lambda b: "".join(f"\\u{c:04x}" for c in b).encode(), lambda b: "".join(f"&#{c};" for c in b).encode(), lambda b: base64.encodebytes(b).strip(),
+    ]
+    for _ in range(120):
+        plan, place = [rnd.choice(codings) for _ in range(rnd.randint(1, 3))], rnd.choice([b"", b"some words, ", "été ".encode(), b"\0\xff"])
+        texts = []
+        for value in (KEY.encode(), b"nothing to be seen here"):
+            code = place + value + b" end"
+            for f in plan:
+                code = f(code)
+            texts.append(f"lead: {code.decode()}\n tail")
+        found = ["assign" in [k for k, *_ in secrets.find(t)] for t in texts]
+        assert found == [True, False], texts[0][:200]
+        assert not secrets.find(secrets.redacted_text(texts[0]))
+
+
+def test_clashing_columns_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, found string, n_assign long, via string"
+    spark.createDataFrame([(1, KEY, "f", 9, "v"), (1, KEY, "f", 9, "v")], schema).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    assert [(r.doc_id, r.n_assign) for r in queries.op7_secrets(spark, str(tmp_path / "a")).collect()] == [(1, 1)] * 2
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert queries.op7_secrets(spark, str(tmp_path / "b")).count() == 0

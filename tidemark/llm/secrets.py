@@ -7,7 +7,9 @@ import bz2
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+URL = re.compile(r"(?:%[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4})+")
+ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})+")
+ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs whose digits go on in the next lines, which may be indented or quoted.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t>]*[A-Za-z0-9+/_-]++)++={0,2}")
@@ -31,10 +34,11 @@ MAGIC = re.compile(rb"(?P<gzip>\x1f\x8b\x08)|(?P<zlib>\x78[\x01\x5e\x9c\xda])|(?
 #: The shortest secret has 14 characters.
 PRINTABLE = re.compile(rb"[\t\r\n\x20-\x7e]{14}")
 UTF16 = re.compile(rb"(?:[\t\r\n\x20-\x7e]\0){14,}|(?:\0[\t\r\n\x20-\x7e]){14,}")
-#: A compressed layer that unpacks to more than this many bytes is not unpacked but reported as a span of kind oversize.
-MAX_UNPACKED = 64 << 20
-#: So is what would take the blocks in one base64 run over this many bytes together.
-MAX_TOTAL = 4 * MAX_UNPACKED
+#: What a compressed block unpacks to is read in windows of about so many bytes. Each begins CLOSE bytes before the last one's end, or
+#: where the run of CODED characters there begins, if that is at most CARRY bytes before it.
+WINDOW, CARRY, CLOSE = 4 << 20, 2 << 20, 4096
+CODED = bytes(c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-%\\&#;{} \t\r\n>\0")
+DECODERS = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -85,80 +89,129 @@ def _replaced(layer: Layer, name: str, pattern: re.Pattern, decode) -> Layer | N
 
 
 def _url(run: str) -> list[tuple[str, int, int]]:
-    raw = bytes.fromhex(run.replace("%", ""))
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        text = raw.decode("latin-1")
-        return [(c, 3 * i, 3) for i, c in enumerate(text)]
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((c, 3 * at, 3 * n))
-        at += n
+    out: list[tuple[str, int, int]] = []
+    for m in re.finditer(r"%u([0-9A-Fa-f]{4})|(?:%[0-9A-Fa-f]{2})+", run):
+        if m[1]:
+            out.append((_char(int(m[1], 16)), m.start(), 6))
+            continue
+        raw, at = bytes.fromhex(m.group().replace("%", "")), m.start()
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            out += [(c, at + 3 * i, 3) for i, c in enumerate(raw.decode("latin-1"))]
+            continue
+        for c in text:
+            n = 3 * len(c.encode())
+            out.append((c, at, n))
+            at += n
     return out
 
 
+def _char(code: int) -> str:
+    return chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "�"
+
+
 def _escape(run: str) -> list[tuple[str, int, int]]:
-    out: list[tuple[str, int, int]] = []
-    for m in re.finditer(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", run):
-        code = int(m[1] or m[2], 16)
-        if out and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(out[-1][0]) < 0xDC00:
+    out: list[tuple[int, int, int]] = []
+    for m in re.finditer(r"\\(?:u\{([0-9A-Fa-f]+)\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))", run):
+        code = int(m[1] or m[2] or m[3] or m[4], 16)
+        if out and 0xDC00 <= code < 0xE000 and 0xD800 <= out[-1][0] < 0xDC00:
             high, at, _ = out.pop()
-            out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), at, m.end() - at))
+            out.append((0x10000 + ((high - 0xD800) << 10) + code - 0xDC00, at, m.end() - at))
         else:
-            out.append((chr(code), m.start(), m.end() - m.start()))
-    return [("�" if "\ud800" <= c <= "\udfff" else c, a, n) for c, a, n in out]
+            out.append((code, m.start(), m.end() - m.start()))
+    return [(_char(c), a, n) for c, a, n in out]
+
 
+def _entity(code: str) -> list[tuple[str, int, int]]:
+    return [(c, 0, len(code)) for c in unescape(code)]
 
-def _unpacked(raw: bytes, at: int) -> tuple[str, bytes | None, int] | None:
-    """Name, content (None: too large) and end of the compressed block at a place of raw, with those that follow at once.
 
-    A block that breaks off gives what was read of it; None if nothing was.
+def _unpacked(kind: str, stream: Callable[[], Iterator[bytes]], at: int, used: list[int]) -> Iterator[bytes]:
+    """What the compressed block at a place of a stream holds, with those of its kind that follow at once; used[0]: their bytes.
+
+    A block that breaks off gives what was read of it. Input goes in by 512 bytes, so that one step can't unpack to more
+    than some 20 MB.
+    """
+    d, rest = None, b""
+    for piece in stream():
+        if at >= len(piece):
+            at -= len(piece)
+            continue
+        for i in range(at, len(piece), 512):
+            rest += piece[i : i + 512]
+            while rest:
+                if d is None:
+                    m = MAGIC.match(rest)
+                    if len(rest) < 10:
+                        break  # the next piece may hold the rest of a block's head
+                    if not m or m.lastgroup != kind:
+                        return
+                    d = DECODERS[kind]()
+                try:
+                    out = d.decompress(rest)
+                except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
+                    return
+                used[0] += len(rest)
+                rest = b""
+                if d.eof:
+                    rest = d.unused_data
+                    used[0] -= len(rest)
+                    d = None
+                if out:
+                    yield out
+        at = 0
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Overlapping windows of a stream, each with its place."""
+    held, at = bytearray(), 0
+    for piece in pieces:
+        held += piece
+        if len(held) >= WINDOW:
+            yield at, bytes(held)
+            tail = bytes(held[-CARRY:])
+            keep = max(CLOSE, len(tail) - len(tail.rstrip(CODED)))
+            at += len(held) - keep
+            del held[:-keep]
+    yield at, bytes(held)
+
+
+def _contents(raw: bytes) -> Iterator[tuple[str, bytes]]:
+    """Windows of what the compressed blocks in raw hold, and of what those in them hold, each with the names of the codings.
+
+    Nothing is kept but windows: a block that doesn't end in its window is unpacked as a stream, from the blocks around it
+    again. A window that was read before isn't read again, so that a block that unpacks to itself ends.
     """
-    name = MAGIC.match(raw, at).lastgroup
-    make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}[name]
-    out, d = bytearray(), make()
-    try:
-        while at < len(raw):
-            piece = raw[at : at + 512]  # so that one step can't unpack to more than some 20 MB
-            out += d.decompress(piece)
-            at += len(piece)
-            if len(out) > MAX_UNPACKED:
-                return name, None, len(raw)
-            if d.eof:
-                at -= len(d.unused_data)
-                if not ((more := MAGIC.match(raw, at)) and more.lastgroup == name):
-                    break
-                d = make()
-    except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
-        pass
-    return (name, bytes(out), at) if out else None
-
-
-def _contents(raw: bytes) -> Iterator[tuple[str, bytes | None]]:
-    """What the compressed blocks in raw hold, and those in them, each with the names of its codings; None: too large."""
-    work, room, seen = [("", raw)], MAX_TOTAL, set()
+    work: list[tuple[str, Callable[[], Iterator[bytes]]]] = [("", lambda: iter((raw,)))]
+    seen = set()
     while work:
-        name, data = work.pop()
+        name, stream = work.pop()
         end = 0
-        for m in MAGIC.finditer(data):
-            if m.start() < end or (more := _unpacked(data, m.start())) is None:
-                continue
-            inner, content, end = f"{name}+{more[0]}", more[1], more[2]
-            if content is not None:
-                mark = hashlib.blake2b(content, digest_size=16).digest()
-                if mark in seen and len(inner) <= 200:
+        for at, window in _windows(stream()) if name else [(0, raw)]:
+            if name:
+                mark = hashlib.blake2b(window, digest_size=16).digest()
+                if mark in seen:
                     continue
                 seen.add(mark)
-                room -= len(content)
-            if content is None or room < 0 or len(inner) > 200:
-                yield inner, None
-                if room < 0:
-                    return
-                continue
-            yield inner, content
-            work.append((inner, content))
+                yield name, window
+            for m in MAGIC.finditer(window):
+                if at + m.start() < end:
+                    continue
+                kind, used, held, room = m.lastgroup, [0], [], WINDOW
+                block = memoryview(window)[m.start() :]
+                for out in _unpacked(kind, lambda block=block: iter((block,)), 0, used):
+                    held.append(out)
+                    room -= len(out)
+                    if room < 0:
+                        break
+                if not held:
+                    continue
+                end = at + m.start() + used[0]
+                if room >= 0 and used[0] < len(block) or not name and room >= 0:
+                    work.append((f"{name}+{kind}", lambda held=b"".join(held): iter((held,))))
+                else:
+                    work.append((f"{name}+{kind}", partial(_unpacked, kind, stream, at + m.start(), [0])))
 
 
 def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -183,12 +236,11 @@ def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
         yield "".join(k.group() for k in DIGITS.finditer(text, *m.span())), np.concatenate(places)
 
 
-def _blocks(layer: Layer, found: set) -> list[Layer]:
+def _blocks(layer: Layer) -> Iterator[Layer]:
     """Layers inside base64 runs, read from each of the four alignments: a token may follow other digits.
 
     Text maps byte by byte to its base64 digits, compressed text to the whole run.
     """
-    out = []
     for digits, place in _runs(layer.text):
         digits = digits.rstrip("=").replace("-", "+").replace("_", "/")
         first, last = place[0], place[-1] + 1
@@ -199,29 +251,37 @@ def _blocks(layer: Layer, found: set) -> list[Layer]:
             raw = base64.b64decode(run + "=" * (-len(run) % 4))
             for text, at, to in _texts(raw):
                 start, end = place[skip + at * 4 // 3], place[np.minimum(skip - (-to * 4 // 3), len(digits)) - 1] + 1
-                out.append(layer.inner(text, "base64", start, end))
+                yield layer.inner(text, "base64", start, end)
             for name, content in _contents(raw):
-                if content is None:
-                    found.add((*layer.span(first, last), "oversize", "/".join((*layer.via, "base64" + name))))
-                    continue
                 for text, *_ in _texts(content):
-                    out.append(layer.inner(text, "base64" + name, np.broadcast_to(first, len(text)), np.broadcast_to(last, len(text))))
-    return out
+                    yield layer.inner(text, "base64" + name, np.broadcast_to(first, len(text)), np.broadcast_to(last, len(text)))
+
+
+def _inner(layer: Layer) -> Iterator[Layer]:
+    """The layers one coding further in."""
+    for mark, name, pattern, decode in (("%", "url", URL, _url), ("\\", "escape", ESCAPE, _escape), ("&", "entity", ENTITY, _entity)):
+        if mark in layer.text and (inner := _replaced(layer, name, pattern, decode)):
+            yield inner
+    yield from _blocks(layer)
 
 
 def find(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, via, start, end) of all spans of a text, by start, kind and end; via is empty for the text itself.
 
-    A worklist holds the layers still to be read. Each is scanned, then unwrapped once for each coding it holds: percent
-    codes, backslash escapes, base64 (wrapped or not, in any alignment) and what is compressed in it. A layer text that was read before is not read again, so
-    codings that unwrap to one another end. A span found in a layer is reported at the original characters it came from,
-    unless the same span was found there already.
+    A worklist holds what is still to be read. Each layer is scanned, then unwrapped once for each coding it holds: percent
+    codes, backslash escapes, character references, base64 (wrapped or not, in any alignment) and what is compressed in it.
+    Layers are made one at a time. A layer text that was read before is not read again, so codings that unwrap to one
+    another end. A span found in a layer is reported at the original characters it came from, unless the same span was
+    found there already.
     """
     found: set[tuple[int, int, str, str]] = set()
     known: set[tuple[int, int, str]] = set()
-    work, seen = [Layer(text)], set()
+    work, seen = [iter((Layer(text),))], set()
     while work:
-        layer = work.pop(0)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         if layer.via:
             mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + repr((layer.span(0, len(layer.text)))).encode()
             if mark in seen:
@@ -232,11 +292,7 @@ def find(text: str) -> list[tuple[str, str, int, int]]:
             if span not in known:
                 known.add(span)
                 found.add((*span, "/".join(layer.via)))
-        if "%" in layer.text and (inner := _replaced(layer, "url", URL, _url)):
-            work.append(inner)
-        if "\\" in layer.text and (inner := _replaced(layer, "escape", ESCAPE, _escape)):
-            work.append(inner)
-        work += _blocks(layer, found)
+        work.append(_inner(layer))
     order = {k: i for i, k in enumerate(KINDS)}
     return [(kind, via, a, b) for a, b, kind, via in sorted(found, key=lambda s: (s[0], order.get(s[2], 9), s[1], s[3]))]
 
@@ -245,7 +301,10 @@ SPANS = "array<struct<kind:string,via:string,start:long,end:long>>"
 
 
 def secret_spans(text: Column) -> Column:
-    """The spans of find() for each text, in code points, end exclusive; empty for a null or clean text."""
+    """The spans of find() for each text, in code points, end exclusive; empty for a null or clean text.
+
+    Each row has its own result, equal ones for equal texts; an empty table gives an empty result.
+    """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("via", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     @F.arrow_udf(SPANS)
