@@ -42,6 +42,69 @@ def test_fingerprints_add_up(spark):
     assert r.up == r.f_ab and r.down == r.f_a
 
 
+def brute_clauses(text):
+    lines = [p.strip(" ") for p in (text or "").split("\n")]
+    return collections.Counter(c for p in lines if p for c in re.split(r"(?<=[.!?,;:])\s+", p))
+
+
+def exact_likeness(a, b):
+    dot = lambda x, y: sum(n * y[c] for c, n in x.items())
+    return 2 * dot(a, b) / (dot(a, a) + dot(b, b)) if a or b else 1.0
+
+
+def test_likeness_is_near_the_exact_one(spark):
+    """Over random pairs with any share in common the error has the stated size, and no bias."""
+    rnd = random.Random(21)
+    rows = []
+    for _ in range(150):
+        n, m = rnd.choice([1, 5, 40, 300]), rnd.random()
+        a = [f"c{rnd.randrange(10**9)}." for _ in range(n)]
+        b = [c if rnd.random() < m else f"d{rnd.randrange(10**9)}." for c in a]
+        rnd.shuffle(b)
+        rows.append((" ".join(a), "\n".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for c in "ab":
+        df = multiset.fingerprint(df, F.col(c), f"f{c}")
+    got = multiset.likeness(df, "fa", "fb", "near").collect()
+    errors = [r.near - exact_likeness(brute_clauses(r.a), brute_clauses(r.b)) for r in got]
+    assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.08 and abs(sum(errors) / len(errors)) < 0.03
+    assert max(map(abs, errors)) < 0.35
+
+
+def test_lanes_are_sums_of_signs(spark):
+    """Lanes are what a brute-force sum over clauses gives, in chunks of any size; equal lanes of mod only for equal multisets."""
+    texts = ["one, two. three\nfour; four", "", "x " * 50, "a, " * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = multiset.fingerprint(multiset.fingerprint(df, F.col("t"), "f"), F.col("t"), "g", chunk=7)
+    clauses = df.select("t", F.explode(F.filter(F.flatten(F.transform(multiset.paragraphs(F.col("t")), lambda p: F.split(p, multiset.CLAUSE_END))), lambda c: F.lit(True))).alias("c"))
+    hashes = clauses.select("t", *[F.xxhash64(F.lit(s), F.xxhash64("c")).alias(f"h{i}") for i, s in enumerate(multiset.SKETCH_SALTS)]).collect()
+    for r in whole.collect():
+        mine = [h for h in hashes if h.t == r.t]
+        want = [sum(1 if (h[1 + i] >> (k + 20 * j)) & 1 else -1 for h in mine) for i in range(len(multiset.SKETCH_SALTS)) for k in range(multiset.SHIFTS) for j in range(3)]
+        assert r.f == r.g and list(r.f.lanes) == want and len(want) == 270 and r.f.n == len(mine)
+
+
+def test_large_multisets_do_not_overflow(spark):
+    """Over 2^20 clauses, a union of many texts and what is taken off again: disjoint texts stay unlike."""
+    rows = [("a, ", "b, ", (1 << 20) + 9), ("a, b, c, ", "a, b, d, ", 5)]
+    df = spark.createDataFrame(rows, "a string, b string, k int").withColumns({"a": F.expr("repeat(a, k)"), "b": F.expr("repeat(b, k)")})
+    for c in "ab":
+        df = multiset.fingerprint(df, F.col(c), f"f{c}")
+    df = df.withColumns({"up": multiset.combine(F.col("fa"), F.col("fb")), "less": multiset.combine(F.col("fa"), F.col("fb"), -1)})
+    got = [r.near for r in multiset.likeness(df, "fa", "fb", "near").select("near").collect()]
+    assert got[0] < 0.2 and abs(got[1] - 2 / 3) < 0.2
+    r = df.withColumn("back", multiset.combine(F.col("up"), F.col("fb"), -1)).where("k > 5").select("fa", "back", "less").first()
+    assert r.fa == r.back and min(r.less.lanes) < 0
+
+
+def test_edited_very_long_and_clashing(spark):
+    schema = "doc_id long, text string, fp string, n long, half int, prev_id long, edited string"
+    rows = [(1, "word, " * 300_000, "x", 1, 2, 3, "y"), (2, "other. " * 10, None, None, None, None, None), (3, None, "x", 1, 2, 3, "y")]
+    got = {r.doc_id: r for r in multiset.edited(spark.createDataFrame(rows, schema)).collect()}
+    want = rows[0][1][: -len(rows[0][1]) // 2] + rows[1][1]
+    assert got[1].edited_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[3].n_chars == 0 and len(got) == 3
+
+
 def test_edited_edge_cases(spark):
     one = spark.createDataFrame([(None, "abcd", "", "", "")], DOCS)
     r = multiset.edited(one).first()
@@ -82,6 +145,15 @@ def test_notices_with_edits(spark):
     assert got[2].labels == got[3].labels == ""
 
 
+def test_repeated_fragments_are_no_license(spark):
+    """A few words of a notice over and over cover few of its positions; a span's words are those of the template."""
+    whole = next(t for t, label in licenses.NOTICES if label == "mit")
+    rows = [(1, "use copy modify merge publish distribute " * 12, "x"), (2, whole.upper(), None), (3, " ".join(reversed(whole.split())), "x"), (4, None, None), (5, "filler " * 200_000 + whole, "x"), (5, "filler " * 200_000 + whole, "x")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, hits string")).collect()}
+    assert [got[i].labels for i in range(1, 6)] == ["", "mit", "", "", "mit"]
+    assert got[1].score == 0 and got[2].score == got[5].score == 1 and got[5].n_words == 200_000 + len(whole.split())
+
+
 def brute_quality(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -1,12 +1,12 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, in DataFrame expressions only.
 
-A fingerprint is an array of 29 longs, the sum over a text's paragraphs of a wide vector hashed from each:
-- 8 lanes modulo 2^32 from four salted 64-bit hashes of the paragraph, for equality;
-- the number of its clauses;
-- 20 longs modulo 2^60, each with 3 lanes of 20 bits, that count for 60 bits of a clause's hash the clauses with that bit set.
+A fingerprint is a struct, the sum over a text's paragraphs of a wide vector hashed from each:
+- mod: 8 lanes modulo 2^32 from four salted 64-bit hashes of the paragraph, for equality;
+- n: the number of its clauses;
+- lanes: 270 longs, to each of which a clause adds 1 or -1 by a bit of its hashes.
 Sums don't depend on the order of paragraphs, and a paragraph is inserted or deleted by adding or subtracting its vector.
-The last part is a tug-of-war sketch: 2 * lane - clauses adds 1 or -1 for each clause, and the scalar product of two such
-vectors estimates that of the two multisets of clauses.
+lanes is a tug-of-war sketch: the scalar product of two such vectors estimates that of the two multisets of clauses. A lane is a
+whole number of its own, so that no text and no union of texts, however large, makes it overflow into another.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from pyspark.sql.window import Window
 from .common import staged
 
 SALTS = (101, 211, 307, 401)
-EQUAL, SKETCH, PER_LONG, LANE_BITS = 8, 20, 3, 20
-LOW32, LANE, LOW60 = (1 << 32) - 1, (1 << LANE_BITS) - 1, (1 << 60) - 1
+SKETCH_SALTS = (503, 601, 701, 809, 907)
+#: Bits of a salted clause hash that make lanes: SHIFTS times PER_LONG. Three lanes are counted in one long, for at most CHUNK clauses at a time.
+SHIFTS, PER_LONG, LANE_BITS = 18, 3, 20
+CHUNK = 1 << 19
+LOW32, LANE = (1 << 32) - 1, (1 << LANE_BITS) - 1
 SPREAD = sum(1 << (LANE_BITS * i) for i in range(PER_LONG))
 CLAUSE_END = r"(?<=[.!?,;:])\s+"
 
@@ -30,62 +33,70 @@ def paragraphs(text: Column) -> Column:
     return F.filter(lines, lambda p: p != "")
 
 
-def _sum(values: Column, part, mask: int) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: (a + part(v)).bitwiseAND(F.lit(mask)))
+def _total(values: Column, part) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + part(v))
 
 
-def fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
+def fingerprint(df: DataFrame, text: Column, out: str, chunk: int = CHUNK) -> DataFrame:
     """df with out, the fingerprint of text; a null or empty text has zeros."""
     df = df.withColumn("__paragraphs", paragraphs(text))
-    clauses = F.flatten(F.transform("__paragraphs", lambda p: F.split(p, CLAUSE_END)))
-    hashed = {f"__h{s}": _salted(s) for s in range(len(SALTS))}
-    df = df.withColumns(hashed | {"__c": F.transform(clauses, lambda c: F.xxhash64(c))})
-    lanes = []
-    for s in range(len(SALTS)):
-        lanes.append(_sum(F.col(f"__h{s}"), lambda h: h.bitwiseAND(F.lit(LOW32)), LOW32))
-        lanes.append(_sum(F.col(f"__h{s}"), lambda h: F.shiftrightunsigned(h, 32), LOW32))
-    lanes.append(F.size("__c").cast("long"))
-    for i in range(SKETCH):
-        lanes.append(_sketch_lane(i))
-    return df.withColumn(out, F.array(*lanes)).drop("__paragraphs", "__c", *hashed)
+    hashed = {f"__h{i}": _salted(s) for i, s in enumerate(SALTS)}
+    df = df.withColumns(hashed | {"__c": F.transform(F.flatten(F.transform("__paragraphs", lambda p: F.split(p, CLAUSE_END))), lambda c: F.xxhash64(c))})
+    low = lambda x: x.bitwiseAND(F.lit(LOW32))
+    mod = []
+    for i in range(len(SALTS)):
+        mod.append(low(_total(F.col(f"__h{i}"), low)))
+        mod.append(low(_total(F.col(f"__h{i}"), lambda h: F.shiftrightunsigned(h, 32))))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("__c"), F.lit(1)), F.lit(chunk))
+    chunks = {f"__s{i}": F.transform(starts, _chunk(s, chunk)) for i, s in enumerate(SKETCH_SALTS)}
+    df = df.withColumns(chunks | {"__n": F.size("__c").cast("long")})
+    counts = F.concat(*[_counts(c) for c in chunks])
+    lane = lambda j: lambda p: F.shiftrightunsigned(p, LANE_BITS * j).bitwiseAND(F.lit(LANE))
+    lanes = F.flatten(F.transform(counts, lambda per: F.array(*[_total(per, lane(j)) for j in range(PER_LONG)])))
+    lanes = F.transform(lanes, lambda x: 2 * x - F.col("__n"))
+    return df.withColumn(out, F.struct(F.array(*mod).alias("mod"), F.col("__n").alias("n"), lanes.alias("lanes"))).drop("__paragraphs", "__c", "__n", *hashed, *chunks)
 
 
 def _salted(s: int) -> Column:
-    return F.transform("__paragraphs", lambda p: F.xxhash64(F.lit(SALTS[s]), p))
+    return F.transform("__paragraphs", lambda p: F.xxhash64(F.lit(s), p))
 
 
-def _sketch_lane(i: int) -> Column:
-    return _sum(F.col("__c"), lambda h: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(SPREAD)), LOW60)
+def _chunk(salt: int, chunk: int):
+    return lambda at: F.transform(F.slice("__c", at, F.lit(chunk)), lambda h: F.xxhash64(F.lit(salt), h))
+
+
+def _counts(chunks: str) -> Column:
+    """For each shift and each chunk of clause hashes a long with the counts of three bits."""
+    count = lambda k: lambda hs: _total(hs, lambda h: F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(SPREAD)))
+    return F.transform(F.array(*[F.lit(k) for k in range(SHIFTS)]), lambda k: F.transform(chunks, count(k)))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of the union of two texts' paragraphs (sign 1), or of a without those of b (sign -1)."""
-    wrap = lambda x, i: F.when(i < EQUAL, x.bitwiseAND(F.lit(LOW32))).when(i == EQUAL, x).otherwise(x.bitwiseAND(F.lit(LOW60)))
-    return F.transform(F.zip_with(a, b, lambda x, y: x + sign * y), wrap)
+    add = lambda x, y: x + sign * y
+    mod = F.transform(F.zip_with(a["mod"], b["mod"], add), lambda x: x.bitwiseAND(F.lit(LOW32)))
+    return F.struct(mod.alias("mod"), add(a["n"], b["n"]).alias("n"), F.zip_with(a["lanes"], b["lanes"], add).alias("lanes"))
 
 
 def as_text(fp: Column) -> Column:
-    """Lower-case hexadecimal lanes, joined."""
-    return F.lower(F.concat_ws("", F.transform(fp, lambda x, i: F.lpad(F.hex(x), F.when(i <= EQUAL, 8).otherwise(15), "0"))))
-
-
-def signed_lanes(fp: Column) -> Column:
-    """The sketch's 60 sums of 1 and -1."""
-    lane = lambda x, i: 2 * F.shiftrightunsigned(x, LANE_BITS * i).bitwiseAND(F.lit(LANE))
-    n = F.get(fp, F.lit(EQUAL))
-    return F.flatten(F.transform(F.slice(fp, EQUAL + 2, SKETCH), lambda x: F.array(*[(lane(x, i) - n).cast("double") for i in range(PER_LONG)])))
+    """Lower-case hexadecimal: eight digits for each lane of mod and for n, four for each sketch lane, all modulo their width."""
+    part = lambda x, n: F.lpad(F.hex(x.bitwiseAND(F.lit((1 << 4 * n) - 1))), n, "0")
+    wide = F.concat_ws("", F.transform(fp["mod"], lambda x: part(x, 8)), part(fp["n"], 8))
+    return F.lower(F.concat(wide, F.concat_ws("", F.transform(fp["lanes"], lambda x: part(x, 4)))))
 
 
 def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(f"{a}.lanes", f"{b}.lanes", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """df with out: 1 for equal fingerprints, else 2 a.b / (a.a + b.b) of their signed lanes, between 0 and 1."""
-    df = df.withColumns({"__a": signed_lanes(F.col(a)), "__b": signed_lanes(F.col(b))})
-    ratio = 2 * _dot("__a", "__b") / F.nullif(_dot("__a", "__a") + _dot("__b", "__b"), F.lit(0.0))
-    value = F.when(F.col(a) == F.col(b), 1.0).otherwise(F.least(F.greatest(F.coalesce(ratio, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
-    return df.withColumn(out, value).drop("__a", "__b")
+    """df with out: 1 for equal fingerprints, else 2 a.b / (a.a + b.b) of their lanes, between 0 and 1.
+
+    It estimates the same ratio of the two multisets of clauses, with a standard error of at most about 0.09 (0.06 for texts with
+    nothing in common) whatever their sizes. Empty against not empty is 0.
+    """
+    ratio = 2 * _dot(a, b) / F.nullif(_dot(a, a) + _dot(b, b), F.lit(0.0))
+    return df.withColumn(out, F.when(F.col(a) == F.col(b), 1.0).otherwise(F.least(F.greatest(F.coalesce(ratio, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))))
 
 
 def successors(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -115,16 +126,20 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     document follows itself.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = fingerprint(own, F.col("text"), "fp")
     links = successors(docs, doc_id, text)
-    head = own.join(links, own["doc_id"].eqNullSafe(links["next_id"]))
-    head = head.select("prev_id", F.struct(F.expr("substring(text, 1, cast(half as int))").alias("head"), F.col("fp").alias("next_fp")).alias("n"))
+    head = fingerprint(own.join(links, own["doc_id"].eqNullSafe(links["next_id"])), F.col("text"), "fp")
+    head = head.select("prev_id", F.struct(F.expr("substring(text, 1, cast(half as int))").alias("head"), _small(F.col("fp")).alias("next_fp")).alias("n"))
     head = head.groupBy("prev_id").agg(F.min("n").alias("n"))
-    both = own.join(head, own["doc_id"].eqNullSafe(head["prev_id"]))
+    both = own.join(head, own["doc_id"].eqNullSafe(head["prev_id"]))  # own text moves once for both joins; fingerprints are made after
     both = both.withColumn("n_chars", F.length("text")).withColumn("half", F.expr("n_chars div 2").cast("int"))
     cut = F.concat(F.expr("substring(text, 1, n_chars - half)"), F.expr("substring(n.head, 1, half)"))
-    both = both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "fp", F.col("n.next_fp").alias("next_fp"), cut.alias("edited"))
-    both = fingerprint(both, F.col("edited"), "edited_fp")
+    both = fingerprint(fingerprint(both.withColumn("edited", cut), F.col("text"), "fp"), F.col("edited"), "edited_fp")
+    both = both.withColumns({"fp": _small(F.col("fp")), "edited_fp": _small(F.col("edited_fp")), "next_fp": F.col("n.next_fp")})
     both = likeness(likeness(both, "fp", "edited_fp", "near_edited"), "fp", "next_fp", "near_next")
     prints = [as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint")]
-    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
+    return both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
+
+
+def _small(fp: Column) -> Column:
+    """A single text's fingerprint with its lanes as ints, which its clauses can't exceed: half the bytes to move."""
+    return fp.withField("lanes", fp["lanes"].cast("array<int>"))
