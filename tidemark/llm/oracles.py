@@ -58,10 +58,9 @@ tg as (select template, label, base, k, n, i - 1 as tpos, array_to_string(w[i:i
 d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 p as (select rid, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (values ({li.SHORT}), ({li.LONG})) v(k)),
 h as (select distinct rid, template, label, base, n, i - 1 - tpos as diagonal, tpos from p join tg on tg.k = p.k and tg.gram = array_to_string(w[i:i + p.k - 1], ' ')),
-v as (select rid, template, label, base, n, diagonal, count(*) as votes, min(tpos) as low, max(tpos) as high from h group by all),
-x as (select *, (base or lag(diagonal) over q is null or diagonal - lag(diagonal) over q > {li.NEAR})::int as fresh from v window q as (partition by rid, template order by diagonal)),
-y as (select *, sum(fresh) over (partition by rid, template order by diagonal rows unbounded preceding) as span from x),
-z as (select rid, template, label, base, n, span, sum(votes) as votes, min(diagonal) as place, max(diagonal + high) - min(diagonal + low) + 1 as length from y group by rid, template, label, base, n, span),
+x as (select *, (lag(diagonal) over q is null or diagonal - lag(diagonal) over q > case when base then 0 else {li.NEAR} end)::int as fresh from h window q as (partition by rid, template order by diagonal, tpos)),
+y as (select *, sum(fresh) over (partition by rid, template order by diagonal, tpos rows unbounded preceding) as span from x),
+z as (select rid, template, label, base, n, span, count(distinct tpos) as votes, min(diagonal) as place, max(diagonal + tpos) - min(diagonal + tpos) + 1 as length from y group by rid, template, label, base, n, span),
 f as (select *, least(votes / n::double, 1) as share from z where case when base then votes = n else votes / n::double >= {li.COVER} and length <= 2 * n end),
 per as (select rid, count(*) filter (base) as n_base, min(place) filter (base) as first_word, max(place) filter (base) as last_word,
                coalesce(string_agg(distinct label, ',' order by label) filter (base), '') as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score from f group by rid)
