@@ -128,18 +128,27 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     links = successors(docs, doc_id, text)
     head = fingerprint(own.join(links, own["doc_id"].eqNullSafe(links["next_id"])), F.col("text"), "fp")
-    head = head.select("prev_id", F.struct(F.expr("substring(text, 1, cast(half as int))").alias("head"), _small(F.col("fp")).alias("next_fp")).alias("n"))
+    head = head.select("prev_id", F.struct(F.expr("substring(text, 1, cast(half as int))").alias("head"), _packed(F.col("fp")).alias("next_fp")).alias("n"))
     head = head.groupBy("prev_id").agg(F.min("n").alias("n"))
     both = own.join(head, own["doc_id"].eqNullSafe(head["prev_id"]))  # own text moves once for both joins; fingerprints are made after
     both = both.withColumn("n_chars", F.length("text")).withColumn("half", F.expr("n_chars div 2").cast("int"))
     cut = F.concat(F.expr("substring(text, 1, n_chars - half)"), F.expr("substring(n.head, 1, half)"))
     both = fingerprint(fingerprint(both.withColumn("edited", cut), F.col("text"), "fp"), F.col("edited"), "edited_fp")
-    both = both.withColumns({"fp": _small(F.col("fp")), "edited_fp": _small(F.col("edited_fp")), "next_fp": F.col("n.next_fp")})
+    both = both.withColumn("next_fp", _unpacked(F.col("n.next_fp")))
     both = likeness(likeness(both, "fp", "edited_fp", "near_edited"), "fp", "next_fp", "near_next")
     prints = [as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint")]
     return both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
 
 
-def _small(fp: Column) -> Column:
-    """A single text's fingerprint with its lanes as ints, which its clauses can't exceed: half the bytes to move."""
-    return fp.withField("lanes", fp["lanes"].cast("array<int>"))
+def _packed(fp: Column) -> Column:
+    """A fingerprint to be moved: its lanes, which n bounds, in the smallest integers that hold them."""
+    n, lanes, last, parts = fp["n"], fp["lanes"], -1, []
+    for kind, most in (("tinyint", (1 << 7) - 1), ("smallint", (1 << 15) - 1), ("bigint", (1 << 63) - 1)):
+        parts.append(F.when((n > last) & (n <= most), lanes.cast(f"array<{kind}>")).alias(kind))
+        last = most
+    return F.struct(fp["mod"].alias("mod"), n.alias("n"), *parts)
+
+
+def _unpacked(packed: Column) -> Column:
+    lanes = F.coalesce(*[packed[kind].cast("array<bigint>") for kind in ("tinyint", "smallint", "bigint")])
+    return F.struct(packed["mod"].alias("mod"), packed["n"].alias("n"), lanes.alias("lanes"))
