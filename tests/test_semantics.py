@@ -99,6 +99,43 @@ def test_repair_spikes_and_missed_splits(spark):
     assert by("split", "close") == [100.0, 100.0, 100.0, 101.0, 99.0, 100.0] and by("split", "split")[2] == 10.0 and by("split", "volume")[:3] == [1000.0, 1000.0, 100.0]
 
 
+def test_repair_measures_prices_as_they_stood(spark):
+    """Limits hold for prices before later splits; ratios off the list are applied as they are; index codes stay."""
+    cols = "code string, dt date, open double, high double, low double, close double, volume double, dividend double, split double"
+    def series(code, closes, splits=None):
+        return [(code, DAY + dt.timedelta(days=i), c, c, c, c, 100.0, 1.0, (splits or {}).get(i, 0.0)) for i, c in enumerate(closes)]
+
+    rows = series("factor", [100.0, 190.0, 190.0, 190.0, 190.0, 190.0], {5: 10.0})  # 1000 to 1900 as they stood: more than twice 300
+    rows += series("plain", [100.0, 150.0, 150.0]) + series("six", [6000.0, 1000.0, 1000.0, 1000.0, 1000.0]) + series("up", [100.0] + [1000.0] * 4)
+    rows += series("listed", [4000.0, 1000.0, 1000.0, 1000.0, 1000.0], {1: 4.1}) + series("IDX_A", [100.0, 9000.0, 9000.0, 9000.0, 9000.0]) + [("open", DAY, *[1000.0] * 4, 1.0, 0.0, 0.0), ("open", DAY + dt.timedelta(days=1), 2000.0, *[1000.0] * 3, 1.0, 0.0, 0.0)]
+    got = panel.repair(spark.createDataFrame(rows, cols)).orderBy("code", "dt").collect()
+    by = lambda c, f: [r[f] for r in got if r.code == c]
+    assert [round(x, 9) for x in by("factor", "close")] == [190.0] * 6 and abs(by("factor", "split")[1] - 100 / 190) < 1e-12
+    assert by("plain", "close") == [100.0, 150.0, 150.0]
+    assert by("six", "close") == [1000.0] * 5 and by("six", "split")[1] == 6.0 and by("six", "dividend")[0] == 1 / 6 and by("six", "volume")[0] == 600.0
+    assert [round(x, 9) for x in by("up", "close")] == [1000.0] * 5 and by("up", "split")[1] == 0.1
+    assert by("listed", "split")[1] == 4.1 and by("listed", "close")[0] == 1000.0
+    assert by("IDX_A", "close") == [100.0] + [9000.0] * 4 and by("IDX_A", "open")[1] == 9000.0
+    assert by("open", "open") == [1000.0, None]
+    assert panel.nice_ratio(5.9) == 5.9 and panel.nice_ratio(4.9) == 5.0 and panel.nice_ratio(1 / 4.9) == 0.2
+
+
+def test_recursive_means_over_nulls(spark):
+    xs = [None, 1.0, 2.0, None, None, 5.0, float("nan"), 4.0, 4.0]
+    df = spark.createDataFrame([("a", DAY + dt.timedelta(days=i), x, i) for i, x in enumerate(xs)] + [("b", DAY, None, 0)], "code string, dt date, x double, extra int").repartition(3)
+    got = exprs.ewm(df, {"y": ("x", 0.3, 2)}).orderBy("code", "dt").collect()
+    want = pd.Series(xs, dtype=float).ewm(alpha=0.3, adjust=False, min_periods=2).mean()
+    assert all((pd.isna(w) and r.y is None) or math.isclose(r.y, w, rel_tol=1e-12) for r, w in zip(got, want)) and got[-1].y is None and len(got) == len(xs) + 1
+    assert exprs.ewm(df.where("false"), {"y": ("x", 0.3, 2)}).count() == 0
+
+
+def test_blocks_of_uneven_length(spark):
+    """Ten days in four blocks begin at days 0, 2, 5 and 7."""
+    days = spark.range(10).select(F.col("id").alias("pos"))
+    got = [r.b for r in days.select(F.expr("((pos + 1) * 4 - 1) div 10").alias("b")).collect()]
+    assert got == [0, 0, 1, 1, 1, 2, 2, 3, 3, 3]
+
+
 def test_interval_replay_reaches_todays_members(spark):
     events, members = fixtures.table(spark, "fx_events"), fixtures.table(spark, "fx_members")
     spans = membership.intervals(events, members)

@@ -63,11 +63,10 @@ def both_least(*xs: Column) -> Column:
 def pct_rank(x: str, by: list[str], descending: bool = False) -> Column:
     """Average rank of ties over the number of non-null values; null for null."""
     c = F.col(x)
-    order = c.desc_nulls_last() if descending else c.asc_nulls_last()
-    first = F.rank().over(Window.partitionBy(*by).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, c))
+    up, down = (F.rank().over(Window.partitionBy(*by).orderBy(o)) for o in (c.asc_nulls_last(), c.desc_nulls_last()))
     n = F.count(c).over(Window.partitionBy(*by))
-    return F.when(c.isNotNull(), (first + (ties - 1) / 2) / n)
+    first, last = (down, up) if descending else (up, down)  # of equal values: how many are before them and behind them
+    return F.when(c.isNotNull(), (first + n + 1 - last) / 2 / n)  # one partitioning for all three
 
 
 def streak(df: DataFrame, cond: Column, out: str) -> DataFrame:
@@ -91,21 +90,29 @@ def since_sign_change(df: DataFrame, sign: str, out: str, cap: int = 250) -> Dat
 def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
     """df with recursive means y = (1 - a) y' + a x by code: out -> (column, a, least number of values).
 
-    A code's whole series meets in one task; its length is bounded by the calendar.
+    A null x keeps the mean, and the next value weighs more against it: over k nulls the old mean has (1 - a)^(k + 1) to a.
+    Each code's rows are one array in order of dt, along which the mean is folded; its length is bounded by the calendar.
     """
-    import pandas as pd
-
-    fields = df.schema.fieldNames()
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{o}` double" for o in specs])
-
-    def apply(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("dt", kind="stable")
-        for out, (x, a, least) in specs.items():
-            g[out] = g[x].astype(float).ewm(alpha=a, adjust=False, min_periods=least).mean()
-        return g[[*fields, *specs]]
-
-    got = df.groupBy("code").applyInPandas(apply, schema)
-    return got.withColumns({o: F.when(~F.isnan(o), F.col(o)) for o in specs})
+    names = [c for c in df.columns if c != "code"]
+    rows = df.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("dt", *[c for c in names if c != "dt"]))).alias("__rows"))
+    series = lambda x: F.transform("__rows", lambda r: r[x].cast("double"))
+    rows = rows.withColumns({f"__{out}": _folded(series(x), a, least) for out, (x, a, least) in specs.items()})
+    each = F.transform("__rows", lambda r, i: F.struct(*[r[c].alias(c) for c in names], *[F.get(F.col(f"__{o}"), i).alias(o) for o in specs]))
+    return rows.select("code", F.inline(each)).select(*df.columns, *specs)
+
+
+def _folded(xs: Column, a: float, least: int) -> Column:
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        x = F.when(~F.isnan(x), x)
+        w = s["w"] * (1 - a)
+        y = F.when(s["y"].isNull(), x).when(x.isNull(), s["y"]).otherwise((w * s["y"] + a * x) / (w + a))
+        n = s["n"] + x.isNotNull().cast("int")
+        w = F.when(x.isNotNull() | s["y"].isNull(), 1.0).otherwise(w)
+        return F.struct(y.alias("y"), w.alias("w"), n.alias("n"), F.array_append(s["out"], F.when(n >= least, y)).alias("out"))
+
+    return F.aggregate(xs, start, step, lambda s: s["out"])
 
 
 def ema_alpha(span: int) -> float:

@@ -141,12 +141,12 @@ def deflated_sharpe(sharpe_daily: float, n: int, skew: float, kurt: float, trial
 def overfit_probability(returns: DataFrame, blocks: int = 10) -> DataFrame:
     """pbo, splits: over all halves of the blocks, how often the trial that is best in one half ranks in the lower half in the other.
 
-    returns: trial, pos, ret. Spark makes each trial's block sums and sums of squares; that table (trials x blocks) goes to
+    returns: trial, pos, ret. Block i holds the days from floor(days * i / blocks) on. Spark makes each trial's block sums and sums of squares; that table (trials x blocks) goes to
     the tasks that take the halves, one row each.
     """
     spark = returns.sparkSession
     width = returns.agg(F.max("pos")).first()[0] + 1
-    per = returns.groupBy("trial", F.floor(F.col("pos") * blocks / width).cast("int").alias("b")).agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
+    per = returns.groupBy("trial", F.expr(f"((pos + 1) * {blocks} - 1) div {width}").cast("int").alias("b")).agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
     table = per.toPandas().pivot(index="trial", columns="b", values=["n", "s", "q"]).fillna(0.0)
     n, s, q = (table[x].to_numpy(dtype=float) for x in ("n", "s", "q"))
     shared = spark.sparkContext.broadcast((n, s, q))

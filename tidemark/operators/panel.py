@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ LIMIT_ABOVE = 10000000
 #: One-way slippage by average traded value.
 SLIPPAGE = ((1e9, 0.0010), (3e8, 0.0015), (1e8, 0.0025))
 #: Split ratios that a price jump is matched against, within 5 %.
-NICE_RATIOS = (1.1, 1.2, 1.25, 1.3, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 15.0, 20.0, 25.0, 30.0, 50.0, 100.0, 200.0, 300.0, 500.0, 1000.0)
+NICE_RATIOS = (1.1, 1.2, 1.25, 1.5, 2, 2.5, 3, 4, 5, 10, 20, 25, 50, 100, 200, 300, 500, 1000)
 
 
 def limit_width(base: Column) -> Column:
@@ -79,8 +82,9 @@ def clean_actions(bars: DataFrame, low: float = 0.00099, high: float = 1001.0, m
 
 def align(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Every code on every calendar day between its first and last bar: tradable, listed_days, close carried forward, no other prices where not tradable."""
+    days = F.broadcast(calendar.select("dt", "pos"))
     ends = bars.groupBy("code").agg(F.min("dt").alias("__a"), F.max("dt").alias("__b"))
-    grid = ends.join(F.broadcast(calendar), (calendar["dt"] >= ends["__a"]) & (calendar["dt"] <= ends["__b"])).select("code", "dt", "pos")
+    grid = ends.select("code", F.explode(F.sequence("__a", "__b")).alias("dt")).join(days, "dt").select("code", "dt", "pos")  # an equality join with the days
     df = grid.join(bars, ["code", "dt"], "left")
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
     tradable = F.coalesce(F.col("volume") > 0, F.lit(False))
@@ -152,51 +156,73 @@ def data_holes(bars: DataFrame, share: float = 0.05, half: int = 10, least: int
     return per.where(F.col("n") < share * F.col("typical"))
 
 
-def repair(bars: DataFrame, limit: int = 3, back: float = 0.3) -> DataFrame:
+def nice_ratio(ratio: float) -> float:
+    """The listed ratio nearest in proportion (or the inverse of one, below 1) if it is less than 5 % away, else the ratio itself."""
+    up = ratio if ratio > 1 else 1 / ratio
+    best = min(NICE_RATIOS, key=lambda k: abs(k / up - 1))
+    up = float(best) if abs(best / up - 1) < 0.05 else up
+    return up if ratio > 1 else 1 / up
+
+
+def _too_far(price: Column, base: Column, factor: Column) -> Column:
+    """Whether an adjusted price is further from an adjusted base than twice the limit of the base as it stood on the day."""
+    return F.coalesce(F.abs(price - base) * factor > 2 * limit_width(base * factor) + 1e-9, F.lit(False))
+
+
+def repair(bars: DataFrame, limit: int = 3, back: float = 0.3, index_prefix: str = "IDX_") -> DataFrame:
     """Bars with price jumps mended, in date order within each code.
 
-    A close that moves by more than twice the day's limit is a spike if within `limit` rows the price is back within `back`
-    of the level before: those rows lose their prices. Otherwise it is a split that was missed: where the ratio is within
-    5 % of one of NICE_RATIOS or its inverse, it is written to the row and all earlier prices, dividends and volumes are
-    scaled. Opens more than twice the limit from the previous close are lost. Later steps see the mended series, so a code
-    is one task; its rows are bounded by the calendar.
-    """
-    bounds, widths = [b for b, _ in LIMIT_BANDS], [w for _, w in LIMIT_BANDS] + [LIMIT_ABOVE]
-    nice = sorted({*NICE_RATIOS, *(1 / r for r in NICE_RATIOS)})
-    prices = ["open", "high", "low", "close"]
+    Moves are measured in prices as they stood: adjusted ones times the product of the splits after the day. A close that moves
+    by more than twice the day's limit is a spike if one of the next `limit` closes is less than `back` away from the level
+    before: the rows up to that one lose their prices. Otherwise it is a split that was missed: its nice_ratio is written to the
+    row, unless a split within 5 % of it stands there, and all earlier prices, dividends and volumes are scaled. At the end
+    opens more than twice the limit from the close before are lost. Index codes stay as they are.
 
-    def apply(g: pd.DataFrame) -> pd.DataFrame:
-        import bisect
+    Factors, jumps and opens are window expressions. Only codes with a jump go to a Python group, because each repair changes
+    what the next jump is measured against; a code's rows are bounded by the calendar. Null prices are never jumps.
+    """
+    prices, index = ["open", "high", "low", "close"], F.col("code").startswith(index_prefix)
+    df = split_factor(bars, out="__f")
+    df = df.withColumn("__jump", ~index & _too_far(F.col("close"), lag("close"), F.col("__f")))
+    df = df.withColumn("__any", F.max("__jump").over(Window.partitionBy("code")))
 
+    def mend(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("dt", kind="stable").reset_index(drop=True)
-        width = lambda x: widths[bisect.bisect_right(bounds, x)]
-        level, i = None, 0
-        while i < len(g):
-            close = g.at[i, "close"]
-            if pd.isna(close):
-                i += 1
+        close, factor, split = g["close"].to_numpy(float, copy=True), g["__f"].to_numpy(), g["split"].to_numpy(float, copy=True)
+        scale, lost, resume = np.ones(len(g)), np.zeros(len(g), dtype=bool), 0
+        for i in np.flatnonzero(g["__jump"]):
+            before = close[i - 1]
+            if i < resume or not (before > 0 and np.isfinite(close[i])):
+                continue
+            if abs(close[i] - before) * factor[i] <= 2 * width_of(before * factor[i]) + 1e-9:  # mended with an earlier jump
+                continue
+            home = np.flatnonzero(np.abs(close[i + 1 : i + 1 + limit] / before - 1) < back)
+            if len(home):
+                resume = i + 2 + home[0]
+                lost[i : resume - 1], close[i : resume - 1] = True, np.nan
                 continue
-            if level is not None and abs(close - level) > 2 * width(level) + 1e-9:
-                ahead = range(i + 1, min(i + 1 + limit, len(g)))
-                returned = next((j for j in ahead if pd.notna(g.at[j, "close"]) and abs(g.at[j, "close"] / level - 1) <= back), None)
-                if returned is not None:
-                    g.loc[i : returned - 1, prices] = float("nan")
-                    i = returned
-                    continue
-                ratio = level / close
-                best = min(nice, key=lambda r: abs(ratio / r - 1))
-                if abs(ratio / best - 1) <= 0.05:
-                    g.loc[: i - 1, [*prices, "dividend"]] /= best
-                    g.loc[: i - 1, "volume"] *= best
-                    g.at[i, "split"] = best
-                    level /= best
-            if level is not None and pd.notna(g.at[i, "open"]) and abs(g.at[i, "open"] - level) > 2 * width(level):
-                g.at[i, "open"] = float("nan")
-            level, i = close, i + 1
+            ratio = nice_ratio(before / close[i])
+            scale[:i] *= ratio
+            close[:i] /= ratio
+            if not (split[i] > 0 and abs(split[i] / ratio - 1) < 0.05):
+                split[i] = ratio
+        g[[*prices, "dividend"]] = g[[*prices, "dividend"]].div(scale, axis=0)
+        g["volume"], g["split"] = g["volume"] * scale, split
+        g.loc[lost, prices] = np.nan
         return g
 
-    out = bars.groupBy("code").applyInPandas(apply, bars.schema)
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in prices})
+    wild = df.where("__any").groupBy("code").applyInPandas(mend, df.schema)
+    wild = wild.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in prices})
+    df = df.where("not coalesce(__any, false)").unionByName(wild).select(*bars.columns)
+    df = split_factor(df, out="__f")
+    lost = ~index & _too_far(F.col("open"), lag("close"), F.col("__f"))
+    return df.withColumn("__lost", lost).withColumn("open", F.when(~F.col("__lost"), F.col("open"))).select(*bars.columns)
+
+
+def width_of(base: float) -> float:
+    """limit_width of one number."""
+    at = bisect.bisect_right([b for b, _ in LIMIT_BANDS], base)
+    return float(LIMIT_BANDS[at][1] if at < len(LIMIT_BANDS) else LIMIT_ABOVE)
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.exprs import r6
 from ..operators import membership, panel, selection
@@ -200,8 +201,10 @@ def member_conflicts(spark, sf_dir):
 
 
 def repair_prices(spark, sf_dir):
-    """Mended fixture bars; tested against hand-made cases."""
-    return panel.repair(fx.table(spark, "fx_bars").dropDuplicates(["code", "dt"]))
+    """Mended fixture bars, of equal keys the first by their values; tested against hand-made cases."""
+    bars = fx.table(spark, "fx_bars")
+    order = Window.partitionBy("code", "dt").orderBy(*[F.col(c).asc_nulls_last() for c in bars.columns if c not in ("code", "dt")])
+    return panel.repair(bars.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n"))
 
 
 QUERIES["repair_prices"] = repair_prices
