@@ -185,6 +185,33 @@ def test_divergence(spark):
     assert all(got[i].kept for i in range(60) if not got[i].base_failed)
     assert not got[100].kept and not got[100].base_failed
     assert got[101].word_distance > got[0].word_distance
+    assert not got[101].kept and not got[101].base_failed
     same = quality.js_distance(spark.createDataFrame([([1, 3], [2, 6]), ([1, 0], [0, 5]), ([0, 0], [1, 1])], "p array<long>, q array<long>"), "p", "q", "d")
     a, b, c = [r.d for r in same.collect()]
     assert abs(a) < 1e-9 and abs(b - 1) < 1e-9 and c is None
+
+
+def test_common_words_match_brute_force(spark):
+    rnd = random.Random(12)
+    texts = [*some_texts(rnd, 60), None, "", "Zz zz ZZ " * 90, "w" * 31, *[" ".join(f"v{rnd.randrange(90)}" for _ in range(40)) for _ in range(30)]]
+    rows = [(i, t, rnd.choice(["en", "xx", None]), "", "") for i, t in enumerate(texts)]
+    got = {r.word_lang: r["list"] for r in quality.common_words(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    for lang in ("en", "xx"):
+        count = collections.Counter(w for _, t, k, *_ in rows if k == lang for w in set(re.findall(r"[^\W_]+", (t or "").lower())) if len(w) <= quality.MAX_WORD)
+        assert got[lang] == sorted(count, key=lambda w: (-count[w], w))[: quality.N_COMMON]
+    assert set(got) == {"en", "xx"}
+
+
+def test_odd_words_are_rejected_at_any_length(spark):
+    """Without a language's common words, or with one of them over and over among rare ones, letters alike; clean texts of any length stay."""
+    rnd = random.Random(13)
+    common = [f"com{a}{b}" for a in "abcde" for b in "abcdefghij"]
+    rare = lambda: "".join(rnd.choice("abcdefgmno") for _ in range(5))
+    clean = lambda n: " ".join(rnd.choice(common) if rnd.random() < 0.5 else rare() for _ in range(n))
+    rows = [(i, clean(rnd.choice([110, 300, 1000, 4000])), "en", "x", "x", 1) for i in range(60)]
+    rows += [(100 + n, " ".join(rare() for _ in range(n)), "en", "x", "x", 1) for n in (200, 1000, 5000)]
+    rows += [(101 + n, " ".join(common[0] if rnd.random() < 0.4 else rare() for _ in range(n)), "en", "x", "x", 1) for n in (400, 5000)]
+    rows += [(7000, " ".join(rare() for _ in range(90)), "en", "x", "x", 1), (7001, clean(100_000), "en", None, None, None), (7002, clean(300), None, "x", "x", 1), (7002, clean(300), None, "x", "x", 1)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, chars string, word string, list int")).collect()
+    assert len(got) == len(rows) and not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {300, 1100, 5100, 501, 5101}

@@ -14,11 +14,7 @@ def quality() -> str:
         return f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
 
     classes = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": r"[#*$%&|<>]", "punct": r"[!\"''()+,\-./:;=?@\[\\\]^_`{}~]", "other": r"[^\x09-\x0D\x20-\x7E]"}
-    lists = {k: v.split() for k, v in qu.COMMON.items()}
-    width = len(next(iter(lists.values())))
-    known = [" ".join(["case lang", *[f"when '{k}' then len(list_filter(runs, lambda x: x = '{v[i]}'))" for k, v in lists.items()], "end"]) for i in range(width)]
     chars = [f"c_{c}" for c in qu.CLASSES]
-    words = [f"k{i}" for i in range(width + 1)]
 
     def distance(names: list[str]) -> str:
         p, q = (f"({' + '.join(f'{t}.{n}' for n in names)})" for t in ("s", "r"))
@@ -28,23 +24,41 @@ def quality() -> str:
             terms += [f"case when {x} > 0 then {x} * log2({x} / (({a} + {b}) / 2)) else 0 end" for x in (a, b)]
         return f"case when {p} > 0 and {q} > 0 then sqrt(greatest(({' + '.join(terms)}) / 2, 0)) end"
 
-    sums = ", ".join(f"sum({n}) as {n}" for n in [*chars, *words])
+    def part(a: str) -> str:
+        return f"case when {a} > 0 then {a} * log2({a} / ((p + q) / 2)) else 0 end"
+
+    sums = ", ".join(f"sum({n}) as {n}" for n in chars)
     return rf"""
 with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as text from documents),
-w as (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as runs from d),
+w as (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
 i as (select rid, w, unnest(range(1, len(w) - 1)) as i from w),
 g as (select rid, i, count(*) over (partition by rid, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) as k from i),
 rep as (select rid, count(distinct j) as n from (select rid, unnest([i, i + 1, i + 2]) as j from g where k > 1) group by rid),
-m as (select doc_id, lang, len(w)::bigint as n_words, length(text) - ({count(_SPACE)}) as word_chars, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, length(text) as n_all,
-             {count(_SPACE)} as c_space, {', '.join(f'{count(p)} as c_{c}' for c, p in classes.items())}, {', '.join(f'{k} as k{i}' for i, k in enumerate(known))}
+m as (select rid, doc_id, lang, len(w)::bigint as n_words, length(text) - ({count(_SPACE)}) as word_chars, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, length(text) as n_all,
+             {count(_SPACE)} as c_space, {', '.join(f'{count(p)} as c_{c}' for c, p in classes.items())}
       from d join w using (rid) left join rep using (rid)),
-s as (select *, c_symbol as n_symbols, n_all - c_space - c_symbol - c_upper - c_digit - c_punct - c_other as c_lower, greatest(n_words - ({' + '.join(words[:-1])}), 0) as {words[-1]},
+s as (select *, c_symbol as n_symbols, n_all - c_space - c_symbol - c_upper - c_digit - c_punct - c_other as c_lower,
              n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
-r as (select lang, {sums} from s where not base_failed and lang is not null group by lang union all select null, {', '.join(f'sum({n})' for n in chars)}, {', '.join('null' for _ in words)} from s where not base_failed),
-e as (select s.*, {distance(chars)} as cd, {distance(words)} as wd from s left join r on s.lang is not distinct from r.lang)
+runs as (select rid, lang, regexp_extract_all(lower(text), '{qu.LETTERS}') as runs from d where lang is not null),
+u as (select rid, lang, unnest(runs) as word from runs),
+vn as (select lang, word, count(distinct rid) as n from u where length(word) <= {qu.MAX_WORD} group by lang, word),
+v as (select lang, word, row_number() over (partition by lang order by n desc, word) as k from vn qualify k <= {qu.N_COMMON}),
+kn as (select rid, k, count(*) as n from u join v using (lang, word) group by rid, k),
+hist as (select rid, k, n from kn union all select rid, 0, len(runs) - coalesce(seen, 0) from runs left join (select rid, sum(n) as seen from kn group by rid) using (rid)),
+rn as (select lang, k, sum(n) as n from hist join s using (rid) where not base_failed group by lang, k),
+rk as (select lang, k, n / sum(n) over (partition by lang) as q from rn qualify sum(n) over (partition by lang) > 0),
+tot as (select rid, lang, len(runs) as n from runs where len(runs) > 0 and lang in (select lang from v)),
+pq as (select tot.rid, tot.n, coalesce(h.n, 0) / tot.n::double as p, coalesce(q, 0) as q from tot join rk using (lang) left join hist h on h.rid = tot.rid and h.k = rk.k
+       union all select tot.rid, tot.n, h.n / tot.n::double, 0 from tot join hist h using (rid) where exists (from rk where rk.lang = tot.lang) and not exists (from rk where rk.lang = tot.lang and rk.k = h.k)),
+jw as (select rid, n, sqrt(greatest(sum({part('p')} + {part('q')}) / 2, 0)) as wd from pq group by rid, n),
+r as (select lang, {sums} from s where not base_failed and lang is not null group by lang union all select null, {', '.join(f'sum({n})' for n in chars)} from s where not base_failed),
+e as (select s.*, {distance(chars)} as cd, wd, wd * sqrt(n) as wz from s left join r on s.lang is not distinct from r.lang left join jw using (rid)),
+mid as (select lang, quantile_cont(round(cd, 4), {qu.QUANTILE}) filter (n_all >= {qu.MIN_CHARS}) as cm, quantile_cont(least(round(wz, 2), {qu.MAX_SCALED}), {qu.QUANTILE}) filter (n_words >= {qu.MIN_WORDS}) as wm
+        from e where not base_failed group by lang)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not (base_failed or (coalesce(cd, 0) > {qu.CLASS_LIMIT} and n_all >= {qu.MIN_CHARS}) or (coalesce(wd, 0) > {qu.WORD_LIMIT} and n_words >= {qu.MIN_WORDS})) as kept,
-       round(cd, 6) + 0.0 as char_distance, round(wd, 6) + 0.0 as word_distance from e
+       not (base_failed or coalesce(n_all >= {qu.MIN_CHARS} and cd > greatest({qu.CLASS_FLOOR}, {qu.CLASS_FACTOR} * cm), false)
+            or coalesce(n_words >= {qu.MIN_WORDS} and wd > {qu.WORD_FLOOR} and wz > {qu.WORD_FACTOR} * wm, false)) as kept,
+       round(cd, 6) + 0.0 as char_distance, round(wd, 6) + 0.0 as word_distance from e left join mid on e.lang is not distinct from mid.lang
 """
 
 
