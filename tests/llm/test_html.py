@@ -1,3 +1,6 @@
+import random
+from html import escape
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +39,68 @@ def test_columns_and_depth(spark):
     rows = [(1, None), (2, ""), (3, deep), (4, "<article>" + P * 2000 + "</article>")]
     got = [r.t for r in spark.createDataFrame(rows, "page_id long, html string").select(html.extract(F.col("html")).alias("t")).collect()]
     assert got == ["", "", T, " ".join([T] * 2000)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='product reviews'>{P}{P}</div>", f"{T} {T}"),
+        (f"<div class='social-policy story'>{P}{P}</div><div class='social share'>{P}</div>", f"{T} {T}"),
+        (f"<main><article>{P}</article><section>{P}</section><article>One.</article></main>", f"{T} {T} One."),
+        (f"<article>{P}</article><div class=ad>buy</div><article>{P}</article><article>{P}</article>", f"{T} {T} {T}"),
+        (f"<article>{P}{P}</article><section class=reviews>{P}{P}{P}</section>", f"{T} {T}"),
+        (f"<article></article><section class=reviews>{P}</section>", ""),
+        (f"<article>{P}</article><article><a href=/x>{T}</a></article>", T),
+        (f"<div><div>{P}</div><div>{P}</div></div>", f"{T} {T}"),
+    ],
+)
+def test_several_parts_and_doubtful_names(page, want):
+    assert html.main_text(page) == want
+
+
+def random_page(rnd):
+    """A page with noise in all places, and the text of its article as it was put in."""
+    word = lambda: "".join(rnd.choice("abcdefgéß&<") for _ in range(rnd.randint(1, 9)))
+    kept = []
+
+    def words(n):
+        w = [word() + rnd.choice(["", "", ","]) for _ in range(n)]
+        kept.append(" ".join(w))
+        i = rnd.randrange(n)
+        marks = ["<b>{}</b>", "<!-- no -->{}", "{}<script>if (a < b) '</p>'</script>", "<span title='a > b'>{}</span>", "{}"]
+        return rnd.choice([" ", "\n\t "]).join(rnd.choice(marks).format(escape(x)) if j == i else escape(x) for j, x in enumerate(w))
+
+    def block():
+        kind = rnd.choice(["p", "p", "p", "h2", "blockquote", "ul", "table"])
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{words(9)}" for _ in range(3)) + "</ul>"
+        if kind == "table":
+            return f"<table><tr><td>{words(6)}<td>{words(7)}</table>"
+        return f"<{kind}>{words(rnd.randint(20, 60))}</{kind}>"
+
+    def junk():
+        text = ", ".join("junk" for _ in range(rnd.randint(1, 80)))
+        return rnd.choice(["<nav><a href=/>{}</a></nav>", "<aside><p>{}</p></aside>", "<div class='ad-box'>{}</div>", "<div id=comments><p>{}</p></div>", "<form>{}</form>", "<style>{}</style>", "<div class='cookie-bar'>{}</div>", "<footer>{}</footer>", "<section class=reviews><p>{}</p></section>"]).format(text)
+
+    some = lambda: "".join(junk() for _ in range(rnd.randint(0, 2)))
+    part = lambda: "".join(block() + some() for _ in range(rnd.randint(3, 6)))
+    shape = rnd.choice(["article", "articles", "main", "div"])
+    body = {"article": lambda: f"<article>{part()}</article>", "articles": lambda: f"<article>{part()}</article>{some()}<article>{part()}</article>",
+            "main": lambda: f"<main><article>{part()}</article>{some()}<section>{part()}</section></main>", "div": lambda: f"<div class=story>{part()}</div>"}[shape]()
+    return f"<html><head><title>no</title></head><body>{some()}{body}{some()}</body></html>", " ".join(kept)
+
+
+def test_random_pages():
+    rnd = random.Random(31)
+    for _ in range(400):
+        page, want = random_page(rnd)
+        assert html.main_text(page) == want, page
+
+
+def test_empty_table_repeats_and_other_columns(spark):
+    schema = "page_id long, html string, text string, n_chars string, points int"
+    rows = [(1, f"<article>{P}</article>", "x", "y", 1)] * 2 + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema).withColumn("main", html.extract(F.col("html")))
+    got = sorted((r.main, r.text or "", r.n_chars or "") for r in df.collect())
+    assert got == [("", "", ""), (T, "x", "y"), (T, "x", "y")]
+    assert df.where("false").count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from html import unescape
 
 import pyarrow as pa
@@ -23,11 +24,15 @@ ENDS_P = BLOCK - {"br", "caption", "html", "body", "tbody", "td", "tfoot", "th",
 #: An element of the key's kind is closed by the start of one of these, up to the nearest of its containers.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"})}
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id that mark what is not article, always or unless a word of CONTENT stands beside them.
-NOISE = set("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr comment comments disqus respond replies reply sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay paywall pagination pager masthead topbar discussion feedback guestbook reviews responses teaser teasers trending outbrain taboola".split())
+#: Words of class and id that mark what is not article.
+NOISE = set("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored cookie cookies consent gdpr comment comments disqus respond replies reply sidebar menu nav navbar navigation breadcrumb breadcrumbs footer related recommended recommendations newsletter subscribe subscription signup login popup modal overlay paywall pagination pager masthead topbar guestbook teaser teasers outbrain taboola".split())
+#: Words that mark it unless a whole name is a word of CONTENT, or nothing else is left of the page.
+DOUBTFUL = set("promo promotion share sharing social discussion feedback reviews responses trending".split())
 #: Beginnings and ends of such words.
-NOISE_START = ("comment", "cookie", "advert", "sponsor", "navbar", "navig", "sidebar", "breadcrumb", "newsletter", "footer", "discuss", "disqus")
+NOISE_START = ("comment", "cookie", "advert", "sponsor", "navbar", "navig", "sidebar", "breadcrumb", "newsletter", "footer", "disqus")
+DOUBTFUL_START = ("discuss",)
 NOISE_END = ("nav", "comments", "sidebar", "menu", "footer", "advert")
+#: Words that mark it unless a word of CONTENT stands beside them.
 WEAK = set("header notice notices alert widget aside toolbar tools meta hidden disclaimer".split())
 CONTENT = set("article content main post entry body story text page".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -44,7 +49,8 @@ class Node:
         self.points, self.chars, self.link_chars, self.commas = 0.0, 0, 0, 0
 
 
-def _noise(tag: str, attrs: str) -> bool:
+def _noise(tag: str, attrs: str, doubtful: bool) -> bool:
+    """Whether an element is dropped by its tag, attributes or names; by names that prove little only if doubtful is set."""
     if tag in DROP:
         return True
     if not attrs or tag in KEEP:
@@ -53,6 +59,7 @@ def _noise(tag: str, attrs: str) -> bool:
     if not any(w in low for w in ("class", "id", "role", "hidden", "style")):
         return False
     words: set[str] = set()
+    names: set[str] = set()
     for name, *values in ATTR.findall(low):
         value = unescape("".join(values))
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
@@ -61,10 +68,15 @@ def _noise(tag: str, attrs: str) -> bool:
             return True
         if name in ("class", "id"):
             words.update(re.split(r"[^a-z]+", value))
-    return bool(words & NOISE) or any(w.startswith(NOISE_START) or w.endswith(NOISE_END) for w in words) or bool(words & WEAK and not words & CONTENT)
+            names.update(value.split())
+    if words & NOISE or any(w.startswith(NOISE_START) or w.endswith(NOISE_END) for w in words):
+        return True
+    if doubtful and not names & CONTENT and (words & DOUBTFUL or any(w.startswith(DOUBTFUL_START) for w in words)):
+        return True
+    return bool(words & WEAK and not words & CONTENT)
 
 
-def tree(html: str) -> Node:
+def tree(html: str, doubtful: bool = True) -> Node:
     """A tolerant tree of the page: unclosed and stray tags, raw-text elements, comments."""
     root = Node("html", None, False)
     at, pos, n = root, 0, len(html)
@@ -132,7 +144,7 @@ def tree(html: str) -> Node:
             close_to(x)
         if tag == "body" and depth["head"] and (x := nearest({"head"}, set())):
             close_to(x)
-        node = Node(tag, at, at.drop or _noise(tag, attrs))
+        node = Node(tag, at, at.drop or _noise(tag, attrs, doubtful))
         at.items.append(node)
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
@@ -171,8 +183,12 @@ def _measure(nodes: list[Node]) -> None:
                 x.link_chars += c.chars if c.tag == "a" else c.link_chars
 
 
-def best_nodes(root: Node) -> list[Node]:
-    """The container with the most points, or the article it stands in, with the siblings that belong to it, in page order."""
+def best_nodes(root: Node) -> list[Node | str]:
+    """The container with the most points with the siblings that belong to it, in page order.
+
+    If it stands in a main element, that is taken whole but for its parts of links; if in an article, the outermost article is
+    taken with the articles beside it that have points and few links. Of containers with equal points the first in page order is taken.
+    """
     nodes = _walk(root)
     _measure(nodes)
     density = lambda x: x.link_chars / x.chars if x.chars else 1.0
@@ -190,12 +206,13 @@ def best_nodes(root: Node) -> list[Node]:
     if not ranked:
         return [root]
     best = max(ranked, key=lambda x: score[id(x)])  # the first of equals: the outer one
-    x = best
-    while x is not None:  # an article that holds the best container is taken whole
-        if x.tag in ("article", "main"):
-            best = x
-            break
+    around, x = {}, best
+    while x is not None:  # the outermost article or main that holds the best container
+        around[x.tag] = x
         x = x.parent
+    if "main" in around:
+        return _main_items(around["main"], density)
+    best = around.get("article", best)
     if best.parent is None:
         return [best]
     least = max(10.0, 0.2 * score[id(best)])
@@ -205,8 +222,8 @@ def best_nodes(root: Node) -> list[Node]:
             return True
         if s.tag in ("h1", "h2"):
             return density(s) < 0.3
-        if best.tag in ("article", "main"):
-            return False
+        if best.tag == "article":
+            return s.tag == "article" and density(s) < 0.3 and s.points > 0
         if s.tag in CONTAINERS and score[id(s)] >= least:
             return True
         return s.tag == "p" and density(s) < 0.25 and (s.chars > 80 or s.commas > 0)
@@ -214,7 +231,16 @@ def best_nodes(root: Node) -> list[Node]:
     return [s for s in best.parent.items if isinstance(s, Node) and not s.drop and belongs(s)]
 
 
-def text_of(nodes: list[Node]) -> str:
+def _main_items(main: Node, density: Callable[[Node], float]) -> list[Node | str]:
+    """A main element's content without the blocks that are mostly links, and the headings beside it."""
+    heads = lambda items: [s for s in items if isinstance(s, Node) and not s.drop and s.tag in ("h1", "h2") and density(s) < 0.3]
+    inner = [s for s in main.items if isinstance(s, str) or not s.drop and (s.tag not in CONTAINERS or density(s) < 0.5)]
+    beside = main.parent.items
+    at = next(i for i, s in enumerate(beside) if s is main)
+    return [*heads(beside[:at]), *inner, *heads(beside[at + 1 :])]
+
+
+def text_of(nodes: list[Node | str]) -> str:
     """Text of the nodes in page order, blocks and white space joined by single spaces."""
     out: list[str] = []
     todo: list[Node | str] = list(reversed(nodes))
@@ -231,12 +257,22 @@ def text_of(nodes: list[Node]) -> str:
 
 
 def main_text(html: str) -> str:
-    """The page's main text; empty for an empty page."""
-    return text_of(best_nodes(tree(html))) if html else ""
+    """The page's main text; empty for an empty page. On a page without text or an article otherwise, names that prove little are passed over."""
+    if not html:
+        return ""
+    root = tree(html)
+    text = text_of(best_nodes(root))
+    if text or any(x.tag in ("article", "main") for x in _walk(root)):
+        return text
+    return text_of(best_nodes(tree(html, doubtful=False)))
 
 
 def extract(html: Column) -> Column:
-    """main_text of each page; empty for null."""
+    """main_text of each page, whole; empty for null and empty pages and for those without text outside what is dropped.
+
+    Each row is worked on alone: repeated pages get equal texts, other columns are not touched, an empty table gives none.
+    Elements may be nested to any depth, since the tree is walked without recursion; ties go to the first container.
+    """
 
     @F.arrow_udf("string")
     def apply(pages: pa.Array) -> pa.Array:
