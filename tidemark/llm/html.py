@@ -38,6 +38,8 @@ CONTENT = set("article content main post entry body story text page".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 KEEP = {"html", "body", "article", "main", *HEADINGS}
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd"}
+#: Lists, tables and quotations are parts of what holds them.
+PARTS = {"blockquote", "dl", "figure", "ol", "table", "tbody", "tr", "ul"}
 CONTAINERS = {"div", "section", "article", "main", "body", "td", "html", "center", "blockquote", "figure", "details", "dl", "ul", "ol", "table", "tbody", "tr"}
 
 
@@ -206,6 +208,8 @@ def best_nodes(root: Node) -> list[Node | str]:
     if not ranked:
         return [root]
     best = max(ranked, key=lambda x: score[id(x)])  # the first of equals: the outer one
+    while best.tag in PARTS and best.parent:
+        best = best.parent
     around, x = {}, best
     while x is not None:  # the outermost article or main that holds the best container
         around[x.tag] = x
