@@ -12,15 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
+from .components import connected_components
 
 #: Records of one archive file; a file is read by one task, so this bounds what a task holds.
 RECORDS_PER_FILE = 8192
 #: Repeated payloads up to this many are broadcast (about 200 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 50_000
 NL = "\r\n"
+#: The header that a record may have several times.
+MANY = "warc-concurrent-to"
 
 RECORD = (
-    "record_id string, record_type string, concurrent_to string, target_uri string, warc_date string, refers_to string, "
+    "record_id string, record_type string, concurrent_to array<string>, target_uri string, warc_date string, refers_to string, "
     "payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
 )
 
@@ -80,7 +83,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def records_of(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record of an uncompressed stream, by its Content-Length."""
+    """Header fields (lower-case names) and block of each record of an uncompressed stream, by its Content-Length.
+
+    Values of a repeated WARC-Concurrent-To are joined by spaces; of another repeated header the last counts.
+    """
     while line := stream.readline():
         if not line.strip():
             continue
@@ -89,7 +95,10 @@ def records_of(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
         fields: dict[str, str] = {}
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8").partition(":")
-            fields[name.strip().lower()] = value.strip()
+            name, value = name.strip().lower(), value.strip()
+            if name == MANY and name in fields:
+                value = f"{fields[name]} {value}"
+            fields[name] = value
         size = int(fields["content-length"])
         block = stream.read(size)
         if len(block) != size:
@@ -115,7 +124,7 @@ def _row(fields: dict[str, str], block: bytes, payloads: bool) -> dict:
         more = {"request-line": block.split(b"\r\n", 1)[0].decode("utf-8", "replace")}
     names = ("warc-record-id", "warc-type", "warc-concurrent-to", "warc-target-uri", "warc-date", "warc-refers-to")
     keys = ("record_id", "record_type", "concurrent_to", "target_uri", "warc_date", "refers_to")
-    return dict(zip(keys, map(fields.get, names))) | {"payload_bytes": size, "payload_digest": digest, "fields": list(more.items()), "payload": payload if payloads else None}
+    return dict(zip(keys, map(fields.get, names))) | {"concurrent_to": fields.get(MANY, "").split(), "payload_bytes": size, "payload_digest": digest, "fields": list(more.items()), "payload": payload if payloads else None}
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -123,9 +132,10 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 
     payload_bytes and payload_digest (SHA-1, hex) are measured on the payload of a response, and taken from the headers of
     a revisit. A digest that differs from its header's or a truncated record is an error. payload is null unless asked for.
+    concurrent_to is empty for a record without that header. Repeated records give a row each; empty archives none.
     """
     kind = pa.struct(
-        [(n, pa.string()) for n in ("record_id", "record_type", "concurrent_to", "target_uri", "warc_date", "refers_to")]
+        [("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("target_uri", pa.string()), ("warc_date", pa.string()), ("refers_to", pa.string())]
         + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]
     )
 
@@ -144,17 +154,56 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     return files.mapInArrow(parse, RECORD)
 
 
+def _rooted(records: DataFrame) -> DataFrame:
+    """The distinct records with n (how often each occurs) and root: the response or revisit that a record names, else itself."""
+    part = F.struct("record_id", "record_type", "target_uri", "warc_date", "payload_bytes", "payload_digest", "fields", "payload", "refers_to", "concurrent_to")
+    order = F.struct("record_type", "target_uri", "warc_date", "payload_digest", "payload_bytes", "concurrent_to")
+    nameless = F.concat(F.lit("no-id-"), F.md5(F.to_json(order)))
+    rows = records.select(F.coalesce("record_id", nameless).alias("key"), part.alias("part"), order.alias("order"))
+    rows = staged(rows.groupBy("key").agg(F.min_by("part", "order").alias("part"), F.count("*").alias("n")), "warc-records")
+    main = F.coalesce(F.col("part.record_type").isin("response", "revisit"), F.lit(False))
+    names = F.array_distinct(F.coalesce("part.concurrent_to", F.array().cast("array<string>")))
+    sides = rows.where(~main).withColumn("to", F.when(F.size(names) == 1, names[0]).otherwise(F.col("key")))
+    mains = rows.where(main)
+    found = sides.join(mains.select(F.col("key").alias("main")), F.col("to") == F.col("main"), "left")
+    rooted = mains.withColumn("root", F.col("key")).unionByName(found.select("key", "part", "n", F.coalesce("main", "key").alias("root")))
+    return staged(rooted, "warc-rooted")
+
+
+def _chained(rooted: DataFrame) -> DataFrame:
+    """A row (root, label) for each root that other concurrent-to names connect with further ones; label is the same for all of a capture."""
+    names = rooted.where((F.col("root") == F.col("key")) & (F.size("part.concurrent_to") > 0))
+    links = names.select(F.col("root").alias("a"), F.explode(F.array_distinct("part.concurrent_to")).alias("to"))
+    ends = rooted.select("key", F.col("root").alias("end"))
+    links = links.join(ends, F.col("to") == F.col("key"), "left").select("a", F.coalesce("end", "to").alias("b")).where("a <> b")
+    links = staged(links.distinct(), "warc-links")
+    found = connected_components(links, "a", "b")
+    return staged(found.select(F.col("node").alias("root"), F.col("component").alias("label")), "warc-labels")
+
+
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row for each capture: record_id, response (or revisit), request, metadata, refers_to_record.
+    """One nested row for each capture: capture_id, response (or revisit), request, metadata, refers_to_record, and all of each kind.
 
-    A record that names a concurrent record belongs to that one; the others open a capture of their own. What is missing is
-    null. Records that occur n times make n equal rows.
+    Records are joined to the responses and revisits that they name as concurrent. What that leaves (chains, several names, a
+    response that names its request, names of records that aren't there) is connected transitively in either direction.
+    response, request and metadata are the records with the smallest id of their kind and null if there are none; responses,
+    requests, metadatas and others are arrays of all, in that order. capture_id is the response's id, else the smallest.
+    Records with one id are taken as one; a response that occurs n times makes n equal rows. No records give no rows.
     """
-    part = F.struct("record_id", "record_type", "target_uri", "warc_date", "payload_bytes", "payload_digest", "fields", "payload")
-    of = lambda *kinds: F.first(F.when(F.col("record_type").isin(*kinds), part), ignorenulls=True)
-    main = F.col("record_type").isin("response", "revisit")
-    grouped = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
-        of("response", "revisit").alias("response"), of("request").alias("request"), of("metadata").alias("metadata"),
-        F.first(F.when(main, F.col("refers_to")), ignorenulls=True).alias("refers_to_record"), F.greatest(F.count_if(main), F.lit(1)).alias("n"),
+    rooted = _rooted(records)
+    labels = _chained(rooted)
+    label = F.lit(None).cast("string")
+    if not labels.isEmpty():
+        rooted, label = rooted.join(labels, "root", "left"), F.col("label")
+    by_id = lambda x, y: F.when(x["record_id"] < y["record_id"], -1).when(x["record_id"] > y["record_id"], 1).otherwise(0)
+    kind = F.coalesce(F.col("part.record_type"), F.lit(""))
+    of = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("part"))), by_id)
+    main = kind.isin("response", "revisit")
+    grouped = rooted.groupBy(F.coalesce(label, "root").alias("label")).agg(
+        of(main).alias("responses"), of(kind == "request").alias("requests"), of(kind == "metadata").alias("metadatas"), of(~main & ~kind.isin("request", "metadata")).alias("others"),
+        F.min("key").alias("least"), F.greatest(F.max(F.when(main, F.col("n"))), F.lit(1)).alias("n"),
     )
+    first = {c: F.get(F.col(f"{c}s"), F.lit(0)) for c in ("response", "request", "metadata")}
+    grouped = grouped.withColumns(first).withColumns({"capture_id": F.coalesce("response.record_id", "least"), "refers_to_record": F.col("response.refers_to")})
+    grouped = grouped.select("capture_id", "response", "request", "metadata", "refers_to_record", "n", "responses", "requests", "metadatas", "others")
     return grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
