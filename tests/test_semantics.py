@@ -271,3 +271,12 @@ def test_alignment_carries_closes_and_counts_days(spark):
     assert [r.dt.day for r in rows] == [6, 7, 8, 9, 10, 13, 14] and [r.listed_days for r in rows] == list(range(1, 8))
     halted = [r for r in rows if not r.tradable]
     assert [(r.dt.day, r.close, r.open, r.volume) for r in halted] == [(9, 53.0, None, 0.0), (13, 59.0, None, 0.0)]
+
+
+def test_calmar(spark):
+    from tidemark.operators import metrics
+
+    rows = [("a", i, v) for i, v in enumerate([100.0, 120.0, 90.0, 121.0])] + [("b", 0, 100.0), ("b", 1, 110.0)] + [("c", 0, 100.0), ("c", 1, 0.0)]
+    got = {r.s: r.calmar for r in metrics.calmar(spark.createDataFrame(rows, "s string, dt int, nav double"), ["s"], 100.0).collect()}
+    assert abs(got["a"] - (1.21 ** (252 / 4) - 1) / 0.25) < 1e-6 and got["b"] is None and got["c"] == -1.0
+    assert metrics.calmar(spark.createDataFrame([], "s string, dt int, nav double"), ["s"], 100.0).count() == 0

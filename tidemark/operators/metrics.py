@@ -49,6 +49,15 @@ def drawdown(nav: DataFrame, by: list[str]) -> DataFrame:
     return both.groupBy(*by, "mdd", "trough_dt", "last").agg(peak.alias("peak_dt"), back.alias("__r")).withColumn("recovered_dt", F.coalesce("__r", "last")).drop("__r", "last")
 
 
+def calmar(returns: DataFrame, by: list[str], capital: float) -> DataFrame:
+    """calmar by series: yearly growth over the depth of the deepest fall; null for a series that never falls."""
+    run = Window.partitionBy(*by).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    df = returns.withColumn("__dd", F.col("nav") / F.max("nav").over(run) - 1)
+    last = F.max_by("nav", "dt")
+    growth = F.when(last > 0, F.pow(last / capital, YEAR / F.count("*")) - 1).otherwise(-1.0)
+    return df.groupBy(*by).agg(F.when(F.min("__dd") < 0, growth / -F.min("__dd")).alias("calmar"))
+
+
 def year_returns(nav: DataFrame, by: list[str], capital: float) -> DataFrame:
     """year, ret, pnl, days, share by series: from one year's last value to the next's; share of all years' profit, null unless that is positive."""
     per = nav.groupBy(*by, F.year("dt").alias("year")).agg(F.max_by("nav", "dt").alias("last"), F.count("*").alias("days"))

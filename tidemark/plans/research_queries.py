@@ -269,6 +269,12 @@ def drawdown(spark, sf_dir):
     return rounded(metrics.drawdown(nav_series(spark, sf_dir), ["series"]), ["series", "peak_dt", "trough_dt", "recovered_dt"], ["mdd"])
 
 
+@query(f"""with {NAV}, d as (select *, nav / max(nav) over (partition by series order by dt rows unbounded preceding) - 1 as dd from nav)
+select series, round(case when min(dd) < 0 then case when max_by(nav, dt) > 0 then pow(max_by(nav, dt) / {CAPITAL}, 252.0::double / count(*)) - 1 else -1 end / -min(dd) end, 6) + 0.0 as calmar from d group by series""")
+def calmar(spark, sf_dir):
+    return rounded(metrics.calmar(nav_series(spark, sf_dir), ["series"], CAPITAL), ["series"], ["calmar"])
+
+
 @query(f"""with {NAV}, y as (select series, year(dt) as year, max_by(nav, dt) as last, count(*) as days from nav group by 1, 2), b as (select *, coalesce(lag(last) over (partition by series order by year), {CAPITAL}) as before from y)
 select series, year::int as year, round(last / before - 1, 6) + 0.0 as ret, round((last - before) / {CAPITAL}, 6) + 0.0 as pnl, days, round(case when sum(last - before) over (partition by series) > 0 then (last - before) / sum(last - before) over (partition by series) end, 6) + 0.0 as share from b""")
 def year_returns(spark, sf_dir):
