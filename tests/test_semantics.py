@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import plain_simulation as plain
 from tidemark.functions import exprs
 from tidemark.operators import features, membership, metrics, models, panel, research, simulate
 from tidemark.sources import fixtures
@@ -181,22 +182,55 @@ def hand_panel(spark, n=6):
 
 
 def test_simulator_branches(spark):
-    p = simulate.pack(hand_panel(spark))
-    free = simulate.Trial(hold=2, slots=2, fee=0.0, cost=0.0, capital=20_000.0)
+    p = plain.pack(hand_panel(spark))
+    free = plain.Trial(hold=2, slots=2, fee=0.0, cost=0.0, capital=20_000.0)
     a, b, c = 0, 1, 2
-    nav, invested, done, fails = simulate.run(p, {0: [b, c, a], 1: [a]}, free)
+    nav, invested, done, fails = plain.run(p, {0: [b, c, a], 1: [a]}, free)
     assert fails == {"halt": 1, "stop_high": 1, "gap": 0, "lot": 0} and nav[1] == 20_000 and invested[1] == 0  # both slots were lost
     # day 2 buys A at 12: 5,000 a slot gives 4 lots; limit-down on day 3; sold on day 4 at 14
     assert [(t["code"], t["buy_pos"], t["cost"], round(t["ret"], 9)) for t in done] == [("A", 2, 4800.0, round(14 / 12 - 1, 9))]
     assert nav[-1] == 20_000 + 400 * 2
-    nav, _, done, _ = simulate.run(p, {0: [a]}, free)  # bought on day 1 at 11, dividend 0.1 on day 2, due on day 3 but limit-down, sold at 14
+    nav, _, done, _ = plain.run(p, {0: [a]}, free)  # bought on day 1 at 11, dividend 0.1 on day 2, due on day 3 but limit-down, sold at 14
     assert round(done[0]["pnl"], 6) == round(400 * (14 - 11 + 0.1), 6) and done[0]["exit_dt"] == DAY + dt.timedelta(days=4)
-    assert simulate.run(p, {0: [a]}, simulate.Trial(2, 2, gmax=0.05, fee=0.0, cost=0.0, capital=20_000.0))[3]["gap"] == 1
-    assert simulate.run(p, {0: [a]}, simulate.Trial(2, 2, capital=100.0))[3]["lot"] == 1
-    _, _, done, _ = simulate.run(p, {1: [c]}, free)  # C ends on day 2: sold at its last close
+    assert plain.run(p, {0: [a]}, plain.Trial(2, 2, gmax=0.05, fee=0.0, cost=0.0, capital=20_000.0))[3]["gap"] == 1
+    assert plain.run(p, {0: [a]}, plain.Trial(2, 2, capital=100.0))[3]["lot"] == 1
+    _, _, done, _ = plain.run(p, {1: [c]}, free)  # C ends on day 2: sold at its last close
     assert done[0]["code"] == "C" and done[0]["pnl"] == 0
 
 
+def test_spark_simulation_equals_the_plain_one(spark):
+    """Halts, limits, gaps, lots, ended codes, dividends and delayed sales, on random panels with gaps and on the hand-made one."""
+    rng, rows = np.random.default_rng(5), []
+    for c in "ABCDEFGH":
+        first, last = int(rng.integers(0, 8)), int(rng.integers(20, 40))
+        for i in range(first, last):
+            if rng.random() < 0.9 or i == 0:
+                o, k = (float(x) for x in rng.uniform(80, 120, 2))
+                bad = rng.random(4) < 0.12
+                rows.append((DAY + dt.timedelta(days=i), c, None if bad[0] else o, k, o * 2, not bad[1], bool(bad[2]), bool(bad[3]), float(rng.choice([0.0, 0.5])), None if i == first else float(rng.uniform(1e7, 1e9))))
+    schema = "dt date, code string, open double, close double, open_u double, tradable boolean, stop_high boolean, stop_low boolean, dividend double, adv20 double"
+    picks = [(DAY + dt.timedelta(days=i), s, str(c)) for i in range(40) for s, c in enumerate(rng.permutation(list("ABCDEFGHZ"))[:5])]
+    free = simulate.Rules(fee=0.001, capital=1e6)
+    for panel_rows, chosen in ((spark.createDataFrame(rows, schema), picks), (hand_panel(spark), [(DAY, 0, "B"), (DAY, 1, "C"), (DAY, 2, "A"), (DAY + dt.timedelta(days=1), 0, "A")])):
+        grid = simulate.parameter_grid(spark, [1, 2, 5], [2, 3], [None, 0.05], [0.0, 1.0]).unionByName(simulate.parameter_grid(spark, [3], [2], [None], [2.0], equal_weight=True))
+        frame = spark.createDataFrame(chosen, "dt date, slot int, code string")
+        nav = {(r.trial, r.dt): (r.nav, r.invested) for r in simulate.simulate_grid(panel_rows, frame, grid, free).collect()}
+        done = sorted((r.trial, r.code, r.buy_pos, r.exit_dt, round(r.cost, 4), round(r.ret, 9)) for r in simulate.simulate_trades(panel_rows, frame, grid, free).collect())
+        p, want = plain.pack(panel_rows), []
+        at, ids = {d: i for i, d in enumerate(p.days)}, {c: i for i, c in enumerate(p.codes)}
+        by_day = {}
+        for d, _, c in chosen:
+            if c in ids and d in at:
+                by_day.setdefault(at[d], []).append(ids[c])
+        for r in grid.collect():
+            t = plain.Trial(r.hold, r.slots, r.gmax, fee=0.001, cost=r.cost, capital=1e6, equal_weight=r.equal_weight)
+            value, invested, trades, _ = plain.run(p, by_day, t)
+            for i, d in enumerate(p.days[1:], 1):
+                assert nav.pop((r.trial, d)) == pytest.approx((value[i], invested[i]), rel=1e-9, abs=1e-9)
+            want += [(r.trial, x["code"], x["buy_pos"], x["exit_dt"], round(x["cost"], 4), round(x["ret"], 9)) for x in trades]
+        assert not nav and done == sorted(want)
+
+
 def test_grid_of_trials(spark):
     picks = spark.createDataFrame([(DAY, 0, "A"), (DAY, 1, "B")], "dt date, slot int, code string")
     grid = simulate.parameter_grid(spark, [1, 2], [1], [None, 0.01], seeds=(None, 5))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,13 @@ def work_dir(spark: SparkSession) -> str:
     return (path or tempfile.mkdtemp(prefix="spark-work-")).rstrip("/")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: what follows doesn't compute it anew, and a lost executor loses none of it."""
+    path = f"{work_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_log(rows: DataFrame, path: str, order: list[str]) -> None:
     """Appends rows to a Parquet log with ids that go on from its largest; one writer at a time."""
     spark = rows.sparkSession
