@@ -273,13 +273,13 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(rows[100 * k : 100 * k + 100], stream_bars.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = stream_bars.read_events(spark, str(tmp_path / "in"))
-    got = stream_bars.available_now(stream_bars.windowed_bars(stream), "t_bars", str(tmp_path / "c1")).toPandas()
+    got = stream_bars.available_now(stream_bars.windowed_bars(stream), str(tmp_path / "t_bars"), str(tmp_path / "c1")).toPandas()
     pdf = pd.DataFrame(rows, columns=["event_id", "ts", "u", "code", "value", "p"])
     want = pdf.groupby([pdf.ts.dt.floor("h"), "code"])["value"].agg(["first", "max", "min", "last", "count"])
     assert len(got) > 30
     for r in got.itertuples():
         assert (r.open, r.high, r.low, r.close, r.volume) == tuple(want.loc[(r.dt, r.code)])
-    means = stream_bars.available_now(stream_bars.running_means(stream), "t_means", str(tmp_path / "c2"), "update").toPandas()
+    means = stream_bars.available_now(stream_bars.running_means(stream), str(tmp_path / "t_means"), str(tmp_path / "c2"), "update").toPandas()
     last = means.sort_values("n").groupby("code").last()
     for code, g in pdf.groupby("code"):
         assert math.isclose(last.loc[code, "mean"], g["value"].ewm(alpha=0.1, adjust=False).mean().iloc[-1])

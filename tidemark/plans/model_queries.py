@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import r6
 from ..operators import metrics, models, panel, research, simulate
 from ..sources import bars as src
 from ..sources import stores
@@ -82,9 +83,28 @@ def b7_equal_weight(spark, sf_dir):
     return metrics.summary(metrics.daily_returns(nav, ["trial"], CAPITAL), ["trial"], CAPITAL)
 
 
+def _stream(spark, sf_dir, build, keys) -> DataFrame:
+    """What a stream over the events' files gives, the last version of each key."""
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()
+    folder = files[0].rsplit("/", 1)[0]
+    events = spark.readStream.schema(stream_bars.EVENTS).option("pathGlobFilter", "events.parquet" if folder.rstrip("/").endswith(sf_dir.rstrip("/").rsplit("/", 1)[-1]) else "*.parquet").parquet(folder)
+    path = f"{stores.work_dir(spark)}/{uuid.uuid4().hex}"
+    return stream_bars.latest(stream_bars.available_now(build(events), f"{path}/rows", f"{path}/state", "update"), keys)
+
+
 @query
 def stream_bars_hourly(spark, sf_dir):
-    """Hourly bars of the event stream; the windows that the watermark has closed."""
-    events = spark.readStream.schema(stream_bars.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"bars_{uuid.uuid4().hex}"
-    return stream_bars.available_now(stream_bars.windowed_bars(events), name, f"{stores.work_dir(spark)}/{name}")
+    """Hourly bars of the event stream, those of windows that are still open too."""
+    return _stream(spark, sf_dir, stream_bars.windowed_bars, ["dt", "code"])
+
+
+ORACLES["stream_bars_hourly"] = f"with {src.HOURLY_SQL} select dt, code, open, high, low, close, volume::bigint as volume from bars"
+
+
+@query
+def stream_running_means(spark, sf_dir):
+    """The recursive mean of each type's values, kept as state."""
+    return _stream(spark, sf_dir, stream_bars.running_means, ["code"]).withColumn("mean", r6("mean"))
+
+
+ORACLES["stream_running_means"] = """select event_type as code, count(value) as n, round(list_reduce(list(value order by ts, event_id) filter (value is not null), lambda a, x: 0.9 * a + 0.1 * x), 6) + 0.0 as mean from events group by 1"""

@@ -10,6 +10,7 @@ from ..functions.exprs import r6
 from ..operators import membership, panel, selection
 from ..sources import bars as src
 from ..sources import fixtures as fx
+from ..sources import stores
 from .feature_queries import lag, roll
 
 QUERIES: dict = {}
@@ -220,14 +221,16 @@ def html_member_extract(spark, sf_dir):
     )
 
 
-@query("with h as (select c_mktsegment as part, sha256(string_agg(c_custkey || '|' || c_name, chr(10) order by c_custkey)) as digest from customer group by 1) select part, digest, sha256((select string_agg(digest, '' order by part) from h)) as combined from h")
+@query("""with r as (select c_mktsegment as part, c_custkey as k, c_custkey || '|' || c_name as d from customer),
+a as (select part, k // 1000 as k, sha256(string_agg(d, chr(10) order by k)) as d from r group by part, k // 1000), b as (select part, k // 1000 as k, sha256(string_agg(d, '' order by k)) as d from a group by part, k // 1000),
+c as (select part, k // 1000 as k, sha256(string_agg(d, '' order by k)) as d from b group by part, k // 1000), h as (select part, sha256(string_agg(d, '' order by k)) as digest from c group by part)
+select part, digest, sha256((select string_agg(digest, '' order by part) from h)) as combined from h""")
 def sha256_manifest(spark, sf_dir):
-    """Digest of each part's rows in key order, and of all digests in order of name."""
-    rows = src.read(spark, sf_dir, "customer").select("c_mktsegment", F.struct("c_custkey", F.concat_ws("|", "c_custkey", "c_name").alias("line")).alias("r"))
-    lines = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"])
-    parts = rows.groupBy(F.col("c_mktsegment").alias("part")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+    """Digest of each part's rows as a tree over ranges of keys, and of all digests in order of name."""
+    customers = src.read(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_name")
+    parts = stores.staged(stores.tree_digest(customers, "c_mktsegment", "c_custkey", F.concat_ws("|", "c_custkey", "c_name")))
     joined = parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda r: r["digest"]), ""), 256).alias("combined"))
-    return parts.crossJoin(joined)
+    return parts.crossJoin(F.broadcast(joined))
 
 
 _SPEC = "split_part(spec, '|', {})"

@@ -52,11 +52,13 @@ def rank_output(spark, sf_dir):
     return out.select("rank", "code", r6("share").alias("share"), r6("limit_price").alias("limit_price"), "shares", F.concat_ws("; ", "risks").alias("risks"))
 
 
-@query("""with g as (select s_suppkey as id, (s_suppkey % 4)::int as hold, (s_nationkey % 3)::int as slots, s_acctbal as sharpe from supplier where s_suppkey <= 12),
+@query("""with g as (select (s_suppkey % 4)::int * 3 + (s_nationkey % 3)::int as id, (s_suppkey % 4)::int as hold, (s_nationkey % 3)::int as slots, round(avg(s_acctbal), 4) as sharpe from supplier group by 1, 2, 3),
 n as (select a.id, b.sharpe / nullif(a.sharpe, 0) as ratio from g a join g b on (abs(a.hold - b.hold) = 1 and a.slots = b.slots) or (abs(a.slots - b.slots) = 1 and a.hold = b.hold))
 select id, round(min(ratio), 6) + 0.0 as worst from n group by id""")
 def neighbour_sensitivity(spark, sf_dir):
-    g = src.read(spark, sf_dir, "supplier").where("s_suppkey <= 12").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 4).cast("int").alias("hold"), (F.col("s_nationkey") % 3).cast("int").alias("slots"), F.col("s_acctbal").alias("sharpe"))
+    """Neighbours in a grid with one row for each pair of parameters, its value the mean over all its suppliers."""
+    hold, slots = (F.col("s_suppkey") % 4).cast("int"), (F.col("s_nationkey") % 3).cast("int")
+    g = src.read(spark, sf_dir, "supplier").groupBy((hold * 3 + slots).alias("id"), hold.alias("hold"), slots.alias("slots")).agg(F.round(F.avg("s_acctbal"), 4).alias("sharpe"))
     return rounded(selection.neighbours(g, {"hold": [0, 1, 2, 3], "slots": [0, 1, 2]}), ["id"], ["worst"])
 
 
@@ -66,9 +68,12 @@ def holdout_verdict(spark, sf_dir):
     return selection.holdout_verdict(m, 5.0).select("id", "pass_cagr", "pass_sharpe", "passed")
 
 
-@query(f"""with {src.NATION_SQL} select dt, max(close) filter (code = 'NATION_1') as "NATION_1", max(close) filter (code = 'NATION_2') as "NATION_2", max(close) filter (code = 'NATION_3') as "NATION_3" from bars where code in ('NATION_1', 'NATION_2', 'NATION_3') group by dt""")
+CODES = [f"NATION_{i}" for i in range(25)]
+
+
+@query(f"with {src.NATION_SQL} select dt, {', '.join(f'max(close) filter (code = {chr(39)}{c}{chr(39)}) as {chr(34)}{c}{chr(34)}' for c in CODES)} from bars group by dt")
 def dense_pivot(spark, sf_dir):
-    return stores.dense(src.nation_daily(spark, sf_dir), "close", ["NATION_1", "NATION_2", "NATION_3"])
+    return stores.dense(src.nation_daily(spark, sf_dir), "close", CODES)
 
 
 @query("select ts::date as dt, event_type as code, null::double as open, null::double as high, null::double as low, value as close, 1.0::double as volume, 0.0::double as dividend, 0.0::double as split from events")
@@ -79,4 +84,5 @@ def conform_scan(spark, sf_dir):
 
 @query()
 def file_manifest(spark, sf_dir):
-    return stores.manifest(spark, sf_dir, "[nrs]*.parquet")
+    """All Parquet files of the tables."""
+    return stores.manifest(spark, sf_dir, "*.parquet")

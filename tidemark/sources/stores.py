@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -51,13 +51,29 @@ def dense(df: DataFrame, value: str, codes: list[str]) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """name, bytes, sha256, combined: a digest of each file and that of all digests in order of name. A file is one row, at most 2 GB."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """name, bytes, sha256, combined: a digest of each file below a folder and that of all digests in order of name. A file is one
+    row of at most 2 GB; a larger one fails the job. What is gathered is 100 bytes a file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    inside = F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    rows = staged(files.select(inside.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda r: r["sha256"])
     return rows.crossJoin(F.broadcast(rows.agg(F.sha2(F.array_join(ordered, ""), 256).alias("combined"))))
 
 
+def tree_digest(rows: DataFrame, part: str, key: str, line: Column, fan: int = 1000, levels: int = 3) -> DataFrame:
+    """part, digest: lines in order of a whole-number key are digested by ranges of `fan` keys, those digests by ranges of `fan`
+    ranges and so on for `levels` levels, then all of a part. With unique keys no value holds more than `fan` lines below the part."""
+    df, glue = rows.select(F.col(part).alias("part"), F.col(key).cast("long").alias("k"), line.alias("d")), "\n"
+    for _ in range(levels):
+        df = df.groupBy("part", F.floor(F.col("k") / fan).alias("k")).agg(_digest(glue).alias("d"))
+        glue = ""
+    return df.groupBy("part").agg(_digest("").alias("digest"))
+
+
+def _digest(glue: str) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda r: r["d"]), glue), 256)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors (spark.checkpoint.dir); on a local master without one a new temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)

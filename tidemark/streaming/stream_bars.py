@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -42,8 +43,22 @@ def running_means(events: DataFrame, alpha: float = 0.1) -> DataFrame:
     return keyed.applyInPandasWithState(update, "code string, n long, mean double", "n long, mean double", "update", GroupStateTimeout.NoTimeout)
 
 
-def available_now(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """What a stream gives for the files that are there now, as a table in memory (for tests and small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def available_now(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for the files that are there now, with the number of its batch: Parquet in a shared folder, written by the tasks.
+
+    A batch that runs again after a failure overwrites its own folder. In update mode a key's last row has its largest batch.
+    """
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    save(stream.sparkSession.createDataFrame([], stream.schema), -1)  # so that the folder can be read when there are no files
+    q = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of each key's largest batch."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(*keys, "s.*")
