@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +44,26 @@ def blended(df: DataFrame, horizons=(5, 10, 20)) -> DataFrame:
     return df.withColumn("LM", sum((pct_rank(f"L3_{n}", ["dt"]) for n in horizons[1:]), pct_rank(f"L3_{horizons[0]}", ["dt"])) / len(horizons) - 0.5)
 
 
+def boundaries(rows: DataFrame, known: Column, calendar: DataFrame, holdout, horizon: int, least: int, cover: float = 0.99) -> DataFrame:
+    """One row: analysis_start, the first day with at least `least` universe rows of which more than `cover` are known; holdout_start,
+    the first calendar day from a date on; dev_end, the last signal day before it whose positions of up to `horizon` days end in time.
+    Null where there is no such day."""
+    per = rows.groupBy("dt").agg(F.count("*").alias("n"), F.avg(known.cast("double")).alias("share"))
+    start = per.where((F.col("n") >= least) & (F.col("share") > cover)).agg(F.min("dt").alias("analysis_start"))
+    held = calendar.where(F.col("dt") >= holdout).agg(F.min("dt").alias("holdout_start"), (F.min("pos") - horizon - 2).alias("pos"))
+    dev = F.broadcast(held).join(calendar.withColumnRenamed("dt", "dev_end"), "pos", "left").drop("pos")
+    return start.crossJoin(dev)  # one row each
+
+
+def inner_split(df: DataFrame, horizon: int, share: float = 0.8) -> DataFrame:
+    """df with part: valid from the day on before which the share of all days lies, train up to horizon + 2 days before it (at least
+    the first day), null for the days between."""
+    days = df.select("dt").distinct().withColumn("__i", F.row_number().over(Window.orderBy("dt")) - 1)  # a row for each day
+    days = days.withColumn("__cut", F.floor(F.count("*").over(Window.partitionBy(F.lit(1))) * F.lit(share)))
+    part = F.when(F.col("__i") >= F.col("__cut"), "valid").when(F.col("__i") <= F.greatest(F.lit(0), F.col("__cut") - horizon - 2), "train")
+    return df.join(F.broadcast(days.select("dt", part.alias("part"))), "dt")
+
+
 def folds(calendar: DataFrame, start, end, first_years: int, months: int) -> DataFrame:
     """fold, val_start, val_end: validation spans of so many months from start + first_years on, snapped to calendar days, up to end."""
     marks = calendar.agg(F.max("dt").alias("last")).select(F.explode(F.expr(f"sequence(add_months(date'{start}', {12 * first_years}), add_months(date'{end}', -0), interval {months} months)")).alias("mark"))

@@ -39,3 +39,9 @@ def members_at(rows: DataFrame, spans: DataFrame) -> DataFrame:
     s = spans.select(F.col("code").alias("__c"), "in_dt", "out_dt")
     inside = (rows["code"] == s["__c"]) & (s["in_dt"].isNull() | (rows["dt"] >= s["in_dt"])) & (s["out_dt"].isNull() | (rows["dt"] < s["out_dt"]))
     return rows.join(s, inside, "left").withColumn("member", F.col("__c").isNotNull()).drop("__c", "in_dt", "out_dt")
+
+
+def unpriced_share(rows: DataFrame, priced: DataFrame) -> DataFrame:
+    """year, share: of the days on which codes are members (dt, code, member), the share that falls on codes that priced lacks."""
+    df = rows.where("member").join(priced.select("code").distinct().withColumn("__has", F.lit(True)), "code", "left")
+    return df.groupBy(F.year("dt").alias("year")).agg(F.avg(F.col("__has").isNull().cast("double")).alias("share"))

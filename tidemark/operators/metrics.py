@@ -89,6 +89,11 @@ def trade_stats(trades: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("top5_share", F.when(F.col("__p") > 0, F.col("__t") / F.col("__p"))).drop("__p", "__t")
 
 
+def trades_by_year(trades: DataFrame, by: list[str]) -> DataFrame:
+    """year, n: trades by the year of their buy."""
+    return trades.groupBy(*by, F.year("buy_dt").alias("year")).agg(F.count("*").alias("n"))
+
+
 def losing_streak(trades: DataFrame, by: list[str]) -> DataFrame:
     """longest: the longest run of trades without profit, in order of exit."""
     w = Window.partitionBy(*by).orderBy("exit_dt", "code", "buy_dt")

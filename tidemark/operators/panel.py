@@ -42,10 +42,16 @@ def slippage(adv: Column) -> Column:
     return out.otherwise(SLIPPAGE[-1][1])
 
 
-def business_days(bars: DataFrame, holidays: DataFrame) -> DataFrame:
-    """dt, pos: weekdays between the first and last date with volume, without holidays."""
+def year_end(dt: Column) -> Column:
+    """The exchange's closed days round the new year: 12/31 and 1/1 to 1/3."""
+    return ((F.month(dt) == 12) & (F.day(dt) == 31)) | ((F.month(dt) == 1) & (F.day(dt) <= 3))
+
+
+def business_days(bars: DataFrame, holidays: DataFrame, open_new_year: bool = True) -> DataFrame:
+    """dt, pos: weekdays between the first and last date with volume, without holidays and, if so asked, the days round the new year."""
     ends = bars.where("volume > 0").agg(F.min("dt").alias("a"), F.max("dt").alias("b"))
     days = ends.select(F.explode(F.sequence("a", "b")).alias("dt")).where(F.weekday("dt") < 5).join(F.broadcast(holidays.select("dt").distinct()), "dt", "left_anti")
+    days = days if open_new_year else days.where(~year_end(F.col("dt")))
     return days.withColumn("pos", F.row_number().over(Window.orderBy("dt")) - 1)  # a row for each day of the calendar
 
 
@@ -71,6 +77,21 @@ def undo_later_splits(bars: DataFrame, as_of) -> DataFrame:
     return df.withColumns(scaled | {"volume": F.col("volume") / F.col("__f")}).drop("__f")
 
 
+def splits_between(rows: DataFrame, actions: DataFrame) -> DataFrame:
+    """rows (code, after, upto, ...) with ratio: the product of the code's splits with after < dt <= upto, 1 without any.
+
+    Splits are few, so the join by code meets a handful of them for each row. Rows must be distinct.
+    """
+    s = actions.where("split > 0").select(F.col("code").alias("__c"), "dt", "split")
+    hit = (F.col("code") == F.col("__c")) & (F.col("dt") > F.col("after")) & (F.col("dt") <= F.col("upto"))
+    return rows.join(s, hit, "left").groupBy(*rows.columns).agg(F.coalesce(F.product("split"), F.lit(1.0)).alias("ratio"))
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default) -> DataFrame:
+    """df with the value of the table's one row for its key, or the default."""
+    return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
 def clean_actions(bars: DataFrame, low: float = 0.00099, high: float = 1001.0, most: float = 0.3) -> DataFrame:
     """Splits out of range are set to 0 and their ratio given to earlier dividends; dividends above a share of the previous close are 0."""
     bad = F.when((F.col("split") != 0) & ((F.col("split") < low) | (F.col("split") > high)), F.col("split")).otherwise(1.0)
@@ -120,8 +141,8 @@ def universe(df: DataFrame, min_adv: float, min_close: float, min_days: int) ->
     return df.withColumn("failed", failed).withColumn("in_univ", F.col("failed").isNull())
 
 
-def quality(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """check, rows: how many bars fail each of ten checks."""
+def quality(bars: DataFrame, calendar: DataFrame, holdout=None) -> DataFrame:
+    """check, rows: how many bars fail each of ten checks; with a holdout date also rows_before, those before it."""
     df = bars.join(F.broadcast(calendar.select("dt", F.lit(True).alias("__on"))), "dt", "left")
     same = F.row_number().over(Window.partitionBy("code", "dt").orderBy(*[F.col(c).asc_nulls_first() for c in ("open", "high", "low", "close", "volume", "split")]))
     df = df.withColumns({"__n": same, "__ret": div(F.col("close"), F.lag("close").over(Window.partitionBy("code").orderBy("dt", F.col("split").asc_nulls_first()))) - 1})
@@ -130,11 +151,13 @@ def quality(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     missed = (F.col("split") > 0) & (F.col("split") != 1) & (F.abs((1 + F.col("__ret")) * F.col("split") - 1) < 0.15)
     checks = {
         "missing_ohlc": o.isNull() | h.isNull() | low.isNull() | c.isNull(), "duplicate_key": F.col("__n") > 1, "price_not_positive": (o <= 0) | (h <= 0) | (low <= 0) | (c <= 0),
-        "high_too_low": h < F.greatest(o, c), "low_too_high": low > F.least(o, c), "no_volume": v == 0, "big_move": jump, "split_missed": missed,
+        "high_too_low": h < F.greatest(o, c) * (1 - 1e-9), "low_too_high": low > F.least(o, c) * (1 + 1e-9), "no_volume": v == 0, "big_move": jump, "split_missed": missed,
         "weekend": F.weekday("dt") >= 5, "off_calendar": F.col("__on").isNull(),
     }
-    counts = df.agg(*[F.count_if(F.coalesce(x, F.lit(False))).alias(k) for k, x in checks.items()])
-    return counts.select(F.expr(f"stack({len(checks)}, {', '.join(f"'{k}', {k}" for k in checks)}) as (check, rows)"))
+    past = F.lit(False) if holdout is None else F.col("dt") < holdout
+    counts = df.agg(*[F.count_if(F.coalesce(x & y, F.lit(False))).alias(f"{p}{k}") for k, x in checks.items() for p, y in (("", F.lit(True)), ("b_", past))])
+    out = counts.select(F.expr(f"stack({len(checks)}, {', '.join(f"'{k}', {k}, b_{k}" for k in checks)}) as (check, rows, rows_before)"))
+    return out.drop("rows_before") if holdout is None else out
 
 
 def big_moves(bars: DataFrame, least: float = 0.5) -> DataFrame:

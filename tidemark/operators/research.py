@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import div, pct_rank
+from .panel import slippage
 
 
 def daily_ic(df: DataFrame, features: list[str], label: str, least: int = 30) -> DataFrame:
@@ -97,14 +98,14 @@ def ensemble(scores: DataFrame, least: int = 2) -> DataFrame:
     return ranked.groupBy("dt", "code").agg(F.avg("rk").alias("score"), F.count("*").alias("n")).where(f"n >= {least}").drop("n")
 
 
-def candidates(scores: DataFrame, theta: float, top: int, regime: DataFrame | None = None, pred_above: float | None = None) -> DataFrame:
+def candidates(scores: DataFrame, theta: float, top: int, regime: DataFrame | None = None, pred_above: float | Column | None = None, ascending: bool = False) -> DataFrame:
     """dt, slot, code: of each day's rows the best by score within the share theta (at least one), then the first `top`.
 
     All rows of a day count for theta, those without a score too; ties go to the smaller code. With regime (dt, ok) only days
-    that are ok, with pred_above only rows whose pred is above it.
+    that are ok, with pred_above only rows whose pred is above it. Ascending takes the lowest scores.
     """
     day = Window.partitionBy("dt")
-    place = Window.partitionBy("dt").orderBy(F.col("score").desc_nulls_last(), "code")
+    place = Window.partitionBy("dt").orderBy(F.col("score").asc_nulls_last() if ascending else F.col("score").desc_nulls_last(), "code")
     df = scores.withColumn("__n", F.count(F.lit(1)).over(day)).withColumn("__r", F.row_number().over(place))
     df = df.where(F.col("score").isNotNull() & (F.col("__r") <= F.greatest(F.lit(1), F.floor(theta * F.col("__n")))))
     if pred_above is not None:
@@ -114,6 +115,11 @@ def candidates(scores: DataFrame, theta: float, top: int, regime: DataFrame | No
     return df.withColumn("slot", F.row_number().over(place) - 1).where(F.col("slot") < top).select("dt", "slot", "code")
 
 
+def round_trip_cost(adv: Column, fee: float = 0.0005) -> Column:
+    """What a predicted return has to be above: fee and slippage, both ways."""
+    return 2 * (fee + slippage(adv))
+
+
 def random_candidates(rows: DataFrame, top: int, seed: int) -> DataFrame:
     """dt, slot, code: the first `top` of each day in the order of a seeded hash; the same for every run."""
     w = Window.partitionBy("dt").orderBy(F.xxhash64(F.lit(seed), "dt", "code"), "code")
@@ -137,8 +143,20 @@ def regimes(market: DataFrame, fold_rows: DataFrame, quantile: float = 0.8) -> D
     return df.select("dt", "fold", F.coalesce(F.col("mk_above200") == 1, F.lit(False)).alias("above"), F.coalesce(F.col("mk_vol20") <= F.col("limit"), F.lit(False)).alias("vol_ok"))
 
 
+def regime_ok(name: str) -> Column:
+    """Whether a day of `regimes` may be traded under a rule by name."""
+    above, calm = F.col("above"), F.col("vol_ok")
+    return {"none": F.lit(True), "idx_above_sma200": above, "idx_vol_below_p80": calm, "excl_down_lowvol": above | ~calm}[name]
+
+
 def calibration(df: DataFrame, pred: str, actual: str, bins: int = 10) -> DataFrame:
     """bin, n, mean_pred, mean_actual by quantiles of pred, right-closed; equal edges are merged."""
     edges = df.agg(F.percentile(pred, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e")).select(F.array_sort(F.array_distinct("e")).alias("e"))
     b = F.size(F.filter("e", lambda e: F.col(pred) > e))
     return df.where(f"{pred} is not null").crossJoin(F.broadcast(edges)).groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg(pred).alias("mean_pred"), F.avg(actual).alias("mean_actual"))
+
+
+def calibrated(df: DataFrame, pred: str, actual: str, bins: int = 10, within: float = 0.05) -> DataFrame:
+    """worst, ok: the largest difference of a bin's mean prediction and its frequency over rows with both; ok is null without rows."""
+    table = calibration(df.where(F.col(actual).isNotNull()), pred, actual, bins)
+    return table.agg(F.max(F.abs(F.col("mean_pred") - F.col("mean_actual"))).alias("worst")).withColumn("ok", F.col("worst") <= within)
