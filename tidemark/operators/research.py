@@ -42,8 +42,13 @@ def ic_summary(daily: DataFrame, lags: int = 5, least: int = 50) -> DataFrame:
     return t.join(sd, "feature").join(agree, "feature").withColumn("ir", div(F.col("mean"), F.col("sd"))).where(f"n >= {least}")
 
 
+def adoption(least_agree: float = 0.6, least_t: float = 2.0) -> Column:
+    """Whether a row of ic_summary is adopted; a null measure isn't."""
+    return F.coalesce((F.col("agree") >= least_agree) & (F.abs("t") > least_t), F.lit(False))
+
+
 def adopted(summary: DataFrame, least_agree: float = 0.6, least_t: float = 2.0) -> DataFrame:
-    return summary.where((F.col("agree") >= least_agree) & (F.abs("t") > least_t)).orderBy(F.abs("ir").desc(), "feature")
+    return summary.where(adoption(least_agree, least_t)).orderBy(F.abs("ir").desc(), "feature")
 
 
 def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -154,6 +154,7 @@ def unpriced_members(spark, sf_dir):
     return membership.unpriced_share(_pit(spark), fx.table(spark, "fx_bars")).select("year", r6("share").alias("share"))
 
 
-@query(f"with {NW} select feature, n, {sql_rounded(['mean', 't', 'agree'])} from nw join ag using (feature) where n >= 50 and agree >= 0.6 and abs(t) > 2")
-def adopted_features(spark, sf_dir):
-    return rounded(research.adopted(research.ic_summary(_ic(spark, sf_dir))), ["feature", "n"], ["mean", "t", "agree"])
+@query(f"with {NW} select feature, n, {sql_rounded(['mean', 't', 'agree'])}, coalesce(agree >= 0.6 and abs(t) > 2, false) as adopted from nw join ag using (feature) where n >= 50")
+def feature_adoption(spark, sf_dir):
+    df = research.ic_summary(_ic(spark, sf_dir)).withColumn("adopted", research.adoption())
+    return rounded(df, ["feature", "n", "adopted"], ["mean", "t", "agree"])
