@@ -1,7 +1,8 @@
-"""SQL of the license and quality queries for DuckDB, written from their contracts and the parameters of the operators."""
+"""SQL of the license, quality, divergence and hard-negative queries for DuckDB, written from their contracts and the parameters of the operators."""
 
 from __future__ import annotations
 
+from . import divergence as dv
 from . import licenses as li
 from . import quality as qu
 from .common import LOWER, UPPER
@@ -80,3 +81,38 @@ per as (select rid, count(*) filter (base) as n_base, min(place) filter (base) a
                coalesce(string_agg(distinct label, ',' order by label) filter (base), '') as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score from f group by rid)
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score from d left join per using (rid)
 """
+
+
+def divergence() -> str:
+    def share(n: str, whole: str) -> str:
+        return f"(1 + (1000000000::hugeint * ({n} + 1)) // ({whole}))"
+
+    f = "((p - q) * (p - q)) // q"
+    return rf"""
+with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{dv.TERM}') as w from documents),
+t as (select rid, lang, source, unnest(w) as term from d),
+kept as (select lang, term, count(*) as total from t group by lang, term having count(distinct rid) >= {dv.MIN_DOCS}),
+c as (select t.lang, source, term, count(*) as n from t join kept using (lang, term) group by t.lang, source, term),
+g as (select distinct lang, source from d),
+l as (select lang, count(*) as v, sum(total) as nl from kept group by lang),
+s as (select lang, source, coalesce(u.n, 0) as ng, coalesce(v, 0) as v, nl from g left join (select lang, source, sum(n) as n from c group by lang, source) u using (lang, source) left join l using (lang)),
+p as (select s.lang, s.source, term, coalesce(c.n, 0) as n, {share('coalesce(c.n, 0)', 'ng + v')} as p, {share('total', 'nl + v')} as ql from s join kept using (lang) left join c using (lang, source, term)),
+pv as (select a.lang, a.source, b.source as item, sum({f}) as value from (select lang, source, term, p from p) a join (select lang, source, term, p as q from p) b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pa as (select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+te as (select lang, source, term as item, ({f.replace('q', 'ql')})::bigint as value from p where n > 0 and p > ql),
+r as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pa
+      union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) from te)
+select lang, source, part, item, value, rank::int as rank from r where part = 'pair' or rank <= {dv.TOP}
+"""
+
+
+def negatives() -> str:
+    return """
+with e as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+           where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as a, b.id as b, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from e a join e b on a.id % 100 = 0 and a.id <> b.id),
+p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+n as (select p.a, p.b as pos, p.score as ps, s.b as neg, s.score as ns, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank
+      from p join s on p.a = s.a and not same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select a as anchor_id, pos as positive_id, rank::int as rank, neg as negative_id, ps as positive_score, ns as negative_score from n where rank <= 10
+"""

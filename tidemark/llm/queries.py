@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, licenses, mixing, multiset, oracles, packing, quality, secrets, simhash, warc
+from . import divergence, html, langid, licenses, mixing, multiset, negatives, oracles, packing, quality, secrets, simhash, toxicity, warc
 from .common import shared_dir, small_batches, staged, table
 
 
@@ -105,6 +105,24 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("*", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(toxicity.labelled(docs.where(langid.fold() != 2), labels))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(langid.fold() == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_abuse", "n_quoted")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    rows = negatives.prepared(rows)
+    return negatives.mine(rows, rows.where("id % 100 = 0"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -116,5 +134,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_html": op10_html,
+    "op11_divergence": op11_divergence,
+    "op12_toxicity": op12_toxicity,
+    "op13_negatives": op13_negatives,
 }
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_mixing": OP4_SQL, "op5_licenses": oracles.licenses(), "op9_quality": oracles.quality()}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_mixing": OP4_SQL, "op5_licenses": oracles.licenses(), "op9_quality": oracles.quality(), "op11_divergence": oracles.divergence(), "op13_negatives": oracles.negatives()}
