@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, staged
 
-#: A lexicon term is in at least so many toxic texts and this share of them, and the lower end of its log odds is above LEAST_ODDS.
-MIN_TEXTS, MIN_SHARE, LEAST_ODDS = 3, 0.002, 1.0
+#: A lexicon term is in at least so many toxic texts and this share of them, and its log odds less ERRORS standard errors are above
+#: LEAST_ODDS (many words are tried, so some are only by chance in toxic texts).
+MIN_TEXTS, MIN_SHARE, LEAST_ODDS, ERRORS = 3, 0.002, 1.0, 2.3
+#: What each edit leaves of a form's weight.
+BLUR = 0.7
 #: Edits allowed by the number of letters: none below the first, one from it on, two from the second on.
 ONE_EDIT, TWO_EDITS = 4, 9
 #: Labelled rows, by a hash threshold, that the weights of the features are fitted on.
@@ -209,7 +212,7 @@ def measures(text: str | None, lexicon: Lexicon) -> tuple[list[float], int, int]
             quoted, n_quoted = quoted + weight, n_quoted + 1
     total = sum(best.values())
     density = math.log1p(100 * total / (n + 20))
-    return [math.log1p(total), most, density, math.log1p(n) if best else 0.0, math.log1p(quoted)], len(found) - n_quoted, n_quoted
+    return [math.log1p(total), most, density, math.log1p(n) if best else 0.0, math.log1p(len(best)), math.log1p(quoted)], len(found) - n_quoted, n_quoted
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -252,7 +255,7 @@ def train(rows: DataFrame) -> Model:
     likely = counts.where((F.col("n1") >= MIN_TEXTS) & (F.col("n1") >= MIN_SHARE * all1) & (F.length("word") > 1))
     odds = F.log((F.col("n1") + 0.5) / all1) - F.log((F.col("n0") + 0.5) / all0)
     error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    terms = {r["word"]: (r["odds"], r["n1"], r["n0"]) for r in likely.withColumn("odds", odds).where(odds - 1.96 * error > LEAST_ODDS).orderBy("word").collect()}
+    terms = {r["word"]: (r["odds"], r["n1"], r["n0"]) for r in likely.withColumn("odds", odds).where(odds - ERRORS * error > LEAST_ODDS).orderBy("word").collect()}
     names = list(terms)
     shared = spark.sparkContext.broadcast(names)
 
@@ -273,7 +276,7 @@ def train(rows: DataFrame) -> Model:
         one, zero = share1 / (share1 + share0), share0 / (share1 + share0)
         for e in (1, 2):
             s1, s0 = sums.get((i, e), (0, 0))
-            near[i, e] = max(0.0, min(terms[names[i]][0], _odds(s1 + one, s0 + zero, all1, all0)))
+            near[i, e] = BLUR**e * max(0.0, min(terms[names[i]][0], _odds(s1 + one, s0 + zero, all1, all0)))
     often = forms.where((F.col("n1") + F.col("n0") >= MIN_TEXTS) & ((F.col("n1") >= MIN_SHARE * all1) | (F.col("n0") >= MIN_SHARE * all0)))
     known = {}
     for r in often.collect():
