@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 EPS = 1e-12
+BLOCK = 256  # rows that a recursion takes at once
 
 
 def by_code() -> WindowSpec:
@@ -91,20 +92,25 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
     """df with recursive means y = (1 - a) y' + a x by code: out -> (column, a, least number of values).
 
     A null x keeps the mean, and the next value weighs more against it: over k nulls the old mean has (1 - a)^(k + 1) to a.
-    Each code's rows are one array in order of dt, along which the mean is folded; its length is bounded by the calendar.
+    Each code's rows are one array in order of dt, along which the mean is folded in blocks, so that the work grows with the rows;
+    its length is bounded by the calendar.
     """
     names = [c for c in df.columns if c != "code"]
     rows = df.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("dt", *[c for c in names if c != "dt"]))).alias("__rows"))
-    series = lambda x: F.transform("__rows", lambda r: r[x].cast("double"))
-    rows = rows.withColumns({f"__{out}": _folded(series(x), a, least) for out, (x, a, least) in specs.items()})
+    starts = F.sequence(F.lit(0), F.call_function("div", F.size("__rows") - 1, F.lit(BLOCK)).cast("int"))
+    rows = rows.withColumn("__blocks", F.transform(starts, lambda b: F.slice("__rows", b * BLOCK + 1, F.lit(BLOCK))))
+    rows = rows.withColumns({f"__{out}": _folded(F.col("__blocks"), x, a, least) for out, (x, a, least) in specs.items()})
     each = F.transform("__rows", lambda r, i: F.struct(*[r[c].alias(c) for c in names], *[F.get(F.col(f"__{o}"), i).alias(o) for o in specs]))
     return rows.select("code", F.inline(each)).select(*df.columns, *specs)
 
 
-def _folded(xs: Column, a: float, least: int) -> Column:
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("out"))
+def _folded(blocks: Column, name: str, a: float, least: int) -> Column:
+    """The means of the values of all blocks in turn. A block's means are one short array, to which appending is cheap; a block goes on
+    from where the one before it ended."""
+    at_first = [F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0).alias("n")]
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, r: Column) -> Column:
+        x = r[name].cast("double")
         x = F.when(~F.isnan(x), x)
         w = s["w"] * (1 - a)
         y = F.when(s["y"].isNull(), x).when(x.isNull(), s["y"]).otherwise((w * s["y"] + a * x) / (w + a))
@@ -112,7 +118,13 @@ def _folded(xs: Column, a: float, least: int) -> Column:
         w = F.when(x.isNotNull() | s["y"].isNull(), 1.0).otherwise(w)
         return F.struct(y.alias("y"), w.alias("w"), n.alias("n"), F.array_append(s["out"], F.when(n >= least, y)).alias("out"))
 
-    return F.aggregate(xs, start, step, lambda s: s["out"])
+    def block(s: Column, b: Column) -> Column:
+        inside = F.aggregate(b, F.struct(s["y"].alias("y"), s["w"].alias("w"), s["n"].alias("n"), F.array().cast("array<double>").alias("out")), step)
+        joined = F.transform(F.array(inside), lambda i: F.struct(i["y"].alias("y"), i["w"].alias("w"), i["n"].alias("n"), F.array_append(s["out"], i["out"]).alias("out")))
+        return F.get(joined, F.lit(0))  # the one element binds the block's result, which is used four times
+
+    start = F.struct(*at_first, F.array().cast("array<array<double>>").alias("out"))
+    return F.aggregate(blocks, start, block, lambda s: F.flatten(s["out"]))
 
 
 def ema_alpha(span: int) -> float:
