@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-from statistics import NormalDist
+import math
+from statistics import NormalDist, stdev
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import div
+from ..functions.normal import cdf, ppf
 
 YEAR = 252
+EULER = 0.5772156649
 GATES = {"min_trades": 300, "per_year": 30, "ci_low": 0.0, "pos_years": 0.6, "max_year": 0.5, "top5": 0.3, "ex_top": 0.0, "cost2": 0.0, "mdd": -0.35}
 
 
@@ -122,18 +122,31 @@ def gates(m: DataFrame, g: dict = GATES) -> DataFrame:
     return m.withColumns(tests).withColumn("passed", passed)
 
 
-def bootstrap_ci(blocks: DataFrame, by: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
-    """low, high by series: the 95 % interval of the mean from blocks (block, total, n) drawn with replacement. A series' block sums are one small group."""
+def drawn(seed: int, draw: Column, place: Column, n: Column) -> Column:
+    """A whole number below n for a place of a draw, by a hash that other engines have too."""
+    text = F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), place.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % n
+
+
+def resampled(blocks: DataFrame, by: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """by, draw, mean: for each series of blocks (block, total, n) so many draws of as many blocks as it has, with replacement.
+
+    A place of a draw names a block by a hash of (seed, draw, place), and a join brings the block's sums; nothing but sums by draw is
+    shuffled on. Series are numbered blocks in order of block.
+    """
+    order = Window.partitionBy(*by).orderBy("block")
+    own = blocks.select(*by, "total", "n", (F.row_number().over(order) - 1).alias("__i"), F.count("*").over(Window.partitionBy(*by)).alias("__k"))
+    places = own.select(*by, F.col("__i").alias("__place"), "__k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    places = places.select(*by, "draw", drawn(seed, F.col("draw"), F.col("__place"), F.col("__k")).alias("__i"))
+    sums = places.join(own.drop("__k"), [*by, "__i"]).groupBy(*by, "draw").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return sums.select(*by, "draw", (F.col("total") / F.greatest(F.col("n"), F.lit(1))).alias("mean"))
 
-    def apply(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("block")
-        at = np.random.default_rng(seed).integers(0, len(g), size=(draws, len(g)))
-        means = g["total"].to_numpy()[at].sum(1) / np.maximum(g["n"].to_numpy()[at].sum(1), 1)
-        low, high = np.percentile(means, [2.5, 97.5]) if len(g) else (None, None)
-        return pd.DataFrame([[*g[by].iloc[0], low, high]], columns=[*by, "low", "high"])
 
-    kinds = dict(blocks.dtypes)
-    return blocks.groupBy(*by).applyInPandas(apply, ", ".join([*[f"{c} {kinds[c]}" for c in by], "low double", "high double"]))
+def bootstrap_ci(blocks: DataFrame, by: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """low, high by series: the 95 % interval of the mean over draws of blocks (block, total, n). Repeated blocks are blocks of their
+    own, their order being arbitrary; no blocks give no rows."""
+    means = resampled(blocks, by, draws, seed)
+    return means.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 
 def trade_blocks(trades: DataFrame, by: list[str], size: int = 20) -> DataFrame:
@@ -143,45 +156,79 @@ def trade_blocks(trades: DataFrame, by: list[str], size: int = 20) -> DataFrame:
 
 def deflated_sharpe(sharpe_daily: float, n: int, skew: float, kurt: float, trials: list[float]) -> float | None:
     """The probability that a daily Sharpe ratio beats the best expected of as many trials by chance; kurt is 3 for a normal."""
-    xs = [x for x in trials if x is not None and np.isfinite(x)]
+    xs = [x for x in trials if x is not None and math.isfinite(x)]
     if len(xs) < 2 or sharpe_daily is None:
         return None
-    normal, gamma = NormalDist(), 0.5772156649
-    best = float(np.std(xs, ddof=1)) * ((1 - gamma) * normal.inv_cdf(1 - 1 / len(xs)) + gamma * normal.inv_cdf(1 - 1 / (len(xs) * np.e)))
+    normal = NormalDist()
+    best = stdev(xs) * ((1 - EULER) * normal.inv_cdf(1 - 1 / len(xs)) + EULER * normal.inv_cdf(1 - 1 / (len(xs) * math.e)))
     spread = (1 - skew * sharpe_daily + (kurt - 1) / 4 * sharpe_daily**2) ** 0.5
     return normal.cdf((sharpe_daily - best) * (n - 1) ** 0.5 / spread)
 
 
-def overfit_probability(returns: DataFrame, blocks: int = 10) -> DataFrame:
+def deflated(returns: DataFrame, by: list[str]) -> DataFrame:
+    """by, sharpe (daily), best, dsr: each series' deflated Sharpe ratio with all series as the trials.
+
+    best is the ratio expected of the best of as many trials by chance. Series without a ratio (fewer than two days, no spread) are
+    no trials and have none; with fewer than two trials dsr is null.
+    """
+    each = returns.groupBy(*by).agg(
+        div(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"), F.count("ret").alias("n"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt")
+    ).where("sharpe is not null and not isnan(sharpe)")
+    trials = each.agg(F.stddev_samp("sharpe").alias("sd"), (1 - 1 / F.count("*")).alias("p"), (1 - 1 / (F.count("*") * math.e)).alias("q"))
+    best = (F.col("sd") * ((1 - EULER) * ppf("p") + EULER * ppf("q"))).alias("best")
+    one = trials.select(F.when(~F.isnan("sd"), best).alias("best"))
+    spread = F.sqrt(1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") * F.col("sharpe"))
+    df = each.join(F.broadcast(one)).withColumn("z", (F.col("sharpe") - F.col("best")) * F.sqrt(F.col("n") - 1) / spread)  # one row
+    return df.select(*by, "sharpe", "best", cdf("z").alias("dsr"))
+
+
+def overfit_probability(returns: DataFrame, blocks: int = 16) -> DataFrame:
     """pbo, splits: over all halves of the blocks, how often the trial that is best in one half ranks in the lower half in the other.
 
-    returns: trial, pos, ret. Block i holds the days from floor(days * i / blocks) on. Spark makes each trial's block sums and sums of squares; that table (trials x blocks) goes to
-    the tasks that take the halves, one row each.
+    returns: trial, pos, ret; a null return counts as 0. Block i holds the days from floor(days * i / blocks) on. Ranks of ties are
+    means, the first of equally good trials is the best.
+
+    A half of the blocks is a bitmask of two parts. Each trial's sums over all masks of either part are made once, and a half is a
+    pair of parts whose bits add up; trials meet only in two aggregations by half, one for its best trial and one for that
+    trial's rank. What is broadcast between them has a row for each half, whatever the trials.
     """
-    spark = returns.sparkSession
-    width = returns.agg(F.max("pos")).first()[0] + 1
-    per = returns.groupBy("trial", F.expr(f"((pos + 1) * {blocks} - 1) div {width}").cast("int").alias("b")).agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
-    table = per.toPandas().pivot(index="trial", columns="b", values=["n", "s", "q"]).fillna(0.0)
-    n, s, q = (table[x].to_numpy(dtype=float) for x in ("n", "s", "q"))
-    shared = spark.sparkContext.broadcast((n, s, q))
-    halves = spark.createDataFrame([(list(c),) for c in combinations(range(blocks), blocks // 2)], "chosen array<int>").repartition(8)
-
-    def ratio(at: np.ndarray) -> np.ndarray:
-        n, s, q = (x[:, at].sum(1) for x in shared.value)
-        var = (q - s * s / n) / np.maximum(n - 1, 1)
-        return np.where(var > 0, s / n / np.sqrt(np.maximum(var, 1e-300)), -np.inf)
-
-    def apply(batches):
-        for g in batches:
-            out = []
-            for chosen in g["chosen"]:
-                inside = np.isin(np.arange(blocks), chosen)
-                best, other = int(np.argmax(ratio(inside))), ratio(~inside)
-                w = ((other < other[best]).sum() + (other == other[best]).sum() / 2 + 0.5) / (len(other) + 1)
-                out.append(np.log(w / (1 - w)))
-            yield pd.DataFrame({"logit": out})
-
-    return halves.mapInPandas(apply, "logit double").agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.count("*").alias("splits"))
+    width = returns.agg((F.max("pos") + 1).alias("days"))
+    cut = F.expr(f"cast(((pos + 1) * {blocks} - 1) div days as int)")
+    x = F.coalesce("ret", F.lit(0.0))
+    per = returns.join(F.broadcast(width)).withColumn("b", cut)
+    per = per.groupBy("trial", "b").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    trials = per.groupBy("trial").agg(F.map_from_entries(F.collect_list(F.struct("b", F.struct("s", "q")))).alias("m"))
+    days = F.expr(f"transform(sequence(0, {blocks} - 1), i -> cast(days * (i + 1) div {blocks} - days * i div {blocks} as double))")
+    trials = trials.join(F.broadcast(width.select(days.alias("d"))))
+    sums = lambda at: F.struct(*[F.coalesce(F.element_at("m", at)[c], F.lit(0.0)).alias(c) for c in ("s", "q")], F.element_at("d", at + 1).alias("n"))
+    low = blocks // 2
+
+    def parts(start: int, size: int) -> Column:
+        """bits, s, q, n for each mask of so many blocks from start on."""
+        zero = F.struct(*[F.lit(0.0).alias(c) for c in ("s", "q", "n")])
+        add = lambda mask: lambda acc, i: F.when(F.call_function("shiftright", mask, i).bitwiseAND(1) == 1, F.struct(*[(acc[c] + F.get("own", i + start)[c]).alias(c) for c in ("s", "q", "n")])).otherwise(acc)
+        one = lambda mask: F.struct(mask.alias("mask"), F.bit_count(mask).alias("bits"), F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), zero, add(mask)).alias("x"))
+        return F.transform(F.sequence(F.lit(0), F.lit((1 << size) - 1)), one)
+
+    trials = trials.withColumn("own", F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), sums))
+    trials = trials.select("trial", F.aggregate("own", F.struct(*[F.lit(0.0).alias(c) for c in ("s", "q", "n")]), lambda a, o: F.struct(*[(a[c] + o[c]).alias(c) for c in ("s", "q", "n")])).alias("all"), parts(0, low).alias("low"), parts(low, blocks - low).alias("high"))
+    trials = trials.select("trial", "all", "low", F.explode("high").alias("h"))
+    fits = F.filter("low", lambda part: part["bits"] + F.col("h.bits") == blocks // 2)
+    rows = trials.select("trial", "all", "h", F.explode(fits).alias("l"))
+
+    def ratio(s: Column, q: Column, n: Column) -> Column:
+        mean = s / n
+        return mean / F.sqrt(F.greatest(q / n - mean * mean, F.lit(1e-18)))
+
+    inside = [F.col(f"l.x.{c}") + F.col(f"h.x.{c}") for c in ("s", "q", "n")]
+    outside = [F.col(f"all.{c}") - i for c, i in zip(("s", "q", "n"), inside)]
+    rows = rows.select("trial", (F.col("h.mask") * (1 << low) + F.col("l.mask")).alias("half"), ratio(*inside).alias("inside"), ratio(*outside).alias("outside"))
+    best = rows.groupBy("half").agg(F.min_by("outside", F.struct(-F.col("inside"), "trial")).alias("of"))
+    ranks = rows.join(F.broadcast(best), "half").groupBy("half").agg(
+        F.count_if(F.col("outside") < F.col("of")).alias("less"), F.count_if(F.col("outside") == F.col("of")).alias("same"), F.count("*").alias("m")
+    )
+    w = (F.col("less") + (F.col("same") + 1) / 2) / (F.col("m") + 1)
+    return ranks.agg(F.avg((w <= 0.5).cast("double")).alias("pbo"), F.count("*").alias("splits"))
 
 
 def plateau(grid: DataFrame, same: list[str], value: str = "sharpe") -> DataFrame:

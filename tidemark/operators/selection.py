@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import pct_rank
+from .metrics import resampled
 from .panel import slippage
 
 #: How simple the families of scores are, simplest first.
@@ -28,13 +28,13 @@ def difference_blocks(a: DataFrame, b: DataFrame, size: int = 20) -> DataFrame:
     return d.groupBy("block").agg(F.avg("d").alias("mean"), F.count("*").alias("n")).where(F.col("n") == size).drop("n")
 
 
-def difference_ci(a: DataFrame, b: DataFrame, size: int = 20, draws: int = 1000, seed: int = 42) -> tuple[float, float] | None:
-    """The 95 % interval of the mean daily difference by block bootstrap; None with fewer than two blocks."""
-    x = np.array([r["mean"] for r in difference_blocks(a, b, size).orderBy("block").collect()])
-    if len(x) < 2:
-        return None
-    means = x[np.random.default_rng(seed).integers(0, len(x), size=(draws, len(x)))].mean(1)
-    return tuple(float(v) for v in np.percentile(means, [2.5, 97.5]))
+def difference_ci(a: DataFrame, b: DataFrame, size: int = 20, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """low, high: the 95 % interval of the mean daily difference by block bootstrap, one row; nulls with fewer than two blocks."""
+    blocks = difference_blocks(a, b, size).select(F.lit("d").alias("__one"), "block", F.col("mean").alias("total"), F.lit(1).alias("n"))
+    means = resampled(blocks, ["__one"], draws, seed)
+    few = F.count_if(F.col("__k") < 2) > 0
+    means = means.join(F.broadcast(blocks.agg(F.count("*").alias("__k"))))  # one row
+    return means.agg(*[F.when(~few, F.percentile("mean", F.lit(p))).alias(n) for n, p in (("low", 0.025), ("high", 0.975))])
 
 
 def choose(grid: DataFrame, returns: DataFrame, margin: float = 0.2) -> dict | None:
@@ -53,8 +53,8 @@ def choose(grid: DataFrame, returns: DataFrame, margin: float = 0.2) -> dict | N
     for r in rows:
         if r["level"] >= top["level"]:
             break
-        ci = difference_ci(returns.where(F.col("id") == top["id"]), returns.where(F.col("id") == r["id"]))
-        if top["sharpe"] - r["sharpe"] < margin or (ci and ci[0] <= 0 <= ci[1]):
+        ci = difference_ci(returns.where(F.col("id") == top["id"]), returns.where(F.col("id") == r["id"])).first()
+        if top["sharpe"] - r["sharpe"] < margin or (ci["low"] is not None and ci["low"] <= 0 <= ci["high"]):
             return r
     return top
 

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import lead as col_lead
 from ..functions.exprs import r6
+from ..functions.normal import cdf, cdf_sql, ppf, ppf_sql
 from ..operators import features as ft
-from ..operators import labels, metrics, research
+from ..operators import labels, metrics, research, selection
 from ..sources import bars as src
 from .feature_queries import MARKET_SQL, lag, rec, roll, sql_rank
 from .panel_queries import ALIGN, CALENDAR, aligned
@@ -362,25 +363,60 @@ def baseline_b2(spark, sf_dir):
     return df.select("dt", r6((F.col("ix") + F.col("dv")) / (F.col("p0") * 1.0015)).alias("nav"))
 
 
-@query()
+def sql_drawn(place: str, n: str) -> str:
+    return f"('0x' || substr(md5('42|' || draw || '|' || {place}), 1, 15))::bigint % {n}"
+
+
+@query(f"""with {TRADES}, bl as (select series, floor(buy_pos / 20) as block, sum(ret) as total, count(*) as n from tr group by 1, 2), ow as (select *, row_number() over (partition by series order by block) - 1 as i, count(*) over (partition by series) as k from bl),
+pl as (select series, draw, {sql_drawn('i', 'k')} as i from ow, (select unnest(range(1000)) as draw)), me as (select series, draw, sum(total) / sum(n) as mean from pl join ow using (series, i) group by 1, 2)
+select series, round(quantile_cont(mean, 0.025), 6) + 0.0 as low, round(quantile_cont(mean, 0.975), 6) + 0.0 as high from me group by series""")
 def bootstrap_ci(spark, sf_dir):
-    return metrics.bootstrap_ci(metrics.trade_blocks(trades(spark, sf_dir), ["series"]), ["series"])
+    return rounded(metrics.bootstrap_ci(metrics.trade_blocks(trades(spark, sf_dir), ["series"]), ["series"]), ["series"], ["low", "high"])
 
 
-@query()
+HALVES = 16
+
+
+@query(f"""with {NAV}, dp as (select dt, row_number() over (order by dt) - 1 as pos, count(*) over () as days from (select distinct dt from ret)),
+bs as (select series, ((pos + 1) * {HALVES} - 1) // days as b, sum(ret) as s, sum(ret * ret) as q from ret join dp using (dt) group by 1, 2),
+bn as (select b, (select max(days) from dp) * (b + 1) // {HALVES} - (select max(days) from dp) * b // {HALVES} as n from range({HALVES}) t(b)),
+full_ as (select series, b, coalesce(s, 0) as s, coalesce(q, 0) as q, n from (select distinct series from ret) cross join bn left join bs using (series, b)),
+hv as (select range as h from range(1 << {HALVES}) where bit_count(range) = {HALVES} // 2),
+io as (select series, h, sum(s) filter ((h >> b) & 1 = 1) as s1, sum(q) filter ((h >> b) & 1 = 1) as q1, sum(n) filter ((h >> b) & 1 = 1) as n1, sum(s) filter ((h >> b) & 1 = 0) as s0, sum(q) filter ((h >> b) & 1 = 0) as q0, sum(n) filter ((h >> b) & 1 = 0) as n0 from full_ cross join hv group by 1, 2),
+ra as (select series, h, s1 / n1 / sqrt(greatest(q1 / n1 - pow(s1 / n1, 2), 1e-18)) as i, s0 / n0 / sqrt(greatest(q0 / n0 - pow(s0 / n0, 2), 1e-18)) as o from io),
+be as (select h, arg_min(o, (-i, series)) as best from ra group by h), rk as (select h, (count(*) filter (o < best) + (count(*) filter (o = best) + 1) / 2) / (count(*) + 1) as w from ra join be using (h) group by h)
+select round(avg((w <= 0.5)::int), 6) + 0.0 as pbo, count(*) as splits from rk""")
 def pbo_cscv(spark, sf_dir):
+    """Regions as trials, all 12,870 halves of 16 blocks; places are those of the days of all series."""
     r = metrics.daily_returns(nav_series(spark, sf_dir), ["series"], CAPITAL)
-    r = r.withColumn("pos", F.row_number().over(Window.partitionBy("series").orderBy("dt")) - 1)
-    return metrics.overfit_probability(r.select(F.col("series").alias("trial"), "pos", "ret"))
+    days = r.select("dt").distinct().withColumn("pos", F.row_number().over(Window.orderBy("dt")) - 1)  # a row for each day
+    r = r.join(F.broadcast(days), "dt").select(F.col("series").alias("trial"), "pos", "ret")
+    return rounded(metrics.overfit_probability(r, HALVES), ["splits"], ["pbo"])
 
 
-@query()
+@query(f"""with {NAV}, ea as (select series, avg(ret) / nullif(stddev_samp(ret), 0) as sharpe, count(*) as n, sum(pow(ret - m, 3)) / count(*) / pow(sum(pow(ret - m, 2)) / count(*), 1.5) as skew, sum(pow(ret - m, 4)) / count(*) / pow(sum(pow(ret - m, 2)) / count(*), 2) as kurt
+from (select *, avg(ret) over (partition by series) as m from ret) group by series), tr as (select stddev_samp(sharpe) as sd, 1 - 1 / count(*)::double as p, 1 - 1 / (count(*) * exp(1)) as q from ea where sharpe is not null),
+b as (select sd * ((1 - 0.5772156649::double) * {ppf_sql('p')} + 0.5772156649::double * {ppf_sql('q')}) as best from tr), z as (select series, sharpe, best, (sharpe - best) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) as z from ea, b)
+select series, round(sharpe, 6) + 0.0 as sharpe, round(best, 6) + 0.0 as best, round({cdf_sql('z')}, 6) + 0.0 as dsr from z""")
 def dsr(spark, sf_dir):
     """The deflated Sharpe ratio of each series against all of them."""
     r = metrics.daily_returns(nav_series(spark, sf_dir), ["series"], CAPITAL)
-    rows = r.groupBy("series").agg((F.avg("ret") / F.stddev_samp("ret")).alias("s"), F.count("*").alias("n"), F.skewness("ret").alias("k"), F.kurtosis("ret").alias("q")).collect()
-    trials = [x["s"] for x in rows]
-    return spark.createDataFrame([(x["series"], metrics.deflated_sharpe(x["s"], x["n"], x["k"], x["q"] + 3, trials)) for x in rows], "series string, dsr double")
+    return rounded(metrics.deflated(r, ["series"]), ["series"], ["sharpe", "best", "dsr"])
+
+
+@query(f"""with z as (select c_custkey, c_acctbal / 2500 - 1.5 as z, (c_acctbal + 1000) / 11000 as p from customer) select c_custkey, round({cdf_sql('z')}, 9) + 0.0 as cdf, round({ppf_sql('p')}, 9) + 0.0 as ppf from z""")
+def normal_columns(spark, sf_dir):
+    df = src.read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 2500 - 1.5).alias("z"), ((F.col("c_acctbal") + 1000) / 11000).alias("p"))
+    return df.select("c_custkey", *[(F.round(x, 9) + F.lit(0.0)).alias(n) for n, x in (("cdf", cdf("z")), ("ppf", ppf("p")))])
+
+
+@query(f"""with {NAV}, d as (select a.dt, a.ret - b.ret as d, (row_number() over (order by a.dt) - 1) // 20 as block from ret a join ret b using (dt) where a.series = 'ASIA' and b.series = 'AFRICA'),
+bl as (select block, avg(d) as total, 1 as n from d group by block having count(*) = 20), ow as (select *, row_number() over (order by block) - 1 as i, count(*) over () as k from bl),
+pl as (select draw, {sql_drawn('i', 'k')} as i from ow, (select unnest(range(1000)) as draw)), me as (select draw, sum(total) / sum(n) as mean from pl join ow using (i) group by draw)
+select case when (select count(*) from bl) >= 2 then round(quantile_cont(mean, 0.025), 6) + 0.0 end as low, case when (select count(*) from bl) >= 2 then round(quantile_cont(mean, 0.975), 6) + 0.0 end as high from me""")
+def difference_ci(spark, sf_dir):
+    r = metrics.daily_returns(nav_series(spark, sf_dir), ["series"], CAPITAL)
+    return rounded(selection.difference_ci(r.where("series = 'ASIA'"), r.where("series = 'AFRICA'")), [], ["low", "high"])
 
 
 @query()
