@@ -30,6 +30,9 @@ ONE_EDIT, TWO_EDITS = 4, 9
 #: Labelled rows, by a hash threshold, that the weights of the features are fitted on.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
+#: Bits of the broadcast map of labelled ids, 8 MB.
+BITS = 1 << 26
+NOT_LETTERS = r"[^\p{L}\p{M}]+"
 #: Words before a term in which a reporting word makes it a quotation, and what a quoted or reported term still weighs.
 WINDOW, QUOTED, REPORTED = 5, 0.25, 0.5
 #: Words that report speech or name a word, words that address the reader, paired quotation marks.
@@ -216,17 +219,28 @@ def measures(text: str | None, lexicon: Lexicon) -> tuple[list[float], int, int]
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of documents with a label; of several labels of a document the largest counts."""
+    """text, toxic of documents with a label; of several labels of a document the largest counts.
+
+    Only documents whose hashed id is marked in a bitmap of BITS bits are joined, so that few texts without a label are shuffled.
+    """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)) + 1
+    bits = marks.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    bits = bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))  # BITS / 8 bytes in all
+    rows = docs.select("doc_id", "text", F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).join(F.broadcast(bits), "bucket")
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bit div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    rows = rows.where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(1) == 1)
+    return rows.select("doc_id", "text").hint("merge").join(marks, "doc_id").select("text", "toxic")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
     """word, n1, n0: toxic and other texts with a word. Near copies, told by two equal min-hashes of their words, are one text."""
-    words = rows.where("text is not null").select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("words")).where("size(words) > 0")
-    low = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in (1, 2)]
-    one = words.withColumn("g", F.xxhash64(*low)).groupBy("g").agg(F.min_by("words", F.xxhash64("words")).alias("words"), F.max("toxic").alias("toxic"))
-    return one.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+    words = rows.where("text is not null").select("toxic", F.array_distinct(F.split(F.lower("text"), NOT_LETTERS)).alias("words"))
+    words = words.select("toxic", F.array_remove("words", "").alias("words")).where("size(words) > 0")
+    low = [F.array_min(F.transform("words", fn)) for fn in (lambda w: F.xxhash64(w), lambda w: F.xxhash64(w, F.lit(1)))]
+    packed = words.select("toxic", F.xxhash64(*low).alias("g"), F.array_join("words", " ").alias("words"))
+    one = packed.groupBy("g").agg(F.min_by("words", F.xxhash64("words")).alias("words"), F.max("toxic").alias("toxic"))
+    return one.select("toxic", F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
 
 
 def _odds(n1: float, n0: float, all1: int, all0: int) -> float:
