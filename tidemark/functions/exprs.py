@@ -28,6 +28,11 @@ def div(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def corr(a: str, b: str) -> Column:
+    """Their correlation over a group's rows, of which both have values; null where one of them doesn't vary (the built-in divides by zero)."""
+    return div(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def lag(x: str | Column, n: int = 1) -> Column:
     return F.lag(x, n).over(by_code())
 

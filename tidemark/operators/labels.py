@@ -55,6 +55,12 @@ def boundaries(rows: DataFrame, known: Column, calendar: DataFrame, holdout, hor
     return start.crossJoin(dev)  # one row each
 
 
+def holdout_start(calendar: DataFrame, months: int) -> DataFrame:
+    """One row, holdout_start: the first calendar day from so many months before the last one on; null for an empty calendar."""
+    last = calendar.agg(F.add_months(F.max("dt"), -months).alias("__from"))
+    return calendar.join(F.broadcast(last), F.col("dt") >= F.col("__from")).agg(F.min("dt").alias("holdout_start"))
+
+
 def inner_split(df: DataFrame, horizon: int, share: float = 0.8) -> DataFrame:
     """df with part: valid from the day on before which the share of all days lies, train up to horizon + 2 days before it (at least
     the first day), null for the days between."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,3 +47,29 @@ def unpriced_share(rows: DataFrame, priced: DataFrame) -> DataFrame:
     """year, share: of the days on which codes are members (dt, code, member), the share that falls on codes that priced lacks."""
     df = rows.where("member").join(priced.select("code").distinct().withColumn("__has", F.lit(True)), "code", "left")
     return df.groupBy(F.year("dt").alias("year")).agg(F.avg(F.col("__has").isNull().cast("double")).alias("share"))
+
+
+def outsiders(chosen: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows (code, dt, ...) chosen on days on which their code was no member: none for a choice that knows only its own day."""
+    return members_at(chosen, spans).where("not member").drop("member")
+
+
+def two_views(rows: DataFrame, spans: DataFrame, members: DataFrame, plan: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """keys, side: one plan over rows with membership as it stood (member by spans) and with today's members on all days, joined by keys.
+
+    plan takes rows with member and returns rows with unique keys. side is both, then (only as it stood) or now (only with today's
+    members: what a universe of survivors lets in). Keys may be null.
+    """
+    then = plan(members_at(rows, spans)).select(*keys, F.lit(1).alias("__then"))
+    today = members.select("code").distinct().withColumn("__m", F.lit(True))
+    now = plan(rows.join(today, "code", "left").withColumn("member", F.coalesce("__m", F.lit(False))).drop("__m")).select(*keys, F.lit(1).alias("__now"))
+    grouped = then.withColumn("__now", F.lit(0)).unionByName(now.withColumn("__then", F.lit(0))).groupBy(*keys).agg(F.max("__then").alias("a"), F.max("__now").alias("b"))
+    return grouped.select(*keys, F.when(F.col("a") + F.col("b") == 2, "both").when(F.col("a") == 1, "then").otherwise("now").alias("side"))
+
+
+def leak_summary(sides: DataFrame, outcomes: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """view, n, mean of an outcome by key under membership as it stood (then) and under today's (now), and n_only, the rows that only
+    this view has."""
+    df = sides.join(outcomes.select(*keys, F.col(value).alias("__y")), keys, "left")
+    df = df.select("side", "__y", F.explode(F.when(F.col("side") == "both", F.array(F.lit("then"), F.lit("now"))).otherwise(F.array("side"))).alias("view"))
+    return df.groupBy("view").agg(F.count("*").alias("n"), F.count_if(F.col("side") != "both").alias("n_only"), F.avg("__y").alias("mean"))

@@ -141,6 +141,51 @@ def universe(df: DataFrame, min_adv: float, min_close: float, min_days: int) ->
     return df.withColumn("failed", failed).withColumn("in_univ", F.col("failed").isNull())
 
 
+def index_universe(df: DataFrame, min_adv: float, min_close: float, min_days: int) -> DataFrame:
+    """universe for rows with member: in_univ needs membership too; failed is `member` for others, else the first condition missed.
+    young marks members listed for too few days, whatever else they miss."""
+    df = universe(df, min_adv, min_close, min_days)
+    member = F.coalesce("member", F.lit(False))
+    failed = F.when(~member, "member").otherwise(F.col("failed"))
+    young = member & ~F.coalesce(F.col("listed_days") >= min_days, F.lit(False))
+    return df.withColumns({"failed": failed, "young": young}).withColumn("in_univ", F.col("failed").isNull())
+
+
+def universe_counts(df: DataFrame) -> DataFrame:
+    """member_rows, not_tradable, adv, close, listed, in_univ of index_universe's rows, each row counted at the first condition it
+    misses, and young_codes, the codes that ever are members too young."""
+    at = lambda name: F.count_if(F.col("failed") == name)
+    return df.agg(
+        F.count_if(F.coalesce(F.col("failed") != "member", F.lit(True))).alias("member_rows"), at("tradable").alias("not_tradable"), at("adv").alias("adv"), at("close").alias("close"), at("listed").alias("listed"),
+        F.count_if("in_univ").alias("in_univ"), F.count_distinct(F.when(F.col("young"), F.col("code"))).alias("young_codes"),
+    )
+
+
+def index_tradable(df: DataFrame, prefix: str = "IDX_") -> DataFrame:
+    """aligned rows with tradable set for index codes, which have closes only: on days with a close of their own (own_close)."""
+    index = F.col("code").startswith(prefix)
+    return df.withColumn("tradable", F.when(index, F.col("own_close").isNotNull()).otherwise(F.col("tradable")))
+
+
+def filled(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with out: the column's next value of the code where it is null, behind the last one the one before."""
+    after = F.first(column, ignorenulls=True).over(by_code().rowsBetween(0, Window.unboundedFollowing))
+    before = F.last(column, ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(out, F.coalesce(after, before))
+
+
+def add_business_days(df: DataFrame, calendar: DataFrame, n: int, column: str = "dt", out: str = "then") -> DataFrame:
+    """df with out: the day n places behind the column's in the calendar (dt, pos), from a day off on counted from the one before it
+    (n > 0) or behind it (n < 0); null beyond the calendar's ends. The calendar has a row for each day."""
+    days = calendar.select(F.col("dt").alias("__d"), F.col("pos").cast("long").alias("__p"))
+    spans = days.withColumn("__next", F.lead("__d").over(Window.orderBy("__d")))
+    every = spans.select("__d", "__p", F.explode(F.when(F.col("__next").isNull(), F.array("__d")).otherwise(F.sequence("__d", F.date_sub("__next", 1)))).alias("__day"))
+    back = F.lit(1 if n < 0 else 0) * (F.col("__day") != F.col("__d")).cast("long")
+    place = F.broadcast(every.select("__day", (F.col("__p") + back + n).alias("__to")))
+    target = F.broadcast(days.select(F.col("__d").alias(out), F.col("__p").alias("__to")))
+    return df.join(place, df[column] == place["__day"], "left").join(target, "__to", "left").drop("__day", "__to")
+
+
 def quality(bars: DataFrame, calendar: DataFrame, holdout=None) -> DataFrame:
     """check, rows: how many bars fail each of ten checks; with a holdout date also rows_before, those before it."""
     df = bars.join(F.broadcast(calendar.select("dt", F.lit(True).alias("__on"))), "dt", "left")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import div, pct_rank
+from ..functions.exprs import corr, div, pct_rank
 from .panel import slippage
 
 
@@ -17,7 +19,7 @@ def daily_ic(df: DataFrame, features: list[str], label: str, least: int = 30) ->
     long = df.select("dt", F.col(label).alias("y"), F.expr(f"stack({len(features)}, {', '.join(f"'{f}', {f}" for f in features)}) as (feature, x)")).where("x is not null and y is not null")
     by = ["dt", "feature"]
     ranked = long.select(*by, pct_rank("x", by).alias("rx"), pct_rank("y", by).alias("ry"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("ic")).where(f"n >= {least}")
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), corr("rx", "ry").alias("ic")).where(f"n >= {least}")
 
 
 def newey_west(daily: DataFrame, value: str, lags: int, by: list[str]) -> DataFrame:
@@ -51,11 +53,47 @@ def adopted(summary: DataFrame, least_agree: float = 0.6, least_t: float = 2.0)
     return summary.where(adoption(least_agree, least_t)).orderBy(F.abs("ir").desc(), "feature")
 
 
+def hashed(keys: list[str], seed: int = 42) -> Column:
+    """A number below 2^60 for a row's keys, by a hash that other engines have too; nulls are empty."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def pooled_sample(df: DataFrame, keys: list[str], size: int = 200_000, seed: int = 42) -> DataFrame:
+    """About `size` rows, all if there are no more: those whose hash is below a threshold, whatever the partitioning."""
+    n = df.count()
+    return df if n <= size else df.where(hashed(keys, seed) < int(size / n * (1 << 60)))
+
+
 def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:
-    """a, b, r for each pair of columns, over rows with both, in one aggregation."""
-    pairs = list(combinations(cols, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(F.expr(f"stack({len(pairs)}, {', '.join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))}) as (a, b, r)"))
+    """a, b, r for each pair of columns in order, over rows with both; null where one of them doesn't vary.
+
+    One pass: a task multiplies its rows' values and marks of presence as matrices and hands on one row of sums a pair. Values are
+    shifted by their column's mean first, so that sums of squares lose no digits.
+    """
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    shifted = df.select(*[(F.col(c).cast("double") - (means[i] or 0.0)).alias(f"x{i}") for i, c in enumerate(cols)])
+    upper = np.triu_indices(len(cols), 1)
+
+    def products(batches):
+        total = None
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns])
+            there = np.isfinite(x).astype(float)
+            x = np.where(there > 0, x, 0.0)
+            part = np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            n, s, q, p = total
+            parts = [n[upper], s[upper], s.T[upper], q[upper], q.T[upper], p[upper]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(i.astype(np.int32)) for i in upper), *map(pa.array, parts)], ["i", "j", "n", "sa", "sb", "qa", "qb", "p"])
+
+    names = ["n", "sa", "sb", "qa", "qb", "p"]
+    sums = shifted.mapInArrow(products, "i int, j int, " + ", ".join(f"{c} double" for c in names)).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    n, sa, sb, qa, qb, p = (F.col(c) for c in names)
+    va, vb = n * qa - sa * sa, n * qb - sb * sb
+    name = F.array(*[F.lit(c) for c in cols])
+    return sums.select(F.get(name, F.col("i")).alias("a"), F.get(name, F.col("j")).alias("b"), F.when((va > 0) & (vb > 0), (n * p - sa * sb) / F.sqrt(va) / F.sqrt(vb)).alias("r"))
 
 
 def prune(names: list[str], corr: dict[tuple[str, str], float], most: float = 0.9) -> list[str]:
@@ -67,6 +105,16 @@ def prune(names: list[str], corr: dict[tuple[str, str], float], most: float = 0.
     return kept
 
 
+def pruned(summary: DataFrame, pairs: DataFrame, most: float = 0.9) -> DataFrame:
+    """feature, ir, place, kept of a summary (feature, ir) in order of |ir|, then of name; pairs as pairwise_corr gives them.
+
+    Both tables grow with the features, not with the rows.
+    """
+    order = [(r["feature"], r["ir"]) for r in summary.where("ir is not null").orderBy(F.desc(F.abs("ir")), "feature").collect()]
+    kept = set(prune([f for f, _ in order], {(r["a"], r["b"]): r["r"] for r in pairs.collect()}, most))
+    return summary.sparkSession.createDataFrame([(f, ir, i, f in kept) for i, (f, ir) in enumerate(order, 1)], "feature string, ir double, place long, kept boolean")
+
+
 def quantile_spread(df: DataFrame, rank: str, label: str, share: float = 0.1) -> DataFrame:
     """top, bottom, spread: means over days of the label's mean among the highest and lowest shares by rank."""
     per = df.groupBy("dt").agg(F.avg(F.when(F.col(rank) > 1 - share, F.col(label))).alias("hi"), F.avg(F.when(F.col(rank) <= share, F.col(label))).alias("lo"))
@@ -80,8 +128,9 @@ def score_mean(cols: list[str], signs: dict[str, float] | None = None) -> Column
     return sum((F.coalesce(x.cast("double"), F.lit(0.0)) for x in xs), F.lit(0.0)) / F.nullif(n, F.lit(0))
 
 
-def rule_scores(df: DataFrame, ranks: list[str], label: str, shares=(0.1, 0.2, 0.3), sizes=(1, 2, 3), least: int = 1000) -> DataFrame:
-    """rule, share, n, value for each set of features: rows where all are in the top share, and the mean of their daily mean label.
+def rule_scores(df: DataFrame, ranks: list[str], label: str, shares=(0.1, 0.2, 0.3), sizes=(1, 2, 3), least: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
+    """rule, share, n, value for each set of features: rows where all are in the top share, and the mean of their daily mean label;
+    with `by`, for each of its groups.
 
     A row is exploded once for each rule it meets, so that one aggregation serves all rules.
     """
@@ -92,9 +141,29 @@ def rule_scores(df: DataFrame, ranks: list[str], label: str, shares=(0.1, 0.2, 0
         for x in c:
             cond = cond & F.coalesce(F.col(x) > 1 - q, F.lit(False))
         met.append(F.when(cond, F.struct(F.lit("+".join(c)).alias("rule"), F.lit(q).alias("share"))))
-    rows = df.where(F.col(label).isNotNull()).select("dt", F.col(label).alias("y"), F.explode(F.array_compact(F.array(*met))).alias("r")).select("dt", "y", "r.*")
-    per = rows.groupBy("rule", "share", "dt").agg(F.avg("y").alias("m"), F.count("*").alias("k"))
-    return per.groupBy("rule", "share").agg(F.sum("k").alias("n"), F.avg("m").alias("value")).where(f"n >= {least}")
+    rows = df.where(F.col(label).isNotNull()).select(*by, "dt", F.col(label).alias("y"), F.explode(F.array_compact(F.array(*met))).alias("r")).select(*by, "dt", "y", "r.*")
+    per = rows.groupBy(*by, "rule", "share", "dt").agg(F.avg("y").alias("m"), F.count("*").alias("k"))
+    return per.groupBy(*by, "rule", "share").agg(F.sum("k").alias("n"), F.avg("m").alias("value")).where(f"n >= {least}")
+
+
+def best_rules(df: DataFrame, folds: DataFrame, ranks: list[str], label: str, shares=(0.1, 0.2, 0.3), sizes=(1, 2, 3), least: int = 1000) -> DataFrame:
+    """fold, rule, share, n, value: the rule that is best on the rows up to the fold's train_end, of equal ones the shortest, then the
+    first by name and share. A fold on whose rows no rule has `least` rows has none."""
+    known = F.broadcast(folds.select("fold", "train_end"))  # a row for each fold
+    scored = rule_scores(df.join(known, df["dt"] <= known["train_end"]), ranks, label, shares, sizes, least, by=("fold",))
+    size = F.size(F.split("rule", r"\+"))
+    order = Window.partitionBy("fold").orderBy(F.desc(F.round("value", 12)), size, "rule", "share")
+    return scored.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+
+
+def apply_rules(df: DataFrame, rules: DataFrame, ranks: list[str]) -> DataFrame:
+    """df (with fold) and score: the mean of the ranks that the fold's rule names where all are in its top share, else null."""
+    named = F.split("rule", r"\+")
+    inside = F.filter(F.array(*[F.when(F.array_contains(named, r), F.struct(F.lit(r).alias("name"), F.col(r).cast("double").alias("x"))) for r in ranks]), lambda s: s.isNotNull())
+    df = df.join(F.broadcast(rules.select("fold", "rule", "share")), "fold", "left").withColumn("__in", inside)
+    fits = F.forall("__in", lambda s: F.coalesce(s["x"] > 1 - F.col("share"), F.lit(False)))
+    mean = F.aggregate("__in", F.lit(0.0), lambda a, s: a + s["x"]) / F.size("__in")
+    return df.withColumn("score", F.when(F.col("rule").isNotNull() & fits, mean)).drop("__in", "rule", "share")
 
 
 def ensemble(scores: DataFrame, least: int = 2) -> DataFrame:
@@ -165,3 +234,31 @@ def calibrated(df: DataFrame, pred: str, actual: str, bins: int = 10, within: fl
     """worst, ok: the largest difference of a bin's mean prediction and its frequency over rows with both; ok is null without rows."""
     table = calibration(df.where(F.col(actual).isNotNull()), pred, actual, bins)
     return table.agg(F.max(F.abs(F.col("mean_pred") - F.col("mean_actual"))).alias("worst")).withColumn("ok", F.col("worst") <= within)
+
+
+def percentile_of(values: DataFrame, distribution: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """values with percentile: the share, in hundredths, of its group's distribution that is below; null for a null value or an empty
+    distribution. Both are ordered together once, so no value meets every other."""
+    low = distribution.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"), F.lit(None).alias("__row"), F.lit(1).alias("__d"))
+    own = values.select(*by, F.col(value).alias("__v"), F.struct(*values.columns).alias("__row"), F.lit(0).alias("__d"))
+    both = own.unionByName(low.withColumn("__row", F.lit(None).cast(own.schema["__row"].dataType)))
+    w = Window.partitionBy(*by)
+    below = F.sum("__d").over(w.orderBy(F.col("__v").asc_nulls_first(), "__d").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"__b": below, "__n": F.sum("__d").over(w)}).where("__row is not null")
+    share = F.when(F.col("__v").isNotNull() & (F.col("__n") > 0), 100.0 * F.col("__b") / F.col("__n"))
+    return both.select("__row.*", share.alias("percentile"))
+
+
+def train_against_walk(train: DataFrame, walk: DataFrame, least: float = 0.5) -> DataFrame:
+    """median, walk, ratio, ok of Sharpe ratios by fold on their training days (fold, sharpe) and one row of the walk-forward's (sharpe):
+    ok where the ratio is at least `least` or the median isn't positive."""
+    m = train.agg(F.median("sharpe").alias("median"))
+    both = m.join(F.broadcast(walk.select(F.col("sharpe").alias("walk"))))  # one row each
+    ratio = F.when(F.col("median") > 0, F.col("walk") / F.col("median"))
+    return both.withColumn("ratio", ratio).withColumn("ok", F.coalesce((F.col("median") <= 0) | (F.col("ratio") >= least), F.lit(False)))
+
+
+def seed_spread(sharpes: DataFrame, most: float = 0.3) -> DataFrame:
+    """cv, ok of one Sharpe ratio a seed: their deviation over their mean's size; a mean of zero isn't ok."""
+    df = sharpes.agg(F.stddev_samp("sharpe").alias("s"), F.avg("sharpe").alias("m"))
+    return df.select(div(F.col("s"), F.abs("m")).alias("cv")).withColumn("ok", F.coalesce(F.col("cv") <= most, F.lit(False)))

@@ -75,10 +75,15 @@ def neighbours(grid: DataFrame, steps: dict[str, list]) -> DataFrame:
     return out.groupBy("id").agg(F.min("ratio").alias("worst"))
 
 
-def holdout_verdict(measures: DataFrame, wf_sharpe: float, min_cagr: float = 0.0, min_ratio: float = 0.4) -> DataFrame:
-    """measures (cagr, sharpe) with pass_cagr, pass_sharpe and passed; nulls fail."""
-    cagr, ratio = F.coalesce(F.col("cagr") > min_cagr, F.lit(False)), F.coalesce(F.col("sharpe") >= min_ratio * wf_sharpe, F.lit(False))
-    return measures.withColumns({"pass_cagr": cagr, "pass_sharpe": ratio, "passed": cagr & ratio})
+def holdout_verdict(measures: DataFrame, wf_sharpe: float, min_cagr: float = 0.0, min_ratio: float = 0.4, beats: tuple[str, ...] = ()) -> DataFrame:
+    """measures (cagr, sharpe) with pass_cagr, pass_sharpe and passed; nulls fail. Each column of beats holds a baseline's Sharpe ratio
+    over the same days, which has to be exceeded: pass_<column>."""
+    tests = {"pass_cagr": F.coalesce(F.col("cagr") > min_cagr, F.lit(False)), "pass_sharpe": F.coalesce(F.col("sharpe") >= min_ratio * wf_sharpe, F.lit(False))}
+    tests |= {f"pass_{c}": F.coalesce(F.col("sharpe") > F.col(c), F.lit(False)) for c in beats}
+    passed = F.lit(True)
+    for ok in tests.values():
+        passed = passed & ok
+    return measures.withColumns(tests | {"passed": passed})
 
 
 def ranking(today: DataFrame, slots: int, theta: float, hold: int, gmax: float | None, capital: float = 1e7, part: float = 0.01, lot: int = 100) -> DataFrame:
