@@ -134,3 +134,13 @@ def _folded(blocks: Column, name: str, a: float, least: int) -> Column:
 
 def ema_alpha(span: int) -> float:
     return 2.0 / (span + 1)
+
+
+#: A table row's cells of a code and a name, as pages of index members write them.
+CELLS = r"<td[^>]*>\s*([0-9][0-9A-Z]{3})\s*</td>\s*<td[^>]*>([\s\S]*?)</td>"
+
+
+def cell_pairs(html: str | Column, pattern: str = CELLS) -> Column:
+    """An array of (code, name) of the pattern's two groups in a page, tags taken out of the names; empty for none, null for null."""
+    part = lambda group: F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
+    return F.transform(F.arrays_zip(part(1).alias("code"), part(2).alias("name")), lambda p: F.struct(p["code"].alias("code"), F.trim(F.regexp_replace(p["name"], "<[^>]*>", "")).alias("name")))

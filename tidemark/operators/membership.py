@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _steps(events: DataFrame) -> DataFrame:
+    """dt, code, is_in (0 or 1): an event's out and in as rows of their own."""
+    step = lambda name, n: F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("code"), F.lit(n).alias("is_in")))
+    return events.select("dt", F.explode(F.array_compact(F.array(step("out_code", 0), step("in_code", 1)))).alias("s")).select("dt", "s.*")
+
+
 def intervals(events: DataFrame, members: DataFrame) -> DataFrame:
     """code, in_dt, out_dt from (dt, out_code, in_code) and today's members; half-open, null where open.
 
     Each code's ins and outs are paired in order of date, an out before an in on one day; an out that comes first opens at
     null, and a member without events has both ends open.
     """
-    outs = events.where("out_code is not null").select(F.col("out_code").alias("code"), "dt", F.lit(0).alias("is_in"))
-    ins = events.where("in_code is not null").select(F.col("in_code").alias("code"), "dt", F.lit(1).alias("is_in"))
     w = Window.partitionBy("code").orderBy("dt", "is_in")
-    steps = outs.union(ins).withColumns({"before": F.lag("is_in").over(w), "after": F.lead("dt").over(w)})
+    steps = _steps(events).withColumns({"before": F.lag("is_in").over(w), "after": F.lead("dt").over(w)})
     opened = steps.where("is_in = 1").select("code", F.col("dt").alias("in_dt"), F.col("after").alias("out_dt"))
     first = steps.where("is_in = 0 and before is null").select("code", F.lit(None).cast("date").alias("in_dt"), F.col("dt").alias("out_dt"))
     quiet = members.join(steps.select("code").distinct(), "code", "left_anti").select("code", F.lit(None).cast("date").alias("in_dt"), F.lit(None).cast("date").alias("out_dt"))
@@ -27,10 +31,8 @@ def intervals(events: DataFrame, members: DataFrame) -> DataFrame:
 
 def inconsistent(events: DataFrame, members: DataFrame) -> DataFrame:
     """code, why: ins that follow ins, outs that follow outs, and codes whose last event disagrees with today's members."""
-    outs = events.where("out_code is not null").select(F.col("out_code").alias("code"), "dt", F.lit(0).alias("is_in"))
-    ins = events.where("in_code is not null").select(F.col("in_code").alias("code"), "dt", F.lit(1).alias("is_in"))
     w = Window.partitionBy("code").orderBy("dt", "is_in")
-    steps = outs.union(ins).withColumns({"before": F.lag("is_in").over(w), "after": F.lead("is_in").over(w)})
+    steps = _steps(events).withColumns({"before": F.lag("is_in").over(w), "after": F.lead("is_in").over(w)})
     twice = steps.where("is_in = before").select("code", F.lit("same event twice").alias("why"))
     last = steps.where("after is null").join(members.withColumn("now", F.lit(1)), "code", "left")
     return twice.union(last.where(F.col("is_in") != F.coalesce("now", F.lit(0))).select("code", F.lit("last event disagrees with members").alias("why"))).distinct()

@@ -26,7 +26,7 @@ def query(fn):
 
 def _training(spark, sf_dir) -> tuple[DataFrame, list]:
     """The rows of all weeks, and every walk-forward fold that has training days."""
-    df = models.prepared(week(spark, sf_dir), RANKS).withColumn("up", (F.col("y") > 0.008).cast("double")).select("dt", "code", "x", "y", "up").cache()
+    df = stores.staged(models.prepared(week(spark, sf_dir), RANKS).withColumn("up", (F.col("y") > 0.008).cast("double")).select("dt", "code", "x", "y", "up"))
     folds = [r.asDict() for r in _folds(spark, sf_dir)[0].where("train_end is not null").orderBy("fold").collect()]
     return df, folds
 
