@@ -58,7 +58,7 @@ class WordIds:
     def _piece(self, piece: str) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
             tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
             if len(self.pieces) < CACHE:
                 self.pieces[piece] = ids
         return ids
