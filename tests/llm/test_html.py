@@ -104,3 +104,40 @@ def test_empty_table_repeats_and_other_columns(spark):
     got = sorted((r.main, r.text or "", r.n_chars or "") for r in df.collect())
     assert got == [("", "", ""), (T, "x", "y"), (T, "x", "y")]
     assert df.where("false").count() == 0
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "div class='layout has-sidebar'", "div id='page' class='no-sidebar'", "div class='article ad-free'", "div class='post comment-count-3'", "div class='recipe cookies'", "div class='hidden-gems'",
+        "form action='/page.aspx'", "div class='content-with-menu'", "section class='widget'", "div class='nav-layout'", "div id='footer-wrap'",
+    ],
+)
+@pytest.mark.parametrize("inner", ["{p}{p}", "<article>{p}{p}</article>", "<div class='has-menu'><div>{p}{p}</div></div>"])
+def test_no_name_drops_the_only_text(wrapper, inner):
+    page = f"<body><div class=ad>buy</div><{wrapper}>{inner.format(p=P)}<div class=sidebar>{P}</div></{wrapper.split()[0]}><div id=comments>{P * 5}</div></body>"
+    assert html.main_text(page) == f"{T} {T}"
+
+
+def test_readers_comments_alone_are_no_article():
+    assert html.main_text(f"<body><h1>Head</h1><div id=comments>{P * 5}</div></body>") in ("", "Head")
+    assert html.main_text(f"<body><div class=ad>{P}</div><div>{P}{P}</div></body>") == f"{T} {T}"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div id=w><div>{P * 4}</div><h3>Sub</h3><p>Tiny.</p><ul><li>One</li><li>two</li></ul></div>", " ".join([T] * 4) + " Sub Tiny. One two"),
+        (f"<div id=w><div>{P * 4}</div><div><p>Short end.</p></div><div><a href=/>more</a></div></div>", " ".join([T] * 4) + " Short end."),
+        (f"<article><header><div><h1>Head</h1><p>by me</p></div></header>{P}</article>", f"Head {T}"),
+        (f"<article><header><nav><h1>Menu</h1></nav></header>{P}</article>", T),
+        (f"<header><h1>Site</h1></header><article>{P}</article>", T),
+    ],
+)
+def test_tails_and_titles_are_kept(page, want):
+    assert html.main_text(page) == want
+
+
+def test_deep_marked_wrappers_stay_linear():
+    page = "<div class='has-menu'>" * 20_000 + P + "</div>" * 20_000
+    assert html.main_text(page) == T

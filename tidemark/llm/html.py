@@ -16,8 +16,8 @@ LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>?")
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript iframe noembed noframes xmp template textarea title select".split())
-#: Elements that never hold an article's text.
-DROP = set("nav header footer aside form script style noscript template iframe object embed svg canvas button select option input textarea label fieldset dialog menu head title audio video map noembed noframes xmp".split())
+#: Elements that never hold an article's text. A form may be round the whole page.
+DROP = set("nav header footer aside script style noscript template iframe object embed svg canvas button select option input textarea label fieldset dialog menu head title audio video map noembed noframes xmp".split())
 BLOCK = set("address article aside blockquote body br caption center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Starting one of these closes an open p.
 ENDS_P = BLOCK - {"br", "caption", "html", "body", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "legend"}
@@ -26,7 +26,9 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id that mark what is not article.
 NOISE = set("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored cookie cookies consent gdpr comment comments disqus respond replies reply sidebar menu nav navbar navigation breadcrumb breadcrumbs footer related recommended recommendations newsletter subscribe subscription signup login popup modal overlay paywall pagination pager masthead topbar guestbook teaser teasers outbrain taboola".split())
-#: Words that mark it unless a whole name is a word of CONTENT, or nothing else is left of the page.
+#: Words of what readers write; an element whose whole name is one is never taken.
+READERS = set("comment comments disqus respond replies reply guestbook responses".split())
+#: Words that mark it unless a whole name is a word of CONTENT.
 DOUBTFUL = set("promo promotion share sharing social discussion feedback reviews responses trending".split())
 #: Beginnings and ends of such words.
 NOISE_START = ("comment", "cookie", "advert", "sponsor", "navbar", "navig", "sidebar", "breadcrumb", "newsletter", "footer", "disqus")
@@ -43,46 +45,104 @@ PARTS = {"blockquote", "dl", "figure", "ol", "table", "tbody", "tr", "ul"}
 CONTAINERS = {"div", "section", "article", "main", "body", "td", "html", "center", "blockquote", "figure", "details", "dl", "ul", "ol", "table", "tbody", "tr"}
 
 
+#: Text outside what names drop that is at least this share of the text inside keeps it dropped.
+ENOUGH = 0.1
+
+
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "points", "chars", "link_chars", "commas")
+    __slots__ = ("tag", "parent", "items", "drop", "doubt", "points", "chars", "link_chars", "commas")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool) -> None:
-        self.tag, self.parent, self.drop, self.items = tag, parent, drop, []
+    def __init__(self, tag: str, parent: Node | None, drop: bool, doubt: int | None = None) -> None:
+        self.tag, self.parent, self.drop, self.doubt, self.items = tag, parent, drop, doubt, []
         self.points, self.chars, self.link_chars, self.commas = 0.0, 0, 0, 0
 
 
-def _noise(tag: str, attrs: str, doubtful: bool) -> bool:
-    """Whether an element is dropped by its tag, attributes or names; by names that prove little only if doubtful is set."""
+SURE, EXACT, PART, WEAKLY = 3, 2, 1, 0
+
+
+def _noise(tag: str, attrs: str) -> int | None:
+    """How surely an element isn't article: SURE by its tag, attributes or a whole name of READERS, EXACT by another whole name, PART by
+    a part of one, WEAKLY by a name that proves little, by a name beside a word of CONTENT or as a form; None if nothing says so."""
     if tag in DROP:
-        return True
+        return SURE
+    form = WEAKLY if tag == "form" else None
     if not attrs or tag in KEEP:
-        return False
+        return form
     low = attrs.lower()
     if not any(w in low for w in ("class", "id", "role", "hidden", "style")):
-        return False
+        return form
     words: set[str] = set()
     names: set[str] = set()
     for name, *values in ATTR.findall(low):
         value = unescape("".join(values))
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True
+            return SURE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return SURE
         if name in ("class", "id"):
             words.update(re.split(r"[^a-z]+", value))
             names.update(value.split())
     if words & NOISE or any(w.startswith(NOISE_START) or w.endswith(NOISE_END) for w in words):
-        return True
-    if doubtful and not names & CONTENT and (words & DOUBTFUL or any(w.startswith(DOUBTFUL_START) for w in words)):
-        return True
-    return bool(words & WEAK and not words & CONTENT)
+        if names & CONTENT:
+            return WEAKLY
+        return SURE if names & READERS else EXACT if names & NOISE else PART
+    if not names & CONTENT and (words & DOUBTFUL or any(w.startswith(DOUBTFUL_START) for w in words)):
+        return WEAKLY
+    return WEAKLY if words & WEAK and not words & CONTENT else form
+
 
+def _judge(root: Node) -> None:
+    """Drops what names and forms mark, but not where the page would lose its only text.
 
-def tree(html: str, doubtful: bool = True) -> Node:
-    """A tolerant tree of the page: unclosed and stray tags, raw-text elements, comments."""
+    While the text outside is less than ENOUGH of what a marked element holds, the element least surely marked of those with the
+    most text is kept, and what is marked inside it is judged in turn. A page with an article or a main element outside
+    them loses all. Each element is walked over twice at most.
+    """
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [c for c in x.items if isinstance(c, Node) and not c.drop]
+    inside: dict[int, int] = {}
+    for x in reversed(order):
+        own = 0 if x.tag in HEADINGS else sum(len(c.strip()) for c in x.items if isinstance(c, str))
+        inside[id(x)] = 0 if x.tag == "a" else own + sum(inside[id(c)] for c in x.items if isinstance(c, Node) and not c.drop)
+    waiting: list[Node] = []
+    kept, article, todo = 0, False, [root]
+
+    def spread() -> None:
+        nonlocal kept, article
+        while todo:
+            x = todo.pop()
+            article |= x.tag in ("article", "main")
+            if x.tag not in HEADINGS:
+                kept += sum(len(c.strip()) for c in x.items if isinstance(c, str))
+            for c in x.items:
+                if isinstance(c, Node) and not c.drop and c.tag != "a":
+                    (todo if c.doubt is None else waiting).append(c)
+
+    spread()
+    while waiting and not article:
+        most = max(inside[id(x)] for x in waiting)
+        x = min((x for x in waiting if 2 * inside[id(x)] >= most), key=lambda x: (x.doubt, -inside[id(x)]))
+        if kept >= ENOUGH * inside[id(x)]:
+            break
+        waiting.remove(x)
+        x.doubt = None
+        todo = [x]
+        spread()
+        article = False
+    for x in order:
+        if x.doubt is not None:
+            x.drop = True
+
+
+def tree(html: str) -> Node:
+    """A tolerant tree of the page: unclosed and stray tags, raw-text elements, comments. An h1 in an article's header stands in its place."""
     root = Node("html", None, False)
     at, pos, n = root, 0, len(html)
     depth: Counter[str] = Counter()  # open elements of each kind
+    titles: list[tuple[Node, Node]] = []
 
     def close_to(node: Node) -> None:
         nonlocal at
@@ -146,7 +206,11 @@ def tree(html: str, doubtful: bool = True) -> Node:
             close_to(x)
         if tag == "body" and depth["head"] and (x := nearest({"head"}, set())):
             close_to(x)
-        node = Node(tag, at, at.drop or _noise(tag, attrs, doubtful))
+        sure = _noise(tag, attrs)
+        node = Node(tag, at, at.drop or sure == SURE, None if sure == SURE else sure)
+        if tag == "h1" and at.drop and depth["header"] and depth["article"] and (head := _article_header(at)):
+            node.drop = False
+            titles.append((head, node))
         at.items.append(node)
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
@@ -157,9 +221,29 @@ def tree(html: str, doubtful: bool = True) -> Node:
             continue
         at = node
         depth[tag] += 1
+    for head, title in titles:
+        at = head.parent.items
+        at.insert(next(i for i, x in enumerate(at) if x is head), title)
+        title.parent.items.remove(title)
+        title.parent = head.parent
+    _judge(root)
     return root
 
 
+def _article_header(node: Node) -> Node | None:
+    """The header above node that stands in an article, dropped for being a header only."""
+    head = None
+    while node.parent:
+        if node.tag == "header":
+            head = node
+        elif node.tag == "article":
+            return head if head and not node.drop and not head.parent.drop else None
+        elif node.tag in DROP:
+            return None
+        node = node.parent
+    return None
+
+
 def _walk(node: Node) -> list[Node]:
     """The kept nodes under node, parents first."""
     out, todo = [], [node]
@@ -220,6 +304,13 @@ def best_nodes(root: Node) -> list[Node | str]:
     if best.parent is None:
         return [best]
     least = max(10.0, 0.2 * score[id(best)])
+    behind: set[int] = set()  # the blocks that follow the best container inside a container of the page
+    if best.tag != "article" and best.parent.tag not in ("body", "html"):
+        after = False
+        for s in best.parent.items:
+            after |= s is best
+            if after and isinstance(s, Node):
+                behind.add(id(s))
 
     def belongs(s: Node) -> bool:
         if s is best:
@@ -230,6 +321,8 @@ def best_nodes(root: Node) -> list[Node | str]:
             return s.tag == "article" and density(s) < 0.3 and s.points > 0
         if s.tag in CONTAINERS and score[id(s)] >= least:
             return True
+        if id(s) in behind and s.chars and density(s) < 0.3:
+            return True
         return s.tag == "p" and density(s) < 0.25 and (s.chars > 80 or s.commas > 0)
 
     return [s for s in best.parent.items if isinstance(s, Node) and not s.drop and belongs(s)]
@@ -261,14 +354,8 @@ def text_of(nodes: list[Node | str]) -> str:
 
 
 def main_text(html: str) -> str:
-    """The page's main text; empty for an empty page. On a page without text or an article otherwise, names that prove little are passed over."""
-    if not html:
-        return ""
-    root = tree(html)
-    text = text_of(best_nodes(root))
-    if text or any(x.tag in ("article", "main") for x in _walk(root)):
-        return text
-    return text_of(best_nodes(tree(html, doubtful=False)))
+    """The page's main text; empty for an empty page."""
+    return text_of(best_nodes(tree(html))) if html else ""
 
 
 def extract(html: Column) -> Column:
