@@ -115,7 +115,7 @@ def node_of(splits: list[tuple[int, int, int]], bins: str) -> Column:
 
 
 def _split(rows: DataFrame, penalty: float, least: int) -> list:
-    """For each node the split of the best gain, if any gains: node, f, b. Histograms have a row for each node, feature and bin."""
+    """For each node the split of the best gain, if any gains: node, f, b and the values left and right of it. Histograms have a row for each node, feature and bin."""
     sums = rows.select("node", "g", "h", F.posexplode("b").alias("f", "b")).groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
     upto = Window.partitionBy("node", "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("node", "f")
@@ -126,7 +126,8 @@ def _split(rows: DataFrame, penalty: float, least: int) -> list:
     g, h, ga, ha = (F.col(c) for c in ("g_left", "h_left", "g_all", "h_all"))
     gain = F.round(part(g, h) + part(ga - g, ha - h) - part(ga, ha), 9)
     sums = sums.where((F.col("n_left") >= least) & (F.col("n_all") - F.col("n_left") >= least)).withColumn("gain", gain).where("gain > 0")
-    return sums.groupBy("node").agg(F.min_by(F.struct("f", "b"), F.struct(-F.col("gain"), "f", "b")).alias("s")).select("node", "s.*").collect()
+    found = F.struct("f", "b", (g / (h + penalty)).alias("left"), ((ga - g) / (ha - h + penalty)).alias("right"))
+    return sums.groupBy("node").agg(F.min_by(found, F.struct(-F.col("gain"), "f", "b")).alias("s")).select("node", "s.*").collect()
 
 
 def fit(train: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 3, step: float = 0.1, bins: int = 32, penalty: float = 1.0, least: int = 20) -> Ranker:
@@ -144,15 +145,17 @@ def fit(train: DataFrame, features: list[str], label: str, rounds: int = 20, dep
     for _ in range(rounds):
         tree = staged(gradients(base.withColumn("s", model.value("b"))).select("b", "g", "h"))
         splits: list[tuple[int, int, int]] = []
+        leaves: dict[int, float] = {}
         for _ in range(depth):
-            grown = {n for n, _, _ in splits}
-            open_ = tree.withColumn("node", node_of(splits, "b"))
-            found = [(r["node"], r["f"], r["b"]) for r in _split(open_, penalty, least) if r["node"] not in grown]
+            found = _split(tree.withColumn("node", node_of(splits, "b")), penalty, least)
+            for r in found:
+                n = r["node"]
+                splits.append((n, r["f"], r["b"]))
+                leaves.pop(n, None)
+                leaves |= {2 * n + 1: step * r["left"], 2 * n + 2: step * r["right"]}
             if not found:
                 break
-            splits += found
         if not splits:
             break
-        sums = tree.withColumn("node", node_of(splits, "b")).groupBy("node").agg((F.sum("g") / (F.sum("h") + penalty)).alias("x")).collect()
-        model.trees.append((splits, {r["node"]: step * r["x"] for r in sums}))
+        model.trees.append((splits, leaves))
     return model

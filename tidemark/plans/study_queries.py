@@ -62,12 +62,12 @@ select code, id, ts, len(xs) as n, round(list_reduce(xs, lambda a, b: 0.9 * a +
 def stream_recursions(spark, sf_dir):
     """Recursive means and streaks of each user's values in order of time, for the events that the watermark has passed."""
     path = _new_folder(spark)
-    events = src.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("code"), F.col("event_id").alias("id"), "ts", F.col("value").alias("x"))
+    events = src.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("code"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"))
     events.repartition(8).write.parquet(f"{path}/in")  # in no order of time
     rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
     with ordered.rocksdb(spark):
         found = stream_bars.available_now(ordered.recursions(rows, 0.1, "1 hour"), f"{path}/rows", f"{path}/state")
-    return found.select("code", "id", "ts", "n", r6("mean").alias("mean"), "streak")
+    return found.select("code", "id", F.col("ts").cast("timestamp_ntz").alias("ts"), "n", r6("mean").alias("mean"), "streak")
 
 
 # Scans by code
