@@ -215,3 +215,17 @@ def test_odd_words_are_rejected_at_any_length(spark):
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, chars string, word string, list int")).collect()
     assert len(got) == len(rows) and not any(r.base_failed for r in got)
     assert {r.doc_id for r in got if not r.kept} == {300, 1100, 5100, 501, 5101}
+
+
+def test_a_license_among_repeated_fragments_is_found(spark):
+    """Before, behind and inside the text; the fragments alone are none, whatever their number."""
+    text, label = licenses.NOTICES[0]
+    w = text.split()
+    part = " ".join(w[:5]) + " a "
+    rows = [
+        (1, part * 200 + text), (2, text + " " + part * 200), (3, " ".join(w[: len(w) // 2]) + " " + part * 3 + " ".join(w[len(w) // 2 :])), (4, part * 400), (5, part * 100 + text + " " + part * 100), (6, text),
+        (7, part * 50 + " ".join(w[60:80])), (8, None), (8, part * 200 + text),
+    ]
+    got = [(r.doc_id, r.labels, r.score) for r in licenses.scan(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)).collect()]
+    assert sorted((i, label) for i, t in rows if i in (1, 2, 3, 5, 6) or (i == 8 and t)) == sorted((i, y) for i, y, _ in got if y == label)
+    assert {(i, y) for i, y, _ in got if i in (4, 7)} == {(4, ""), (7, "")} and all(s == 1.0 for i, y, s in got if y and i != 3)

@@ -73,6 +73,23 @@ def hits(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumns({"n_words": F.size("__w").cast("long"), "hits": F.concat(found(SHORT), found(LONG))}).drop("__w")
 
 
+def _verified(votes: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
+    """spans that are phrases or no longer than twice their template, and of the longer ones those that hold a place where a template's
+    length of diagonals alone has votes enough, with the best such share."""
+    longer = ~F.col("base") & (F.col("length") > 2 * F.col("n"))
+    one = [*key, "template", "span"]
+    again = spans.where(longer).select(*one, "label", "base", "n", "at", "length")
+    inside = Window.partitionBy(*one).orderBy(F.col("diagonal") / F.col("n")).rangeBetween(0, 1)
+    slid = votes.select(*[F.col(c).alias(f"__{c}") for c in one], "diagonal", "tpos")
+    same = F.lit(True)
+    for c in one:
+        same = same & slid[f"__{c}"].eqNullSafe(again[c])
+    slid = again.join(slid, same).select(*one, "label", "base", "n", "at", "length", F.size(F.collect_set("tpos").over(inside)).alias("votes"))
+    best = slid.groupBy(*one, "label", "base", "n", "at", "length").agg(F.max("votes").alias("votes"))
+    best = best.withColumn("share", F.least(F.col("votes") / F.col("n"), F.lit(1.0))).where(F.col("share") >= COVER)
+    return spans.where(~longer).unionByName(best.select(*spans.columns))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row for each input row.
 
@@ -80,7 +97,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     meets is joined to the template positions on its words, so that no collision of hashes counts. Hits vote for their offset,
     the diagonal. A phrase stands where all its k-grams vote for one diagonal. For notices, diagonals at most NEAR apart are
     merged, so that a few words put in or left out don't part an alignment; a span is verified if the different template
-    positions that its words match, each counted once, are at least COVER of all, in no more than twice the template's length.
+    positions that its words match, each counted once, are at least COVER of all, in no more than twice the template's length; in a
+    longer span, as repeated fragments beside a text make it, so are those of some stretch of a template's length of diagonals.
     score is the largest covered share of a verified span, 1 with a phrase, 0 without any. Null texts have no words. Rows
     repeated in full get equal results; rows that share a doc_id but not the text each get their own; ties of labels are
     listed once; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -98,8 +116,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     votes = found.withColumn("new", F.when(gap.isNull() | (gap > NEAR) | own_span, 1).otherwise(0)).withColumn("span", F.sum("new").over(by_doc))
     place = F.col("diagonal") + F.col("tpos")
     spans = votes.groupBy(*key, "template", "label", "base", "n", "span").agg(F.size(F.collect_set("tpos")).alias("votes"), F.min("diagonal").alias("at"), (F.max(place) - F.min(place) + 1).alias("length"))
-    share = F.least(F.col("votes") / F.col("n"), F.lit(1.0))
-    spans = spans.withColumn("share", share).where(F.when(F.col("base"), F.col("votes") == F.col("n")).otherwise((F.col("share") >= COVER) & (F.col("length") <= 2 * F.col("n"))))
+    spans = spans.withColumn("share", F.least(F.col("votes") / F.col("n"), F.lit(1.0))).where(F.when(F.col("base"), F.col("votes") == F.col("n")).otherwise(F.col("share") >= COVER))
+    spans = _verified(votes, spans, key)
     base = F.when(F.col("base"), F.col("at"))
     label = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(c)))
     per = spans.groupBy(*key).agg(
