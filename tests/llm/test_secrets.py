@@ -154,3 +154,41 @@ def test_clashing_columns_and_empty_tables(spark, tmp_path):
     assert [(r.doc_id, r.n_assign) for r in queries.op7_secrets(spark, str(tmp_path / "a")).collect()] == [(1, 1)] * 2
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "b" / "documents.parquet"))
     assert queries.op7_secrets(spark, str(tmp_path / "b")).count() == 0
+
+
+WORDS = KEY.encode() + b" and more words to compress, words to compress"
+
+
+def deflated(data):
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(data) + c.flush()
+
+
+def test_compressed_bytes_wherever_they_are_written():
+    """As percent codes, quoted or in full, and as escapes of several languages; the span is the whole run."""
+    for packed in (gzip.compress(WORDS), zlib.compress(WORDS), bz2.compress(WORDS)):
+        codes = [urllib.parse.quote(packed), urllib.parse.quote_plus(packed), "".join(f"%{c:02x}" for c in packed)]
+        codes += [repr(packed)[2:-1], "".join(f"\\x{c:02x}" for c in packed)] if packed[:1] != b"B" else [repr(packed)[2:-1]]
+        for code in codes:
+            text = f'été "{code}" end' if "'" in code else f"été '{code}' end"
+            spans = secrets.find(text)
+            assert len(spans) == 1 and spans[0][0] == "assign" and text.index(code) - 1 <= spans[0][2] < spans[0][3] <= text.index(code) + len(code) + 1, code
+
+
+def test_broken_narrow_and_headless_base64():
+    b = base64.b64encode(WORDS).decode()
+    for code in (f"{b[:40]}\\n{b[40:80]}\\n{b[80:]}", f"{b[:40]}\\r\\n{b[40:80]}\\r\\n{b[80:]}", "\n".join(textwrap.wrap(b, 12)), "word\nabcd\n" + "\n".join(textwrap.wrap(b, 8)), base64.b64encode(deflated(WORDS)).decode()):
+        assert [k for k, *_ in secrets.find(f"lead {code} tail")] == ["assign"], code
+    assert secrets.find("pass\\167ord = hunter2hunter2")[0][1:] == ("escape", 0, 28) and secrets.find("x password+%3D+hunter2hunter2")[0][1:] == ("form", 2, 29)
+
+
+def test_every_secret_of_a_block_is_listed():
+    packed = base64.b64encode(gzip.compress(b"password=hunter2hunter2 token=abcdefgh12345678 password=hunter2hunter2")).decode()
+    text = f"a {packed} b"
+    assert [(k, a, b) for k, _, a, b in secrets.find(text)] == [("assign", 2, 2 + len(packed))] * 2
+    assert secrets.redacted_text(text) == "a [REDACTED] b"
+
+
+def test_clean_texts_with_codes_stay_clean():
+    for text in ("100% of it \\n done \\t C:\\new\\table", "a+b%20c+d", "\\x1f\\x8b\\x08 broken " * 50, "x\\x9c" * 500, "one\ntwo\nsix\nten\n" * 50, base64.b64encode(bytes(range(256)) * 8).decode()):
+        assert secrets.find(text) == []

@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 from html import unescape
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,22 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4})+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})+")
+#: Form-coded runs: plus signs stand for spaces.
+FORM = re.compile(r"(?<![A-Za-z0-9_.~*%+-])(?:[A-Za-z0-9_.~*-]++|%[0-9A-Fa-f]{2})*+(?:\+(?:[A-Za-z0-9_.~*-]++|%[0-9A-Fa-f]{2})*+)++")
+#: What percent coding leaves of bytes.
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~*+/!'()-])+")
+ESCAPE = re.compile(r"""(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8}|u\{[0-9A-Fa-f]{1,6}\}|[0-7]{3}|[nrtbf"'/\\]))+""")
+#: What the letters of short escapes stand for.
+SHORT = {"n": 10, "r": 13, "t": 9, "b": 8, "f": 12, "a": 7, "v": 11, '"': 34, "'": 39, "/": 47, "\\": 92}
+#: Beginnings of compressed blocks whose bytes are written as escapes or as themselves, and one such byte.
+ESCAPED_MAGIC = re.compile(r"\\x1f\\x8b(?:\\x08|\\b)|\\u001f\\u008b(?:\\u0008|\\b)|\\037\\213\\(?:010|b)|(?:x|\\x78)\\x(?:01|9c|da)|BZh[1-9](?:1AY&SY|\\x17)|(?:\(|\\x28)\\xb5(?:/|\\x2f)\\xfd", re.I)
+ESCAPED_BYTE = re.compile(r"""\\(?:x([0-9A-Fa-f]{2})|u00([0-9A-Fa-f]{2})|([0-7]{1,3})|([nrtbfav"'/\\]))|([^\\\n])""")
 ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs whose digits go on in the next lines, which may be indented or quoted.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t>]*[A-Za-z0-9+/_-]++)++={0,2}")
+#: Runs in short lines, of which those of one length are taken with a shorter one behind them.
+NARROW = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{4,15}\r?\n[ \t>]*){2,}[A-Za-z0-9+/_-]{2,15}={0,2}")
 DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
 MAGIC = re.compile(rb"(?P<gzip>\x1f\x8b\x08)|(?P<zlib>\x78[\x01\x5e\x9c\xda])|(?P<bz2>BZh[1-9](?:1AY&SY|\x17rE8P\x90))|(?P<zstd>\x28\xb5\x2f\xfd)")
 #: The shortest secret has 14 characters.
@@ -37,6 +49,7 @@ UTF16 = re.compile(rb"(?:[\t\r\n\x20-\x7e]\0){14,}|(?:\0[\t\r\n\x20-\x7e]){14,}"
 #: What a compressed block unpacks to is read in windows of about so many bytes. Each begins CLOSE bytes before the last one's end, or
 #: where the run of CODED characters there begins, if that is at most CARRY bytes before it.
 WINDOW, CARRY, CLOSE = 4 << 20, 2 << 20, 4096
+PLAIN_BYTES = frozenset(b"\t\r\n" + bytes(range(0x20, 0x7F)))
 CODED = bytes(c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-%\\&#;{} \t\r\n>\0")
 DECODERS = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}
 
@@ -113,8 +126,8 @@ def _char(code: int) -> str:
 
 def _escape(run: str) -> list[tuple[str, int, int]]:
     out: list[tuple[int, int, int]] = []
-    for m in re.finditer(r"\\(?:u\{([0-9A-Fa-f]+)\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))", run):
-        code = int(m[1] or m[2] or m[3] or m[4], 16)
+    for m in re.finditer(r"""\\(?:u\{([0-9A-Fa-f]+)\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2})|([0-7]{3})|([nrtbf"'/\\]))""", run):
+        code = SHORT[m[6]] if m[6] else int(m[5], 8) if m[5] else int(m[1] or m[2] or m[3] or m[4], 16)
         if out and 0xDC00 <= code < 0xE000 and 0xD800 <= out[-1][0] < 0xDC00:
             high, at, _ = out.pop()
             out.append((0x10000 + ((high - 0xD800) << 10) + code - 0xDC00, at, m.end() - at))
@@ -123,6 +136,19 @@ def _escape(run: str) -> list[tuple[str, int, int]]:
     return [(_char(c), a, n) for c, a, n in out]
 
 
+def _form(run: str) -> list[tuple[str, int, int]]:
+    out: list[tuple[str, int, int]] = []
+    for m in re.finditer(r"\+|(?:%[0-9A-Fa-f]{2})+|[^+%]+", run):
+        part, at = m.group(), m.start()
+        if part == "+":
+            out.append((" ", at, 1))
+        elif part[0] == "%":
+            out += [(c, at + o, n) for c, o, n in _url(part)]
+        else:
+            out += [(c, at + i, 1) for i, c in enumerate(part)]
+    return out
+
+
 def _entity(code: str) -> list[tuple[str, int, int]]:
     return [(c, 0, len(code)) for c in unescape(code)]
 
@@ -232,8 +258,92 @@ def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
     for m in BASE64.finditer(text):
         yield m.group(), np.arange(m.start(), m.end())
     for m in WRAPPED.finditer(text):
-        places = [np.arange(k.start(), k.end()) for k in DIGITS.finditer(text, *m.span())]
-        yield "".join(k.group() for k in DIGITS.finditer(text, *m.span())), np.concatenate(places)
+        yield _lines(list(DIGITS.finditer(text, *m.span())))
+    for m in NARROW.finditer(text):
+        lines = list(DIGITS.finditer(text, *m.span()))
+        sizes = [k.end() - k.start() for k in lines]
+        i = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and sizes[j] == sizes[i]:
+                j += 1
+            if j - i >= 2:
+                yield _lines(lines[i : j + (j < len(lines) and sizes[j] < sizes[i])])
+            i = j
+
+
+def _lines(parts: list[re.Match]) -> tuple[str, np.ndarray]:
+    return "".join(k.group() for k in parts), np.concatenate([np.arange(k.start(), k.end()) for k in parts])
+
+
+def _deflated(raw: bytes) -> bytes:
+    """What raw holds as a deflate stream without a head; empty unless it is one to its end or for a while, and reads as text."""
+    d = zlib.decompressobj(-15)
+    try:
+        head = d.decompress(raw[:512], CLOSE)
+    except zlib.error:
+        return b""
+    clean = sum(c in PLAIN_BYTES for c in head)
+    return b"" if len(head) < 14 or clean < 0.9 * len(head) or not (d.eof or len(raw) > 512) else raw
+
+
+def _raw_stream(raw: bytes) -> Iterator[bytes]:
+    """The text of a deflate stream without a head, in windows; one that breaks off gives what was read."""
+    d = zlib.decompressobj(-15)
+
+    def pieces() -> Iterator[bytes]:
+        for i in range(0, len(raw), 512):
+            try:
+                yield d.decompress(raw[i : i + 512])
+            except zlib.error:
+                return
+
+    for _, window in _windows(pieces()):
+        yield window
+
+
+def _coded_bytes(text: str) -> Iterator[tuple[str, int, int, bytes]]:
+    """(coding, start, end, bytes) of runs of percent codes or escapes that may hold compressed data."""
+    if "%" in text:
+        for m in PERCENT.finditer(text):
+            run = m.group()
+            if run.count("%") >= 3:
+                for form in sorted({run, run.replace("+", "%20")}):
+                    if MAGIC.search(raw := unquote_to_bytes(form)):
+                        yield "url", m.start(), m.end(), raw
+    if "\\" in text:
+        end = 0
+        for m in ESCAPED_MAGIC.finditer(text):
+            if m.start() < end:
+                continue
+            quote = text[m.start() - 1] if m.start() and text[m.start() - 1] in "'\"" else ""
+            head, _ = _escaped_bytes(text, m.start(), min(len(text), m.start() + 256), quote)
+            if _begins(head):
+                raw, end = _escaped_bytes(text, m.start(), len(text), quote)
+                yield "escape", m.start(), end, raw
+
+
+def _begins(head: bytes) -> bool:
+    """Whether the first bytes of a compressed block unpack without an error."""
+    if not (m := MAGIC.match(head)):
+        return False
+    try:
+        DECODERS[m.lastgroup]().decompress(head)
+    except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
+        return False
+    return True
+
+
+def _escaped_bytes(text: str, at: int, stop: int, quote: str) -> tuple[bytes, int]:
+    """Bytes written as escapes or as themselves from a place on, up to the quote, a line's end or another character, and where they end."""
+    out = bytearray()
+    while at < stop and (m := ESCAPED_BYTE.match(text, at)):
+        code = SHORT[m[4]] if m[4] else int(m[3], 8) if m[3] else int(m[1] or m[2], 16) if m[1] or m[2] else ord(m[5])
+        if code > 255 or m[5] and m[5] == quote:
+            break
+        out.append(code)
+        at = m.end()
+    return bytes(out), at
 
 
 def _blocks(layer: Layer) -> Iterator[Layer]:
@@ -253,8 +363,16 @@ def _blocks(layer: Layer) -> Iterator[Layer]:
                 start, end = place[skip + at * 4 // 3], place[np.minimum(skip - (-to * 4 // 3), len(digits)) - 1] + 1
                 yield layer.inner(text, "base64", start, end)
             for name, content in _contents(raw):
-                for text, *_ in _texts(content):
-                    yield layer.inner(text, "base64" + name, np.broadcast_to(first, len(text)), np.broadcast_to(last, len(text)))
+                yield from _whole(layer, "base64" + name, content, first, last)
+            if not skip and _deflated(raw):
+                for content in _raw_stream(raw):
+                    yield from _whole(layer, "base64+deflate", content, first, last)
+
+
+def _whole(layer: Layer, name: str, content: bytes, first: int, last: int) -> Iterator[Layer]:
+    """The texts in what a run holds compressed, each mapped to the whole run."""
+    for text, *_ in _texts(content):
+        yield layer.inner(text, name, np.broadcast_to(first, len(text)), np.broadcast_to(last, len(text)))
 
 
 def _inner(layer: Layer) -> Iterator[Layer]:
@@ -262,6 +380,11 @@ def _inner(layer: Layer) -> Iterator[Layer]:
     for mark, name, pattern, decode in (("%", "url", URL, _url), ("\\", "escape", ESCAPE, _escape), ("&", "entity", ENTITY, _entity)):
         if mark in layer.text and (inner := _replaced(layer, name, pattern, decode)):
             yield inner
+    if "+" in layer.text and "%" in layer.text and (inner := _replaced(layer, "form", FORM, _form)):
+        yield inner
+    for name, first, last, raw in _coded_bytes(layer.text):
+        for coding, content in _contents(raw):
+            yield from _whole(layer, name + coding, content, first, last)
     yield from _blocks(layer)
 
 
@@ -269,13 +392,14 @@ def find(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, via, start, end) of all spans of a text, by start, kind and end; via is empty for the text itself.
 
     A worklist holds what is still to be read. Each layer is scanned, then unwrapped once for each coding it holds: percent
-    codes, backslash escapes, character references, base64 (wrapped or not, in any alignment) and what is compressed in it.
+    codes, form coding, backslash escapes, character references, base64 (wrapped or not, in any alignment), and what is compressed
+    in bytes that base64, percent codes or escapes write, with a head or, in base64, as bare deflate data.
     Layers are made one at a time. A layer text that was read before is not read again, so codings that unwrap to one
     another end. A span found in a layer is reported at the original characters it came from, unless the same span was
-    found there already.
+    found there already; different secrets of a compressed block have the block's place each.
     """
-    found: set[tuple[int, int, str, str]] = set()
-    known: set[tuple[int, int, str]] = set()
+    found: list[tuple[int, int, str, str]] = []
+    known: set[tuple[int, int, str, str]] = set()
     work, seen = [iter((Layer(text),))], set()
     while work:
         layer = next(work[-1], None)
@@ -289,9 +413,11 @@ def find(text: str) -> list[tuple[str, str, int, int]]:
             seen.add(mark)
         for a, b, kind in base_spans(layer.text):
             span = (*layer.span(a, b), kind)
-            if span not in known:
-                known.add(span)
-                found.add((*span, "/".join(layer.via)))
+            packed = layer.starts is not None and b - a <= 256 and layer.starts[a] == layer.starts[b - 1]  # a longer one may be cut by windows
+            mark = (*span, layer.text[a:b] if packed else "")
+            if mark not in known:
+                known.add(mark)
+                found.append((*span, "/".join(layer.via)))
         work.append(_inner(layer))
     order = {k: i for i, k in enumerate(KINDS)}
     return [(kind, via, a, b) for a, b, kind, via in sorted(found, key=lambda s: (s[0], order.get(s[2], 9), s[1], s[3]))]
