@@ -101,13 +101,13 @@ def _histograms(rows: DataFrame, anchors, windows: Windows) -> dict[str, np.ndar
 
     A window with fewer rows than wanted has bucket BUCKETS.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((anchors, windows))
+    shared, buckets = rows.sparkSession.sparkContext.broadcast((anchors, windows, windows.width())), BUCKETS
 
     def count(batches):
-        anchors, windows = shared.value
-        out, width = np.zeros((len(windows.anchor), BUCKETS), dtype=np.int64), windows.width()
+        anchors, windows, width = shared.value
+        out = np.zeros((len(windows.anchor), buckets), dtype=np.int64)
         for w, _, s in _scored(batches, anchors, windows):
-            out[w] += np.bincount((windows.high[w] - s) // width[w], minlength=BUCKETS)
+            out[w] += np.bincount((windows.high[w] - s) // width[w], minlength=buckets)
         w, b = np.nonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(b.astype(np.int32)), pa.array(out[w, b])], ["w", "b", "n"])
 

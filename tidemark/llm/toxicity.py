@@ -234,11 +234,12 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """word, n1, n0: toxic and other texts with a word. Near copies, told by two equal min-hashes of their words, are one text."""
-    words = rows.where("text is not null").select("toxic", F.array_distinct(F.split(F.lower("text"), NOT_LETTERS)).alias("words"))
-    words = words.select("toxic", F.array_remove("words", "").alias("words")).where("size(words) > 0")
-    low = [F.array_min(F.transform("words", fn)) for fn in (lambda w: F.xxhash64(w), lambda w: F.xxhash64(w, F.lit(1)))]
-    packed = words.select("toxic", F.xxhash64(*low).alias("g"), F.array_join("words", " ").alias("words"))
+    """word, n1, n0: toxic and other texts with a word; the empty word stands for all texts with words. Near copies, told by two equal
+    min-hashes of their pairs of words, are one text."""
+    words = rows.where("text is not null").select("toxic", F.array_remove(F.split(F.lower("text"), NOT_LETTERS), "").alias("words")).where("size(words) > 0")
+    pair = lambda seed: lambda w, i: F.xxhash64(F.lit(seed), w, F.get(F.col("words"), i + 1))
+    g = F.xxhash64(*[F.array_min(F.transform("words", pair(seed))) for seed in (1, 2)])
+    packed = words.select("toxic", g.alias("g"), F.array_join(F.array_append(F.array_distinct("words"), F.lit("")), " ").alias("words"))
     one = packed.groupBy("g").agg(F.min_by("words", F.xxhash64("words")).alias("words"), F.max("toxic").alias("toxic"))
     return one.select("toxic", F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
 
@@ -265,7 +266,11 @@ def train(rows: DataFrame) -> Model:
     if not n["toxic"] or n["toxic"] == n["all"]:
         return Model(Lexicon({}, {}, {}), None, float(bool(n["toxic"])))
     counts = staged(_counted(rows), "toxicity-words")
-    all1, all0 = n["toxic"], n["all"] - n["toxic"]
+    texts = counts.where("word = ''").first()
+    all1, all0 = (texts["n1"], texts["n0"]) if texts else (0, 0)
+    if not all1 or not all0:
+        return Model(Lexicon({}, {}, {}), None, n["toxic"] / n["all"])
+    counts = counts.where("word <> ''")
     likely = counts.where((F.col("n1") >= MIN_TEXTS) & (F.col("n1") >= MIN_SHARE * all1) & (F.length("word") > 1))
     odds = F.log((F.col("n1") + 0.5) / all1) - F.log((F.col("n0") + 0.5) / all0)
     error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
@@ -301,7 +306,7 @@ def train(rows: DataFrame) -> Model:
     fit = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("toxic", _measured(spark, lexicon)(F.col("text")).alias("m"))
     fit = staged(fit.select(F.col("toxic").cast("double").alias("label"), "m.x"), "toxicity-features").select("label", array_to_vector("x").alias("features"))
     if fit.select("label").distinct().count() < 2:
-        return Model(lexicon, None, all1 / n["all"])
+        return Model(lexicon, None, n["toxic"] / n["all"])
     model = LogisticRegression(maxIter=40, regParam=1e-4).fit(fit)
     return Model(lexicon, model.coefficients.tolist(), float(model.intercept))
 
