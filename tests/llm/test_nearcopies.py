@@ -107,3 +107,48 @@ def test_copies_repeats_and_empty_tables(spark):
         by.setdefault(r["class"], []).append(r.doc_id)
     assert sorted(map(str, by.values())) == sorted(map(str, [[1, 1, 2], [None, 3], [4], [5]])) or len(by) == 4 and len(got) == len(rows)
     assert nearcopies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprints_of_sets():
+    rnd = np.random.default_rng(9)
+    for n in (0, 1, 7, 5000):
+        found = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        for j, got in enumerate(nearcopies.fingerprint(found)):
+            tops = [int(h) * int(nearcopies._SPREAD[j]) % 2**64 >> 24 for h in found]
+            assert got == sum(1 << i for i in range(40) if 2 * sum(t >> i & 1 for t in tops) > len(tops)) + (j << 40)
+
+
+def test_covering_finds_every_near_block(spark):
+    """Candidates are pairs with a block within two bits, and connect all such pairs, but no set has many in a large group."""
+    rnd = random.Random(12)
+    texts = []
+    for n, k in ((200, 1), (300, 3), (300, 6), (80, 60)) * 10:
+        w = [f"w{rnd.randrange(5000)}" for _ in range(n)]
+        texts += [" ".join(w), " ".join(edited(rnd, w, k))]
+    hub = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+    texts += [" ".join(edited(rnd, hub, 1)) for _ in range(100)]  # buckets of over 64 blocks, and equal blocks
+    found = [nearcopies.sketch(nearcopies.shingles(t.encode())) for t in texts]
+    sets = spark.createDataFrame([(s, prints) for s, _, _, prints in found], "set long, prints array<long>")
+    pairs = {(r.a, r.b) for r in nearcopies.covered_pairs(sets).collect()}
+    by = {s: prints for s, _, _, prints in found}
+    close = lambda a, b: min((x ^ y).bit_count() for x, y in zip(by[a], by[b])) <= 2
+    label = {s: s for s in by}
+    for a, b in pairs:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = {s: new if x == old else x for s, x in label.items()}
+    near = {(a, b) for a in by for b in by if a < b and close(a, b)}
+    assert pairs <= near and all(label[a] == label[b] for a, b in near) and len(near) > 1000
+    assert len(pairs) <= 56 * len(by)
+
+
+def test_near_dedup_takes_candidates_from_covering(spark, monkeypatch):
+    """Without MinHash candidates, covering and the exact check alone link the lightly edited copies, and nothing else."""
+    rnd = random.Random(13)
+    monkeypatch.setattr(nearcopies, "first_pairs", lambda buckets, sets, direct: nearcopies.covered_pairs(sets).where("false"))
+    texts = []
+    for _ in range(40):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(w), " ".join(edited(rnd, w, 2))]  # similarity 0.95
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    kept = [r.doc_id for r in cp.near_dedup(spark, docs, "").collect()]
+    assert 40 <= len(kept) <= 44 and set(range(0, 80, 2)) <= set(kept)

@@ -1,4 +1,7 @@
-"""Near-duplicate classes by the Jaccard similarity of five-word shingles: candidates by MinHash bands, links checked exactly."""
+"""Near-duplicate classes by the Jaccard similarity of five-word shingles, links checked exactly.
+
+Candidates are SimHash fingerprints under covering masks, as in op1 but wider; MinHash bands add the pairs beyond their radius.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +14,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import small_batches, staged
 from .components import connected_components
 
 WORDS, LEAST = 5, 0.8
+#: The fingerprint of a set: BLOCKS blocks of BITS bits, candidates where RADIUS or fewer bits of a block differ. Short blocks reach
+#: further than op1's 64 bits; 40 are so many that among 10^7 unlike texts about 10^5.5 pairs are near by chance.
+BLOCKS, BITS, RADIUS = 8, 40, 2
+#: Buckets of up to so many blocks are compared at once.
+SPLIT = 1024
 #: Two texts of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8.
 BANDS, ROWS = 24, 5
 #: Buckets of at most this many sets are compared in all pairs at once; of larger ones about so many leaders in the second
@@ -25,6 +34,7 @@ MAYBE = 0.62
 _RND = np.random.default_rng(42)
 _FACTORS = _RND.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _RND.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
+_SPREAD = _RND.integers(0, 1 << 63, BLOCKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PAIRS = "array<struct<a:long,b:long>>"
 _PAIRS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -41,22 +51,30 @@ def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((h(line[a : b - 1]) for a, b in zip(starts, starts[k:])), dtype=np.uint64, count=len(words) - k + 1))
 
 
-def sketch(found: np.ndarray) -> tuple[int, list[int], bytes]:
-    """The digest of a set of shingles, the keys of its bands and a byte of each of its minima."""
+def fingerprint(found: np.ndarray) -> list[int]:
+    """The SimHash of a set of shingles in blocks: BITS bits and above them the block's number."""
+    width, step = BITS // 8, 1 << 12
+    words = ((found[at : at + step, None] * _SPREAD).astype("<u8").view(np.uint8).reshape(-1, BLOCKS, 8) for at in range(0, len(found), step))
+    blocks = simhash.majority((w[:, :, 8 - width :].reshape(len(w), -1) for w in words), BLOCKS * width).reshape(BLOCKS, width)
+    return [int.from_bytes(b.tobytes(), "little") | j << BITS for j, b in enumerate(blocks)]
+
+
+def sketch(found: np.ndarray) -> tuple[int, list[int], bytes, list[int]]:
+    """The digest of a set of shingles, the keys of its bands, a byte of each of its minima and its fingerprint."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(found), 1024):
         least = np.minimum(least, (found[at : at + 1024, None] * _FACTORS + _OFFSETS).min(axis=0))
     keys = [xxhash.xxh64_intdigest(b.tobytes(), seed=t) for t, b in enumerate(least.reshape(BANDS, ROWS))]
     signed = np.array([xxhash.xxh64_intdigest(found.tobytes()), *keys], dtype=np.uint64).view(np.int64).tolist()
-    return signed[0], signed[1:], (least >> np.uint64(32)).astype(np.uint8).tobytes()
+    return signed[0], signed[1:], (least >> np.uint64(32)).astype(np.uint8).tobytes(), fingerprint(found)
 
 
 def sketches(text: Column) -> Column:
-    kind = pa.struct([("set", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    kind = pa.struct([("set", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("prints", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<set:long,bands:array<long>,sig:binary>")
+    @F.arrow_udf("struct<set:long,bands:array<long>,sig:binary,prints:array<long>>")
     def apply(batch: pa.Array) -> pa.Array:
-        return pa.array([dict(zip(("set", "bands", "sig"), sketch(shingles(t.as_py() or b"")))) for t in batch.cast(pa.binary())], kind)
+        return pa.array([dict(zip(kind.names, sketch(shingles(t.as_py() or b"")))) for t in batch.cast(pa.binary())], kind)
 
     return apply(text)
 
@@ -136,13 +154,33 @@ def _with(pairs: DataFrame, of: DataFrame, col: str) -> DataFrame:
     return pairs
 
 
+def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose minima leave it open that they are similar."""
+    return _with(pairs, sets, "sig").where(F.arrow_udf(_maybe, "boolean")("x", "y")).select("a", "b")
+
+
+def covered_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs that may be similar by SimHash: sets with a block in common, each with the least of them, and sets with near blocks.
+
+    Near are blocks that differ in RADIUS or fewer bits; covering masks find all of them, and op1's links connect them by near pairs.
+    """
+    prints = staged(sets.select("set", F.explode("prints").alias("fp")), "dedup-blocks")
+    first = staged(prints.groupBy("fp").agg(F.min("set").alias("first"), F.count("*").alias("n")), "dedup-first")
+    same = prints.join(first.where("n > 1"), "fp").where(F.col("set") != F.col("first")).select(F.col("set").alias("a"), F.col("first").alias("b"))
+    near = simhash.links(first, "fp", RADIUS, SPLIT, BITS, star=False)
+    for side in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_set")), side)
+    near = near.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).where("a <> b")
+    return staged(_ordered(same.union(near)), "dedup-near")
+
+
 def first_pairs(buckets: DataFrame, sets: DataFrame, direct: int) -> DataFrame:
     """Pairs that may be similar: all of each small bucket, and each set of a large one with the bucket's leader, its least set."""
     small = buckets.where(F.col("n") <= direct).select("bucket", "set").join(sets.select("set", "sig"), "set")
     groups = small.groupBy("bucket").agg(F.collect_list(F.struct("set", "sig")).alias("g"))
     found = groups.select(F.explode(F.arrow_udf(_within, PAIRS)("g")).alias("p")).select("p.a", "p.b")
     star = buckets.where((F.col("n") > direct) & (F.col("set") != F.col("leader"))).select(F.col("set").alias("a"), F.col("leader").alias("b")).distinct()
-    star = _with(star, sets, "sig").where(F.arrow_udf(_maybe, "boolean")("x", "y")).select("a", "b")
+    star = estimated(star, sets)
     return staged(_ordered(found.union(star)), "dedup-pairs")
 
 
@@ -179,30 +217,56 @@ def leader_links(rows: DataFrame, sets: DataFrame, raw: DataFrame) -> DataFrame:
 def links(prints: DataFrame, texts: DataFrame, direct: int = DIRECT, leaders: int = DIRECT) -> DataFrame:
     """Links (a, b), Jaccard similarity LEAST or more, that connect all sets which chains of similar sets in common buckets connect.
 
-    prints: set, bands, sig, text_hash; texts: text, text_hash. All pairs of small buckets are checked. In a large bucket all
+    prints: set, bands, sig, prints, text_hash; texts: text, text_hash. Links between near fingerprints come first. A round
+    checks one pair of each component, that to its least neighbour; when rounds no longer halve the components that have one, all pairs of two components are
+    checked. MinHash buckets that still hold several components add the links beyond the fingerprints' radius. All pairs of small buckets are checked. In a large bucket all
     sets are first compared with one leader. What that leaves in several components goes on in rounds: leaders drawn from the
     sets outside the largest component are compared with all sets of other components and then leave the bucket, until the
     bucket has one component. The number of leaders grows from round to round, so that every bucket ends after a number of rounds
     in proportion to the logarithm of its size, and no pair of a bucket whose link could matter stays unchecked.
     """
-    sets = staged(prints.groupBy("set").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.min("text_hash").alias("one")), "dedup-sets")
-    keyed = sets.select("set", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("set").alias("leader")).where("n > 1")
-    buckets = staged(keyed.join(shared, "bucket"), "dedup-buckets")
+    firsts = [F.any_value(c).alias(c) for c in ("bands", "sig", "prints")]
+    sets = staged(prints.groupBy("set").agg(*firsts, F.min("text_hash").alias("one")), "dedup-sets")
 
     def members(nodes: DataFrame) -> DataFrame:
         one = sets.select("set", "one").join(nodes, "set", "left_semi")
         found = texts.join(one, F.col("text_hash") == F.col("one")).dropDuplicates(["set"])
         return staged(found.select("set", F.arrow_udf(_members, "binary")("text").alias("raw")), "dedup-texts")
 
+    def checked(pairs: DataFrame) -> DataFrame:
+        nonlocal raw
+        new = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        raw = raw.unionByName(members(new.join(raw, "set", "left_anti"))) if raw else members(new)
+        return staged(_with(pairs, raw, "raw").where(F.arrow_udf(_jaccard, "double")("x", "y") >= LEAST).select("a", "b"), "dedup-links")
+
+    def named(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
+        comps = connected_components(reduce(DataFrame.union, found), "a", "b").withColumnRenamed("node", "set")
+        return rows.join(comps, "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
+
+    raw, found = None, []
+    rest = covered_pairs(sets).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
+    last, comps = None, sets.select("set", F.col("set").alias("comp"))
+    while True:
+        least = staged(rest.groupBy("y").agg(F.min(F.struct("x", "a", "b")).alias("p")).select("p.a", "p.b"), "dedup-least")
+        size = least.count()
+        if not size:
+            break
+        some = last is None or 2 * size <= last
+        found.append(checked(staged(estimated(least if some else rest.select("a", "b"), sets), "dedup-pairs")))
+        comps = staged(named(sets.select("set"), found), "dedup-comps")
+        if not some:
+            break
+        rest = _with(rest.select("a", "b"), comps, "comp").where("x <> y")
+        rest = staged(rest.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "dedup-rest")
+        last = size
+    keyed = sets.select("set", "bands").join(comps, "set").select("set", "comp", F.explode("bands").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("set").alias("leader"), (F.min("comp") < F.max("comp")).alias("open"))
+    buckets = staged(keyed.drop("comp").join(shared.where("open"), "bucket").drop("open"), "dedup-buckets")
     pairs = first_pairs(buckets, sets, direct)
-    raw = members(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
-    found = [staged(_with(pairs, raw, "raw").where(F.arrow_udf(_jaccard, "double")("x", "y") >= LEAST).select("a", "b"), "dedup-links")]
+    found.append(checked(pairs))
     rows, salt = buckets.where((F.col("n") > direct) & (F.col("set") != F.col("leader"))).select("bucket", "set"), 0
     while not rows.isEmpty():
-        comps = connected_components(reduce(DataFrame.union, found), "a", "b").withColumnRenamed("node", "set")
-        named = staged(rows.join(comps, "set", "left").select("bucket", "set", F.coalesce("component", "set").alias("comp")), "dedup-comps")
-        drawn = open_rows(named, leaders * GROW**salt, salt)
+        drawn = open_rows(staged(named(rows, found).select("bucket", "set", "comp"), "dedup-comps"), leaders * GROW**salt, salt)
         raw = raw.unionByName(members(drawn.select("set").distinct().join(raw, "set", "left_anti")))
         found.append(leader_links(drawn, sets, raw))
         rows, salt = drawn.where("not lead").select("bucket", "set"), salt + 1
@@ -213,7 +277,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, text_hash, class: texts are in one class if links of Jaccard similarity LEAST or more lead from one to the other.
 
     Similarity is that of the sets of five-word shingles, exact but for collisions of 64-bit hashes; texts with equal sets
-    are in one class, and so are all null and word-free ones. A pair of similarity 0.8 is found with probability 0.9999, a
+    are in one class, and so are all null and word-free ones. Candidates are near SimHash fingerprints, found by covering masks, and
+    what shares a MinHash band. A pair of similarity 0.8 is found with probability 0.9999, a
     closer one with more. One row for each input row; repeated rows and ids are kept; an empty table gives an empty result;
     other columns are ignored, whatever their names.
     """

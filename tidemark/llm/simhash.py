@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
@@ -18,6 +19,15 @@ BITS = 64
 DIRECT = 64
 
 
+def majority(parts: Iterable[np.ndarray], width: int) -> np.ndarray:
+    """The bits, as bytes, that over half of the rows of all parts have set; a part holds rows of width bytes."""
+    ones, n = np.zeros(8 * width, dtype=np.int64), 0
+    for part in parts:
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return np.packbits(2 * ones > n, bitorder="little")
+
+
 def fingerprint_of(text: bytes, k: int = 3, seed: int = 42) -> int:
     """The signed 64-bit SimHash of UTF-8 text; zero for a text without words."""
     words = text.lower().split()
@@ -29,11 +39,8 @@ def fingerprint_of(text: bytes, k: int = 3, seed: int = 42) -> int:
     else:
         starts = [0, *accumulate(len(w) + 1 for w in words)]
         hashes = np.fromiter((h(line[a : b - 1], seed) for a, b in zip(starts, starts[k:])), dtype="<u8", count=len(words) - k + 1)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        part = hashes[at : at + (1 << 15)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    parts = (hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8) for at in range(0, len(hashes), 1 << 15))
+    return int(majority(parts, 8).view("<i8")[0])
 
 
 def simhash(text: Column, k: int = 3, seed: int = 42) -> Column:
@@ -61,38 +68,44 @@ def covering(bits: list[int], radius: int = 2) -> list[int]:
     return [sum(1 << b for i, b in enumerate(bits) if ((i % m + 1) & v).bit_count() % 2) for v in range(1, m + 1)]
 
 
-def masks(radius: int = 2) -> list[tuple[int, list[int]]]:
-    """For each table its mask, and the finer masks that split its large buckets."""
-    out = []
-    for mask in covering(list(range(BITS)), radius):
-        free = [b for b in range(BITS) if not mask >> b & 1]
+def masks(radius: int = 2, bits: int = BITS) -> list[tuple[int, list[int]]]:
+    """For each table its mask, and the finer masks that split its large buckets. Positions from bits on are in every mask."""
+    out, above = [], (1 << BITS) - (1 << bits)
+    for mask in covering(list(range(bits)), radius):
+        mask |= above
+        free = [b for b in range(bits) if not mask >> b & 1]
         out.append((_signed(mask), [_signed(mask | fine) for fine in covering(free, radius)]))
     return out
 
 
-def bucket_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links within one bucket of distinct fingerprints: each one but the first of its class to that first."""
+def bucket_links(prints: np.ndarray, radius: int, star: bool = True) -> list[tuple[int, int]]:
+    """Links within one bucket of distinct fingerprints: each one but the first of its class to that first.
+
+    Without star, to one within radius of it instead.
+    """
     prints = np.sort(prints)
     left, out = prints, []
     while len(left):
         root, frontier, left = left[0], [left[0]], left[1:]
         while frontier and len(left):
-            near = np.bitwise_count((left ^ frontier.pop()).view(np.uint64)) <= radius
+            at = frontier.pop()
+            near = np.bitwise_count((left ^ at).view(np.uint64)) <= radius
             found, left = left[near], left[~near]
             frontier += list(found)
-            out += [(int(x), int(root)) for x in found]
+            out += [(int(x), int(root if star else at)) for x in found]
     return out
 
 
-def links(prints: DataFrame, col: str, radius: int = 2, direct: int = DIRECT) -> DataFrame:
+def links(prints: DataFrame, col: str, radius: int = 2, direct: int = DIRECT, bits: int = BITS, star: bool = True) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that connect every class of fingerprints within radius bits, step by step.
 
     Each distinct fingerprint is put in 2^(radius+1) - 1 tables under its masked value. A bucket of up to direct
     fingerprints is compared at once. A larger one is split by a second covering of the bits its mask leaves free; what
     shares a finer key differs only in the 3/7 of the 3/7 free bits, at most 12 of 64 for radius 2, so that no group holds
     over 4,096 fingerprints whatever the input. Within a bucket only links to one member of each class are made, not all pairs.
+    Fingerprints of fewer bits may carry a number above them, which must be equal. Without star, both ends of every link are within radius.
     """
-    tables = masks(radius)
+    tables = masks(radius, bits)
     fp = prints.select(F.col(col).alias("fp")).where("fp is not null").distinct()
     keyed = fp.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m, _ in tables])).alias("t", "key"))
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -106,7 +119,7 @@ def links(prints: DataFrame, col: str, radius: int = 2, direct: int = DIRECT) ->
     def connect(groups: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         prints, at = groups.values.to_numpy(), groups.offsets.to_numpy()
-        return pa.array([bucket_links(prints[a:b], radius) for a, b in zip(at, at[1:])], kind)
+        return pa.array([bucket_links(prints[a:b], radius, star) for a, b in zip(at, at[1:])], kind)
 
     groups = small.union(large).groupBy("t", "u", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return groups.select(F.explode(connect("fps")).alias("l")).select("l.a", "l.b").distinct()
