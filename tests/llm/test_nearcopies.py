@@ -152,3 +152,25 @@ def test_near_dedup_takes_candidates_from_covering(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
     kept = [r.doc_id for r in cp.near_dedup(spark, docs, "").collect()]
     assert 40 <= len(kept) <= 44 and set(range(0, 80, 2)) <= set(kept)
+
+
+def test_components_come_from_new_links_only(spark, monkeypatch):
+    """Rounds that add links meet components that these join, rounds without links find none, and no link is gone through twice."""
+    rnd, seen = random.Random(14), []
+
+    def counted(edges, a, b, run=nearcopies.connected_components):
+        seen.append({tuple(sorted(e)) for e in edges.select(a, b).collect() if e[0] != e[1]})
+        return run(edges, a, b)
+
+    monkeypatch.setattr(nearcopies, "connected_components", counted)
+    texts = []
+    for k in (2, 2, 8, 20):  # near by fingerprint, and beyond
+        w = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(edited(rnd, w, k)) for _ in range(6)]
+    common = [f"c{i}" for i in range(150)]
+    texts += [" ".join(common + [f"v{rnd.randrange(10**6)}" for _ in range(60)]) for _ in range(80)]  # large buckets without links
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class"] for r in nearcopies.near_copies(docs).collect()}
+    label = brute_label([brute_sets(t) for t in texts])
+    assert len({(got[i], label[i]) for i in got}) == len(set(got.values())) == len(set(label))
+    assert seen and all(seen) and sum(map(len, seen)) == len(set().union(*seen))

@@ -214,8 +214,33 @@ def leader_links(rows: DataFrame, sets: DataFrame, raw: DataFrame) -> DataFrame:
     return staged(_ordered(found), "dedup-links")
 
 
+def labelled(rows: DataFrame, nodes: DataFrame, of: str = "set", out: str = "comp") -> DataFrame:
+    """rows with out: the component of the set in column of, by nodes (set, comp); sets without links are their own."""
+    names = nodes.select(F.col("set").alias(of), F.col("comp").alias(out))
+    return rows.join(names, of, "left").withColumn(out, F.coalesce(out, of))
+
+
+def merged(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes (set, comp: the smallest set) of all linked sets once the links new are added.
+
+    Components are found only among those that a new link joins, not among all links made so far; without new links nothing runs.
+    """
+    if new.isEmpty():
+        return nodes
+    ends = labelled(labelled(new, nodes, "a", "x"), nodes, "b", "y")
+    moved = staged(connected_components(ends.where("x <> y"), "x", "y"), "dedup-moved")
+    kept = nodes.join(moved, nodes["comp"] == moved["node"], "left").select("set", F.coalesce("component", "comp").alias("comp"))
+    single = moved.join(nodes, moved["node"] == nodes["set"], "left_anti").select(F.col("node").alias("set"), F.col("component").alias("comp"))
+    return staged(kept.union(single), "dedup-comps")
+
+
 def links(prints: DataFrame, texts: DataFrame, direct: int = DIRECT, leaders: int = DIRECT) -> DataFrame:
-    """Links (a, b), Jaccard similarity LEAST or more, that connect all sets which chains of similar sets in common buckets connect.
+    """Links (a, b), Jaccard similarity LEAST or more, that connect all sets which chains of similar sets in common buckets connect."""
+    return linked(prints, texts, direct, leaders)[0]
+
+
+def linked(prints: DataFrame, texts: DataFrame, direct: int = DIRECT, leaders: int = DIRECT) -> tuple[DataFrame, DataFrame]:
+    """The links and set, comp of all sets that have one.
 
     prints: set, bands, sig, prints, text_hash; texts: text, text_hash. Links between near fingerprints come first. A round
     checks one pair of each component, that to its least neighbour; when rounds no longer halve the components that have one, all pairs of two components are
@@ -228,49 +253,52 @@ def links(prints: DataFrame, texts: DataFrame, direct: int = DIRECT, leaders: in
     firsts = [F.any_value(c).alias(c) for c in ("bands", "sig", "prints")]
     sets = staged(prints.groupBy("set").agg(*firsts, F.min("text_hash").alias("one")), "dedup-sets")
 
-    def members(nodes: DataFrame) -> DataFrame:
-        one = sets.select("set", "one").join(nodes, "set", "left_semi")
-        found = texts.join(one, F.col("text_hash") == F.col("one")).dropDuplicates(["set"])
-        return staged(found.select("set", F.arrow_udf(_members, "binary")("text").alias("raw")), "dedup-texts")
-
-    def checked(pairs: DataFrame) -> DataFrame:
+    def hold(wanted: DataFrame) -> None:
+        """Adds the shingles of these sets to raw where they are missing."""
         nonlocal raw
-        new = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        raw = raw.unionByName(members(new.join(raw, "set", "left_anti"))) if raw else members(new)
-        return staged(_with(pairs, raw, "raw").where(F.arrow_udf(_jaccard, "double")("x", "y") >= LEAST).select("a", "b"), "dedup-links")
-
-    def named(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
-        comps = connected_components(reduce(DataFrame.union, found), "a", "b").withColumnRenamed("node", "set")
-        return rows.join(comps, "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
-
-    raw, found = None, []
-    rest = covered_pairs(sets).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
-    last, comps = None, sets.select("set", F.col("set").alias("comp"))
+        wanted = wanted.distinct().join(raw, "set", "left_anti") if raw else wanted.distinct()
+        one = staged(sets.select("set", "one").join(wanted, "set", "left_semi"), "dedup-wanted")
+        if raw and one.isEmpty():
+            return
+        rows = texts.join(one, F.col("text_hash") == F.col("one")).dropDuplicates(["set"])
+        more = staged(rows.select("set", F.arrow_udf(_members, "binary")("text").alias("raw")), "dedup-texts")
+        raw = raw.unionByName(more) if raw else more
+
+    def add(pairs: DataFrame) -> None:
+        """Checks the pairs; what is similar becomes links."""
+        nonlocal nodes
+        hold(pairs.select(F.explode(F.array("a", "b")).alias("set")))
+        found.append(staged(_with(pairs, raw, "raw").where(F.arrow_udf(_jaccard, "double")("x", "y") >= LEAST).select("a", "b"), "dedup-links"))
+        nodes = merged(nodes, found[-1])
+
+    raw, found, nodes = None, [], sets.select("set", F.col("set").alias("comp")).where("false")
+    rest, last = covered_pairs(sets).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), None
     while True:
         least = staged(rest.groupBy("y").agg(F.min(F.struct("x", "a", "b")).alias("p")).select("p.a", "p.b"), "dedup-least")
         size = least.count()
         if not size:
             break
         some = last is None or 2 * size <= last
-        found.append(checked(staged(estimated(least if some else rest.select("a", "b"), sets), "dedup-pairs")))
-        comps = staged(named(sets.select("set"), found), "dedup-comps")
+        add(staged(estimated(least if some else rest.select("a", "b"), sets), "dedup-pairs"))
         if not some:
             break
-        rest = _with(rest.select("a", "b"), comps, "comp").where("x <> y")
+        rest = labelled(labelled(rest.select("a", "b"), nodes, "a", "x"), nodes, "b", "y").where("x <> y")
         rest = staged(rest.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "dedup-rest")
         last = size
-    keyed = sets.select("set", "bands").join(comps, "set").select("set", "comp", F.explode("bands").alias("bucket"))
+    keyed = labelled(sets.select("set", "bands"), nodes).select("set", "comp", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("set").alias("leader"), (F.min("comp") < F.max("comp")).alias("open"))
     buckets = staged(keyed.drop("comp").join(shared.where("open"), "bucket").drop("open"), "dedup-buckets")
-    pairs = first_pairs(buckets, sets, direct)
-    found.append(checked(pairs))
+    add(first_pairs(buckets, sets, direct))
     rows, salt = buckets.where((F.col("n") > direct) & (F.col("set") != F.col("leader"))).select("bucket", "set"), 0
     while not rows.isEmpty():
-        drawn = open_rows(staged(named(rows, found).select("bucket", "set", "comp"), "dedup-comps"), leaders * GROW**salt, salt)
-        raw = raw.unionByName(members(drawn.select("set").distinct().join(raw, "set", "left_anti")))
+        drawn = open_rows(staged(labelled(rows, nodes).select("bucket", "set", "comp"), "dedup-named"), leaders * GROW**salt, salt)
+        if drawn.isEmpty():
+            break
+        hold(drawn.select("set"))
         found.append(leader_links(drawn, sets, raw))
+        nodes = merged(nodes, found[-1])
         rows, salt = drawn.where("not lead").select("bucket", "set"), salt + 1
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, found), nodes
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,6 +313,5 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     rows = staged(text.withColumn("s", sketches(F.col("text"))).select("doc_id", "text_hash", "s.*"), "dedup-prints")
-    found = connected_components(links(rows, text.select("text", "text_hash")), "a", "b")
-    labels = staged(found.select(F.col("node").alias("set"), "component"), "dedup-labels")  # a plain exchange in the join: a hot set's documents are split
-    return rows.join(labels, "set", "left").select("doc_id", "text_hash", F.coalesce("component", "set").alias("class"))
+    labels = linked(rows, text.select("text", "text_hash"))[1]  # a written table, so a plain exchange in the join: a hot set's documents are split
+    return labelled(rows, labels, out="class").select("doc_id", "text_hash", "class")
