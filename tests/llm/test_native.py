@@ -229,3 +229,19 @@ def test_a_license_among_repeated_fragments_is_found(spark):
     got = [(r.doc_id, r.labels, r.score) for r in licenses.scan(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)).collect()]
     assert sorted((i, label) for i, t in rows if i in (1, 2, 3, 5, 6) or (i == 8 and t)) == sorted((i, y) for i, y, _ in got if y == label)
     assert {(i, y) for i, y, _ in got if i in (4, 7)} == {(4, ""), (7, "")} and all(s == 1.0 for i, y, s in got if y and i != 3)
+
+
+def test_common_words_are_looked_up_by_hash(spark):
+    """Histograms count every common word, whatever its bucket and whatever signs it has, and no word is compared with the whole list."""
+    known = [f"w{i}" for i in range(47)] + ["ß", "漢字", "a"]  # more than fit 64 buckets without collisions
+    text = " ".join(w + ("." if i % 3 else " other ") for i, w in enumerate(known) for _ in range(1 + i % 4)) + " A a\\r [x]"
+    docs = spark.createDataFrame([(1, text, "en"), (2, None, "en"), (3, "w1 w1", "xx"), (4, "w0", None)], "doc_id long, text string, lang string")
+    words = spark.createDataFrame([("en", known), ("xx", ["w1", "r"])], "word_lang string, list array<string>")
+    stats = quality.measures(docs, words)
+    got = {r.doc_id: r.common for r in stats.collect()}
+    count = collections.Counter(re.findall(r"[^\W_]+", text.lower()))
+    want = [count[w] for w in known]
+    assert got[1] == [sum(count.values()) - sum(want), *want] and got[2] == [0] * 51
+    assert got[3] == [0, 2, 0] + [0] * 48 and got[4] is None
+    plan = stats._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "array_contains(list" not in plan and "array_remove(" not in plan
